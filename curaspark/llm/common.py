@@ -49,3 +49,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Tables of so many narrow rows at most may be broadcast; beyond it the same join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], how: str, right_rows: int) -> DataFrame:
+    """A join whose right side, of narrow rows that were counted, is broadcast only when it has few of them."""
+    return left.join(F.broadcast(right) if right_rows <= BROADCAST_ROWS else right, on, how)

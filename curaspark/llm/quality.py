@@ -32,7 +32,7 @@ MORE = ["n_chars", "n_upper", "n_marks", "n_lines"]
 VECTOR = ["v_word", "v_symbol", "v_upper", "v_mark", "v_dup"]
 #: Smallest spread a coordinate may show, so that constant coordinates keep the covariance invertible.
 FLOOR = [0.08, 0.10, 0.06, 0.06, 0.10]
-CORE_SHARE, STEPS, CUTOFF, MIN_GROUP = 0.75, 2, 120.0, 200
+CORE_SHARE, STEPS, CUTOFF, MIN_GROUP = 0.75, 2, 30.0, 200
 SCHEMA = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS + MORE)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, quality, secrets
+from curaspark.llm import chat, near, quality, secrets
 from curaspark.llm.common import documents
 
 
@@ -62,6 +62,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_quality_rules(documents(spark, sf_dir))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op3_secret_scan": op3_secret_scan,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
     }
 
