@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, near, quality, secrets
+from curaspark.llm import chat, near, quality, repeats, secrets
 from curaspark.llm.common import documents
 
 
@@ -71,12 +71,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op3_secret_scan": op3_secret_scan,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
