@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, near, quality, repeats, secrets
+from curaspark.llm import chat, lines, near, pii, quality, repeats, secrets
 from curaspark.llm.common import documents
 
 
@@ -52,6 +52,16 @@ FROM n GROUP BY conv_id
 """
 
 
+#: The key of the registered query; a deployment passes its own.
+PII_KEY = "registered-query"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_private long, private_kinds array<string>, text with the pseudonyms."""
+    held = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key=PII_KEY)
+    return held.select("doc_id", F.size("private_kinds").cast("long").alias("n_private"), "private_kinds", "text")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(documents(spark, sf_dir))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -66,6 +76,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed, kept_sha256 (of the text that stays)."""
+    held = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return held.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_quality_rules(documents(spark, sf_dir))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
@@ -78,8 +94,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_pii_pseudonyms": op2_pii_pseudonyms,
         "op3_secret_scan": op3_secret_scan,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
