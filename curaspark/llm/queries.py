@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, lines, near, pii, quality, repeats, secrets
+from curaspark.llm import chat, lines, near, pieces, pii, quality, repeats, secrets
 from curaspark.llm.common import documents
 
 
@@ -52,6 +52,9 @@ FROM n GROUP BY conv_id
 """
 
 
+#: The merge-type model with byte fallback among the public tokenizers; the folder is a parameter of the deployment.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 #: The key of the registered query; a deployment passes its own.
 PII_KEY = "registered-query"
 
@@ -76,6 +79,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids (with dropout), decoded_sha256 (of the text read back from them)."""
+    held = pieces.decode(pieces.encode(documents(spark, sf_dir), PIECE_MODEL), PIECE_MODEL)
+    return held.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, kept_sha256 (of the text that stays)."""
     held = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
@@ -97,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii_pseudonyms": op2_pii_pseudonyms,
         "op3_secret_scan": op3_secret_scan,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_sentencepiece": op5_sentencepiece,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
