@@ -24,6 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's setting that shuffle files go when the query that made them has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Named Parquet tables under the shared folder; they cut lineage and outlive lost executors."""
 
@@ -32,8 +36,12 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/curaspark/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        path, before = f"{self.root}/{name}", self.spark.conf.get(FREE_SHUFFLES, None)
+        self.spark.conf.set(FREE_SHUFFLES, "true")  # nothing reads them again
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before) if before is not None else self.spark.conf.unset(FREE_SHUFFLES)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, lines, near, pieces, pii, quality, repeats, secrets
+from curaspark.llm import chat, lines, lm, near, pieces, pii, quality, repeats, secrets
 from curaspark.llm.common import documents
 
 
@@ -85,6 +85,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_words, n_known, score (rounded to 6 places)."""
+    return lm.score(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, kept_sha256 (of the text that stays)."""
     held = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_lm_score": op6_lm_score,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
