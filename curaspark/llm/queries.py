@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, lines, lm, near, pieces, pii, quality, repeats, secrets
+from curaspark.llm import chat, decontaminate, lines, lm, near, pieces, pii, quality, repeats, secrets
 from curaspark.llm.common import documents
 
 
@@ -90,6 +90,12 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark items: doc_id, item_id, cosine, lcs, answers (rounded to 4 places)."""
+    leaks = decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks.select("doc_id", "item_id", *[F.round(c, 4).alias(c) for c in ("cosine", "lcs", "answers")])
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, kept_sha256 (of the text that stays)."""
     held = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
@@ -113,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_lm_score": op6_lm_score,
+        "op7_decontaminate": op7_decontaminate,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,

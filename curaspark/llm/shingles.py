@@ -15,6 +15,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Blanks and ASCII punctuation, for words without their marks.
+MARKS = _BLANK.copy()
+MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,14 +41,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a batch of texts: hash, text number, and byte range of each, in order."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, blank: np.ndarray = _BLANK):
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts.to_pylist()]
         self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
         self.data = _LOWER[data] if lower else data
         n = len(data)
         first = np.cumsum(self.sizes) - self.sizes
-        solid = np.concatenate([[False], ~_BLANK[self.data], [False]])
+        solid = np.concatenate([[False], ~blank[self.data], [False]])
         edge = np.zeros(n + 1, bool)  # a text begins here
         edge[first[self.sizes > 0]] = True
         edge[n] = True
