@@ -184,3 +184,28 @@ def apply_quality_rules(docs: DataFrame, *, cutoff=CUTOFF, **columns) -> DataFra
     judged = _measure(rows, estimates)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
     return judged.select("doc_id", *COUNTS, "base_failed", F.col("distance"), kept.alias("kept"))
+
+
+def keep_documents(docs: DataFrame, *, cutoff=CUTOFF, text="text", lang="lang", source="source") -> DataFrame:
+    """The rows of docs that pass, with all their columns. Texts are counted twice instead of being shuffled."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    named = docs.withColumn("__quality_id", F.lit(0))
+    columns = {"text": text, "lang": lang, "source": source}
+    rows = scratch.put(vectors(count_texts(named, id="__quality_id", **columns)).where("not base_failed"), "counts")
+    estimates = estimate(rows, scratch)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counted = list(_count([batch.select(["doc_id", "lang", "source", "text"])]))[0]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *counted.columns[1:]], ["row", *counted.schema.names[1:]])
+
+    picked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.lit(0).cast("long").alias("doc_id"),
+        F.col(lang).cast("string").alias("lang"),
+        F.col(source).cast("string").alias("source"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+    )
+    schema = f"row {picked.schema['row'].dataType.simpleString()}, " + SCHEMA.removeprefix("doc_id long, ")
+    judged = _measure(vectors(picked.mapInArrow(beside, schema)), estimates)
+    return judged.where(~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).select("row.*")

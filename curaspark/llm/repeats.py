@@ -166,8 +166,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _cut_with_kept(batches, kept=False)
 
 
-def repeated_spans(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows(doc_id, text), and the same rows by doc_id, to (doc_id, start, end): spans to remove, in bytes, overlaps included; ends may pass the text."""
+def repeated_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows(doc_id, text) to (doc_id, start, end): spans to remove, in bytes, overlaps included; ends may pass the text."""
     by_rank, by_pair = Window.partitionBy("rank"), Window.partitionBy("rank", "around")
     # Step 1. One sort by (rank, around) serves both windows.
     ranked = rows.mapInArrow(_suffixes, SUFFIX_SCHEMA).repartition("rank").sortWithinPartitions("rank", "around")
@@ -180,14 +180,15 @@ def repeated_spans(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataF
     # Step 3, on what comes first under its pair.
     positions = F.sort_array(F.collect_set("at")).alias("ats")
     listed = ranked.where("owner = doc_id and differ").groupBy("doc_id").agg(positions)
-    keys = texts.join(listed, "doc_id").select("doc_id", "text", "ats").mapInArrow(_halves, KEY_SCHEMA)
+    keys = rows.join(listed, "doc_id").select("doc_id", "text", "ats").mapInArrow(_halves, KEY_SCHEMA)
     by_key = Window.partitionBy("key")
     keys = keys.select("doc_id", "at", (F.min("doc_id").over(by_key) != F.max("doc_id").over(by_key)).alias("met"))
-    met = keys.where("met").groupBy("doc_id").agg(positions)
+    met = scratch.put(keys.where("met").groupBy("doc_id").agg(positions), "met")
     # Step 4.
-    strings = texts.join(met, "doc_id").select("doc_id", "text", "ats").mapInArrow(_strings, KEY_SCHEMA)
+    strings = rows.join(met, "doc_id").select("doc_id", "text", "ats").mapInArrow(_strings, KEY_SCHEMA)
     strings = strings.select("doc_id", "at", F.min("doc_id").over(by_key).alias("owner")).where("owner < doc_id")
-    return equal.unionByName(strings.select("doc_id", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")))
+    strings = scratch.put(strings.select("doc_id", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")), "strings")
+    return equal.unionByName(strings)
 
 
 def remove_repeats(docs: DataFrame, *, id="doc_id", text="text", with_kept=False) -> DataFrame:
@@ -195,10 +196,9 @@ def remove_repeats(docs: DataFrame, *, id="doc_id", text="text", with_kept=False
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named, unnamed = rows.where("doc_id is not null"), rows.where("doc_id is null")
-    texts = named.repartition("doc_id")  # one exchange of the texts, which all joins reuse
-    spans = repeated_spans(named, texts, scratch)
+    spans = repeated_spans(named, scratch)
     spans = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    held = texts.join(spans, "doc_id", "left").select("doc_id", "text", "starts", "ends")
+    held = named.join(spans, "doc_id", "left").select("doc_id", "text", "starts", "ends")
     none = F.lit(None).cast("array<int>")
     held = held.unionByName(unnamed.select("doc_id", "text", none.alias("starts"), none.alias("ends")))
     return held.mapInArrow(_cut_with_kept, RESULT_SCHEMA + ", kept binary") if with_kept else held.mapInArrow(_cut, RESULT_SCHEMA)
