@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curaspark.queries import catalog, dataset, signals, tasks
+
+MODULES = (signals, dataset, catalog, tasks)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.SQL.items()}
