@@ -61,6 +61,18 @@ def air_absorption(a: Column, metres: Column, rate: float) -> Column:
     return _each("array<double>", one)(a, metres)
 
 
+def proximity(a: Column, metres: Column, rate: float) -> Column:
+    """Fuller below 0.3 m, thinner beyond a metre."""
+
+    def one(x: object, d: float) -> np.ndarray:
+        if d < 0.3:
+            return _filtered(_array(x), lambda f: 1 + 0.3 / (1 + (f / 200) ** 2), rate)
+        thin = min(1.0, (d - 1) * 0.2)
+        return _filtered(_array(x), lambda f: 1 - thin / (1 + (f / 150) ** 2), rate) if d > 1 else _array(x)
+
+    return _each("array<double>", one)(a, metres)
+
+
 def convolve(a: Column, kernel: Column) -> Column:
     """Cut to the signal's length."""
 

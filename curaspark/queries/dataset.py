@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curaspark.functions import text as T
+from curaspark.functions.signal import hash_similarity
 from curaspark.operators import cache, duplicates, splits, summary
 from curaspark.plans import exports
 
@@ -53,6 +54,13 @@ def prompt_jaccard(spark, sf_dir):
     return duplicates.jaccard_pairs(turns, "id", "words", 0.15).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
+def hash_bit_similarity(spark, sf_dir):
+    """Each document's hash against the next one's: a join on neighbouring ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("h").alias("g"))
+    return docs.join(following, "doc_id").select("doc_id", F.round(hash_similarity(F.col("h"), F.col("g")), 6).alias("similarity"))
+
+
 PAIRS = "lead(text) OVER (PARTITION BY conv_id ORDER BY turn)"
 
 
@@ -193,6 +201,9 @@ SELECT least(floor((value - lo) / w), 19)::INT AS bucket, round(any_value(lo + l
     "prompt_jaccard": f"""WITH s AS (SELECT conv_id * 100 + turn AS id, list_distinct({TOKENS}) AS w FROM conversations), e AS (SELECT id, len(w) AS n, unnest(w) AS w FROM s),
 p AS (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS m, any_value(y.n) AS n FROM e x JOIN e y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2)
 SELECT a, b, round(k / (m + n - k), 4) AS similarity FROM p WHERE k / (m + n - k) >= 0.15""",
+    "hash_bit_similarity": "WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents) SELECT a.doc_id, round((256 - ("
+    + " + ".join(f"bit_count(xor(('0x' || substring(a.h, {8 * i + 1}, 8))::BIGINT, ('0x' || substring(b.h, {8 * i + 1}, 8))::BIGINT))::BIGINT" for i in range(8))
+    + ")) / 256, 6) AS similarity FROM d a JOIN d b ON b.doc_id = a.doc_id + 1",
     "shuffle_split": f"WITH {SHUFFLED} SELECT doc_id, quality, split FROM t",
     "stratified_split": f"WITH {_stratified('toxic', 0.2 / (0.7 + 0.2), 0.1)} SELECT doc_id, toxic, split FROM t",
     "split_counts": f"WITH {SHUFFLED} SELECT split, quality, count(*)::BIGINT AS count FROM t GROUP BY ROLLUP (split, quality)",

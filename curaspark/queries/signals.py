@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curaspark.functions import signal as S
-from curaspark.functions import spectrum
+from curaspark.functions import degrade, spectrum
 from curaspark.operators import duplicates, summary, validation
 from curaspark.plans import assessment
 
@@ -108,6 +108,21 @@ def dft_bandpass(spark, sf_dir):
     return held.select("vec_id", _r(S.total(F.col("y")), 5).alias("sum"), _r(S.rms(F.col("y")), 5).alias("rms"))
 
 
+def phone_band(spark, sf_dir):
+    held = load(spark, sf_dir).select("vec_id", spectrum.phone_band(F.col("samples"), 4, 16, RATE).alias("y"))
+    return held.select("vec_id", _r(S.total(F.col("y")), 5).alias("sum"), _r(S.rms(F.col("y")), 5).alias("rms"))
+
+
+def packet_loss(spark, sf_dir):
+    held = load(spark, sf_dir).select("vec_id", degrade.packet_loss(F.col("samples"), F.col("vec_id"), RATE, 0.3, 125.0).alias("y"))
+    return held.select("vec_id", _r(S.rms(F.col("y")), 5).alias("rms"))
+
+
+def random_events(spark, sf_dir):
+    held = load(spark, sf_dir).select("vec_id", F.inline(degrade.random_events(F.col("vec_id"), 60.0, 6.0)))
+    return held.select("vec_id", "type", _r("start", 5), _r("duration", 5), _r("strength", 5))
+
+
 ARRAYS = "s AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings)"
 FEATURES = """f AS (
   SELECT *, len(a) / 64.0 AS duration, list_max(list_transform(a, lambda x: abs(x))) AS peak,
@@ -178,6 +193,13 @@ FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_sim
     "linear_resample": _transform_sql(
         "list_transform(range(0, 48), lambda i: a[floor(i * 63 / 47)::INT + 1] + (a[least(floor(i * 63 / 47)::INT + 1, 63) + 1] - a[floor(i * 63 / 47)::INT + 1]) * (i * 63 / 47 - floor(i * 63 / 47)))"
     ),
+    "codec_quantise": _transform_sql("list_transform(a, lambda x: least(greatest(round_even(x * 128, 0) / 128, -1), 1))"),
+    "pad_signal": _transform_sql("list_transform(range(1, 101), lambda i: coalesce(a[i], 0))"),
+    "reverb_taps": _transform_sql("list_transform(range(1, 65), lambda i: a[i] + CASE WHEN i > 3 THEN a[i - 3] * 0.5 ELSE 0 END + CASE WHEN i > 7 THEN a[i - 7] * 0.25 ELSE 0 END + CASE WHEN i > 20 THEN a[i - 20] * 0.1 ELSE 0 END)"),
+    "phone_band": f"""WITH {ARRAYS}, c AS (SELECT vec_id, k, sum(a[i + 1] * cos(2 * pi() * ((k * i) % 64) / 64)) AS re, sum(a[i + 1] * sin(2 * pi() * ((k * i) % 64) / 64)) AS im FROM s, range(33) k(k), range(64) i(i) GROUP BY vec_id, k),
+g AS (SELECT vec_id, k, re, im, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END / 64.0 / (1 + (4 / greatest(k, 1e-9)) ** 2) / (1 + (k / 16.0) ** 4) AS g FROM c),
+y AS (SELECT vec_id, i, sum(g * (re * cos(2 * pi() * ((k * i) % 64) / 64) + im * sin(2 * pi() * ((k * i) % 64) / 64))) AS y FROM g, range(64) i(i) GROUP BY vec_id, i)
+SELECT vec_id, round(sum(y), 5) + 0.0 AS sum, round(sqrt(sum(y * y) / 64), 5) AS rms FROM y GROUP BY vec_id""",
     "snr_mix": """WITH x AS (SELECT s.vec_id, list_transform(s.embedding, lambda v: v::DOUBLE) AS a, list_transform(n.embedding, lambda v: v::DOUBLE) AS b FROM embeddings s JOIN embeddings n ON n.vec_id = s.vec_id + 1),
 g AS (SELECT *, sqrt(list_sum(list_transform(a, lambda v: v * v)) / (list_sum(list_transform(b, lambda v: v * v)) * 10)) AS g FROM x),
 u AS (SELECT vec_id, list_transform(range(1, 65), lambda i: a[i] + g * b[i]) AS u FROM g),
@@ -205,6 +227,12 @@ QUERIES = {
     "compressor": _transform(lambda a: S.compress(a)),
     "expander": _transform(lambda a: S.expand(a, -20.0, 2.0)),
     "limiter": _transform(lambda a: S.limit(a, -12.0, 8)),
+    "codec_quantise": _transform(lambda a: S.codec(a, 8)),
+    "pad_signal": _transform(lambda a: S.fit_length(a, 100)),
+    "reverb_taps": _transform(lambda a: S.reverb(a, [3, 7, 20], [0.5, 0.25, 0.1])),
+    "phone_band": phone_band,
+    "packet_loss": packet_loss,
+    "random_events": random_events,
     "linear_resample": _transform(lambda a: S.resample(a, F.lit(48))),
     "snr_mix": snr_mix,
     "dft_bandpass": dft_bandpass,
