@@ -9,7 +9,7 @@ from curaspark.functions import spectrum
 from curaspark.functions import text as T
 
 #: Signals that every array function must bear.
-EDGES = [None, [], [0.5], [0.0] * 32, [0.25] * 32, [0.0] * 16 + [1.0] * 16, [1.0, -1.0] * 7 + [0.5], list(np.sin(np.arange(64)))]
+EDGES = [None, [], [0.5], [0.0] * 32, [0.25] * 32, [0.0] * 16 + [1.0] * 16, [1.0, -1.0] * 7 + [0.5], np.sin(np.arange(64)).tolist()]
 
 
 @pytest.fixture(scope="module")
