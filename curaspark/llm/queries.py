@@ -111,6 +111,32 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPLIT = rf"list_filter(regexp_split_to_array({LOWERED}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+OP4_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {SPLIT} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM t),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, any_value(x.n + y.n) AS n FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (n - k)),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = s.doc_id) AS component_id FROM s
+"""
+OP6_SQL = f"""
+WITH t AS (SELECT doc_id, {SPLIT} AS w FROM documents),
+p AS (SELECT doc_id, unnest(list_concat([''], w[1 : len(w) - 1])) AS v, unnest(w) AS x FROM t WHERE len(w) > 0),
+d AS (SELECT doc_id, v, x, count(*) AS uses FROM p GROUP BY ALL),
+g AS (SELECT v, x, sum(uses) AS total FROM d GROUP BY ALL),
+u AS (SELECT x, count(*) AS total FROM p GROUP BY x UNION ALL SELECT '', count(*) FROM t WHERE len(w) > 0),
+m AS (SELECT d.doc_id, d.uses, g.total - d.uses AS others,
+             CASE WHEN g.total > d.uses THEN ln((g.total - d.uses) / c.total) ELSE ln({lm.BACKOFF} * b.total / (SELECT count(*) FROM p)) END AS value
+      FROM d JOIN g USING (v, x) JOIN u c ON c.x = d.v JOIN u b ON b.x = d.x),
+z AS (SELECT doc_id, sum(uses) AS n, sum(uses) FILTER (others > 0) AS k, sum(uses * value) / sum(uses) AS score FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_known, round(score, 6) AS score FROM t LEFT JOIN z USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -127,4 +153,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_lm_score": OP6_SQL}
