@@ -23,6 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curaspark.llm.common import let
+
 ROUNDS = 6
 # The formats, as Java regular expressions; at one place the first that fits counts.
 MAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -35,11 +37,6 @@ FIRST_YEAR, YEARS, DAYS, DAY_HALVES = 1900, 200, 73_049, (17, 4_297)
 PATTERN = "|".join([MAIL, ADDRESS, DATE, SOCIAL, PHONE, CARD.replace("([ -])", "[ -]")])
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def in_rounds(left: Column, right: Column, turn: Callable[[Column, Column, Column, bool], Column], restore: bool) -> Column:
     """struct<left, right> after the rounds; turn(half, other half, round, whether it is the left half) gives a half's new value."""
     rounds = F.array(*[F.lit(r) for r in (range(ROUNDS - 1, -1, -1) if restore else range(ROUNDS))])
