@@ -2,13 +2,13 @@
 
 A document's score is the mean natural logarithm of S(w | v) over its words w with the word v before each (a
 start sign before the first): count(v w) / count(v) if the pair occurs in another document, else ``backoff``
-times count(w) / all words, where a word that no other document has counts as ``unseen`` occurrences. Counts are
-those of the whole table without the document's own, so text that stands alone is not scored by itself.
+times count(w) / all words. Pair counts leave the document's own out, so text that stands alone is not scored by
+itself; counts of single words are those of the whole table.
 
 Relationally: words and pairs are 64-bit hashes. The table of word counts is summed with map-side combining. The
 documents' exploded pairs meet by the pair's hash, where sums over documents are the table of pair counts, then
 look up one word count each: the context's where the pair is known, the word's where not. Terms are summed per
-document. Pairs go in ``slices`` of the hash range, one after the other, so that the shuffle of all pairs never
+document. The joins hash their small side and need no sort. Pairs go in ``slices`` of the hash range, one after the other, so that the shuffle of all pairs never
 lies on disk at once; each slice reads the texts again. What is gathered grows with the input. A word or pair
 that a third of all documents have makes one row per document and is summed by splittable joins.
 
@@ -29,55 +29,41 @@ from curaspark.llm.common import Scratch
 from curaspark.llm.near import _pieces
 from curaspark.llm.shingles import U, Words, mix
 
-BACKOFF, UNSEEN, SLICES = 0.4, 0.5, 6
+BACKOFF, SLICES = 0.4, 4
+#: Bytes of texts worked on at once.
+BYTES_AT_ONCE = 2 << 20
 START = U(0x5354415254)
 WORD_SCHEMA = "word long, uses long"
-PAIR_SCHEMA = "doc_id long, context long, word long, uses int, context_uses int, word_uses int"
-
-
-def _grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first of equal rows, in sorted order, and how often each row occurs."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    at = np.flatnonzero(new)
-    return order[at], np.diff(np.append(at, len(order)))
+PAIR_SCHEMA = "doc_id long, context long, word long, uses int"
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of a batch; the start sign is used once by each text that has words."""
-    for piece in _pieces(batches):
+    for piece in _pieces(batches, BYTES_AT_ONCE):
         w = Words(piece.column(1))
         word, uses = np.unique(np.append(w.hash, np.full(np.count_nonzero(w.count), START)), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(uses)], ["word", "uses"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], part: int, slices: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of each text in one slice of the hash range, with the text's own counts."""
-    for piece in _pieces(batches):
+    """The different pairs of each text in one slice of the hash range."""
+    for piece in _pieces(batches, BYTES_AT_ONCE):
         w = Words(piece.column(1))
+        before = np.full(len(w.hash), START)
+        inner = np.flatnonzero(w.text[1:] == w.text[:-1]) + 1
+        before[inner] = w.hash[inner - 1]
+        pair = mix(before ^ mix(w.hash))
+        mine = np.flatnonzero(pair % U(slices) == U(part))
+        _, at, uses = np.unique(mix(pair[mine] ^ mix(w.text[mine].astype(U))), return_index=True, return_counts=True)
+        at = mine[at]
         ids = piece.column(0).to_numpy(zero_copy_only=False)
-        # The text's own count of each of its words, by place.
-        order = np.lexsort((w.hash, w.text))
-        _, uses = _grouped([w.text, w.hash])
-        own = np.empty(len(order), np.int64)
-        own[order] = np.repeat(uses, uses)
-        begins = np.ones(len(w.text), bool)
-        begins[1:] = w.text[1:] != w.text[:-1]
-        before, before_own = np.full(len(own), START), np.ones(len(own), np.int64)
-        before[1:], before_own[1:] = w.hash[:-1], own[:-1]
-        before[begins], before_own[begins] = START, 1
-        mine = np.flatnonzero(mix(before ^ mix(w.hash)) % U(slices) == U(part))
-        text, context, word, own, before_own = w.text[mine], before[mine], w.hash[mine], own[mine], before_own[mine]
-        at, uses = _grouped([text, context, word])
-        as_int = lambda x: pa.array(x.astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[text[at]]), pa.array(context[at].view(np.int64)), pa.array(word[at].view(np.int64)), as_int(uses), as_int(before_own[at]), as_int(own[at])],
-            ["doc_id", "context", "word", "uses", "context_uses", "word_uses"],
+            [pa.array(ids[w.text[at]]), pa.array(before[at].view(np.int64)), pa.array(w.hash[at].view(np.int64)), pa.array(uses.astype(np.int32))],
+            ["doc_id", "context", "word", "uses"],
         )
 
 
-def score(docs: DataFrame, *, id="doc_id", text="text", backoff=BACKOFF, unseen=UNSEEN, slices=SLICES) -> DataFrame:
+def score(docs: DataFrame, *, id="doc_id", text="text", backoff=BACKOFF, slices=SLICES) -> DataFrame:
     """Per row: doc_id, n_words, n_known (words whose pair another document has) and score."""
     scratch = Scratch(docs.sparkSession, "lm")
     ids = docs.select(F.col(id).cast("long").alias("doc_id"))
@@ -91,29 +77,22 @@ def score(docs: DataFrame, *, id="doc_id", text="text", backoff=BACKOFF, unseen=
         pairs = rows.mapInArrow(lambda batches, part=part: _pairs(batches, part, slices), PAIR_SCHEMA)
         totals = pairs.groupBy("context", "word").agg(F.sum("uses").alias("pair_total"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
         # A pair without a total is in one text only.
-        held = pairs.join(totals.drop("texts"), ["context", "word"], "left")
+        held = pairs.join(totals.drop("texts").hint("shuffle_hash"), ["context", "word"], "left")
         others = F.coalesce(F.col("pair_total") - F.col("uses"), F.lit(0))
-        held = held.select(
-            "doc_id",
-            "uses",
-            others.alias("others"),
-            F.when(others > 0, F.col("context")).otherwise(F.col("word")).alias("lookup"),
-            F.when(others > 0, F.col("context_uses")).otherwise(F.col("word_uses")).alias("own"),
-        )
-        held = held.join(counts.withColumnRenamed("word", "lookup"), "lookup")
-        free = F.greatest((F.col("total") - F.col("own")).cast("double"), F.lit(unseen))
+        held = held.select("doc_id", "uses", others.alias("others"), F.when(others > 0, F.col("context")).otherwise(F.col("word")).alias("lookup"))
+        held = held.join(counts.withColumnRenamed("word", "lookup").hint("shuffle_hash"), "lookup")
         known = F.col("others") > 0
-        value = F.when(known, F.log(F.col("others") / free)).otherwise(F.log(free * backoff))
+        value = F.when(known, F.log(F.col("others") / F.col("total"))).otherwise(F.log(F.col("total") * backoff))
         each = held.groupBy("doc_id").agg(
             F.sum(F.col("uses") * value).alias("logs"), F.sum("uses").alias("n"), F.sum(F.when(known, F.col("uses")).otherwise(0)).alias("n_known")
         )
         each = scratch.put(each, f"part{part}")
         terms = each if terms is None else terms.unionByName(each)
     summed = terms.groupBy("doc_id").agg(F.sum("logs").alias("logs"), F.sum("n").alias("n_words"), F.sum("n_known").alias("n_known"))
-    missed, left = F.col("n_words") - F.col("n_known"), F.greatest(F.lit(n_words) - F.col("n_words"), F.lit(1))
+    missed = F.col("n_words") - F.col("n_known")
     return ids.join(summed, "doc_id", "left").select(
         "doc_id",
         F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"),
         F.coalesce("n_known", F.lit(0)).cast("long").alias("n_known"),
-        ((F.col("logs") - missed * F.log(left)) / F.col("n_words")).alias("score"),
+        ((F.col("logs") - missed * F.log(F.lit(n_words))) / F.col("n_words")).alias("score"),
     )

@@ -12,8 +12,8 @@ segments is the cost model's choice between many selective segments and few.
 
 Segments that many different sets share (passages in many documents) do not become pairs: a set that keeps
 enough other segments is certain to meet its partners there. Only sets whose segments are mostly shared stay in
-such buckets, where first each set is verified against one representative, components form, and only pairs
-across components remain.
+such buckets, where first each set is verified against one representative, then against members drawn by hash,
+components form, and only pairs across components remain.
 
 Defined results: null or blank text has an empty set and links with nothing, component_id is its own id; a null
 id gives a row with a null component; rows that repeat an id give a row each and share its links; an empty
@@ -37,21 +37,26 @@ from curaspark.llm.shingles import U, Words, mix
 WIDTH, PERCENT = 5, 80
 #: Buckets of more different sets than this are shared segments.
 SHARED = 48
+#: Rounds in which each set of a bucket is held against one member drawn by a hash.
+HUBS = 1
 #: Texts worked on at once: so many at most, of so many bytes together unless a single one is longer.
-TEXTS_AT_ONCE, BYTES_AT_ONCE = 2_000, 8 << 20
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 2_000, 4 << 20
 SET_SCHEMA = "doc_id long, n_shingles long, key1 long, key2 long"
 SIGNATURE_SCHEMA = "signature long, doc_id long, entry int, room int"
+#: A sketch has four bits of the content of each of 256 segments, sixteen segments a column.
+SKETCH = [f"s{i}" for i in range(16)]
+SKETCH_SCHEMA = "doc_id long, n long, " + ", ".join(f"{s} long" for s in SKETCH)
 HASHES_SCHEMA = "doc_id long, n long, hashes array<long>"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, at, held = pc.binary_length(batch.column(1)).to_pylist(), 0, 0
         for i, size in enumerate(sizes):
-            if i > at and (held + size > BYTES_AT_ONCE or i - at == TEXTS_AT_ONCE):
+            if i > at and (held + (size or 0) > most or i - at == TEXTS_AT_ONCE):
                 yield batch.slice(at, i - at)
                 at, held = i, 0
-            held += size
+            held += size or 0
         if sizes:
             yield batch.slice(at)
 
@@ -150,6 +155,32 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in _pieces(batches):
+        t, h, n = Words(piece.column(1)).shingle_sets(WIDTH)
+        value = mix(h ^ U(0x7F4A7C159E3779B9))
+        slots = t.astype(np.int64) * 256 + (value >> U(56)).astype(np.int64)
+        bits = mix(_sums(slots, mix(value), len(n) * 256)) >> U(60)
+        words = (bits.reshape(-1, 16, 16) << (U(4) * np.arange(16, dtype=U))).sum(axis=2, dtype=U)
+        columns = [pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(16)]
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), *columns], ["doc_id", "n", *SKETCH])
+
+
+def may_link(x: str, y: str) -> F.Column:
+    """Linking sets differ in at most (r + s) / 9 elements, so in no more segments of their sketches."""
+    r, s = F.col(f"{x}.n"), F.col(f"{y}.n")
+
+    def unequal(c: str) -> F.Column:
+        v = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+        return F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseAND(F.lit(0x1111_1111_1111_1111)))
+
+    total = unequal(SKETCH[0])
+    for c in SKETCH[1:]:
+        total = total + unequal(c)
+    return (100 * r >= PERCENT * s) & (100 * s >= PERCENT * r) & (9 * total <= r + s)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those pairs (a, b) whose sets are similar enough, by exact counts."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
@@ -168,7 +199,10 @@ def near_duplicates(docs: DataFrame, *, id="doc_id", text="text") -> DataFrame:
     full = sized.where("doc_id is not null and n_shingles > 0")
     equal = scratch.put(full.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "equal")
     copies = full.join(equal.where("copies > 1"), ["n_shingles", "key1", "key2"]).where("doc_id <> rep").select("doc_id", "rep").distinct()
-    copies = scratch.put(copies, "copies")
+    # Ids that several rows with different sets share: all their sets count, and tie their representatives together.
+    several = full.groupBy("doc_id").agg(F.min("key1").alias("low"), F.max("key1").alias("high")).where("low < high").select("doc_id")
+    several = scratch.put(several, "several")
+    copies = scratch.put(copies.join(several, "doc_id", "left_anti"), "copies")
     n_copies = copies.count()
     reps = join_counted(rows.where("doc_id is not null"), copies.select("doc_id"), "doc_id", "left_anti", n_copies)
 
@@ -191,21 +225,43 @@ def near_duplicates(docs: DataFrame, *, id="doc_id", text="text") -> DataFrame:
     star = star.where("times > 1").groupBy("doc_id").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("a")).select("a", F.col("doc_id").alias("b"))
     star = scratch.put(star, "star")
     one = scratch.put(verify(star, _sets_of(rows, star, scratch, "star_sets")), "links1")
-    part = components(one, scratch, "cc1")
 
-    # Then what lies in one bucket but in different components.
+    # Then, in each bucket, against one more member drawn by a hash, so that a group meets through many hubs.
+    links, tried = one, star
+    for r in range(HUBS):
+        part = components(links, scratch, f"cc{r}")
+        home = useful.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        home = scratch.put(home.select("signature", "entry", "doc_id", "component", "need", "open"), f"home{r}")
+        drawn = F.struct(F.xxhash64("doc_id", "signature", F.lit(r)).alias("h"), "doc_id", "component")
+        hub = home.groupBy("signature").agg(F.min(drawn).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+        hub = scratch.put(hub.where("low < high").select("signature", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("to")), f"hubs{r}")
+        pairs = home.join(hub, "signature").where("component <> to")
+        pairs = pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.put(pairs, f"pairs{r}")
+        more = scratch.put(verify(pairs, _sets_of(rows, pairs, scratch, f"sets{r}")), f"more{r}")
+        links, tried = links.unionByName(more), tried.unionByName(pairs)
+
+    # Last, what lies in one bucket but still in different components.
+    part = components(links, scratch, "cc_hubs")
     home = useful.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    home = home.withColumn("apart", F.min("component").over(bucket) != F.max("component").over(bucket))
-    home = scratch.put(home.where("apart").select("signature", "entry", "doc_id", "component", "need", "open"), "home")
+    home = scratch.put(home.select("signature", "entry", "doc_id", "component", "need", "open"), "home")
+    apart = home.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
+    home = scratch.put(home.join(apart, "signature"), "apart")
+    # Pairs whose sketches differ in more segments than linking sets can never become rows.
+    ids = scratch.put(home.select("doc_id").distinct(), "apart_ids")
+    picked = join_counted(rows, ids, "doc_id", "left_semi", ids.count())
+    sketches = scratch.put(picked.mapInArrow(_sketches, SKETCH_SCHEMA).distinct(), "sketches")
+    home = scratch.put(home.join(sketches, "doc_id"), "sketched")
     x, y = home.alias("x"), home.alias("y")
-    meet = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+    meet = may_link("x", "y") & (F.col("x.signature") == F.col("y.signature")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     both, most = F.col("x.open") & F.col("y.open"), F.greatest("x.need", "y.need")
     need = F.when(both, most).when(F.col("x.open"), F.col("y.need")).when(F.col("y.open"), F.col("x.need")).otherwise(most)
     pairs = x.join(y, meet).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.entry").alias("entry"), need.alias("need"))
     pairs = pairs.groupBy("a", "b", "entry").agg(F.count(F.lit(1)).alias("times"), F.max("need").alias("need")).where("times >= need")
-    cross = scratch.put(pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "cross")
+    cross = scratch.put(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "cross")
     two = verify(cross, _sets_of(rows, cross, scratch, "cross_sets"))
-    linked = components(scratch.put(one.unionByName(two), "links2"), scratch, "cc2")
+    tied = full.join(several, "doc_id").join(equal, ["n_shingles", "key1", "key2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    linked = components(scratch.put(links.unionByName(two).unionByName(tied), "links"), scratch, "cc_all")
 
     # Back to documents: the copies of a set share its component.
     home_of = equal.join(linked, F.col("rep") == F.col("node"), "left").select("n_shingles", "key1", "key2", F.coalesce("component", "rep").alias("of_set"))
@@ -217,4 +273,4 @@ def _sets_of(rows: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) ->
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = scratch.put(ids, f"{name}_ids")
     picked = join_counted(rows, ids, "doc_id", "left_semi", ids.count())
-    return scratch.put(picked.mapInArrow(_hashes, HASHES_SCHEMA).dropDuplicates(["doc_id"]), name)
+    return scratch.put(picked.mapInArrow(_hashes, HASHES_SCHEMA).distinct(), name)

@@ -38,13 +38,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(20, int(n).bit_length()))
 
 
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each text in bytes, null ones empty, and all bytes, without a copy where no text is null."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.diff(ends), np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+
+
 class Words:
     """The words of a batch of texts: hash, text number, and byte range of each, in order."""
 
     def __init__(self, texts: pa.Array, lower: bool = True, blank: np.ndarray = _BLANK):
-        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts.to_pylist()]
-        self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        data = np.frombuffer(b"".join(raw), np.uint8)
+        self.sizes, data = utf8(texts)
         self.data = _LOWER[data] if lower else data
         n = len(data)
         first = np.cumsum(self.sizes) - self.sizes
@@ -60,7 +68,7 @@ class Words:
         prefix = np.zeros(n + 1, U)
         np.cumsum(_BYTE[self.data] * up[:n], out=prefix[1:])
         self.hash = mix((prefix[self.end] - prefix[self.start]) * down[self.start] + (self.end - self.start).astype(U))
-        self.count = np.bincount(self.text, minlength=len(raw)) if n else np.zeros(len(raw), np.int64)
+        self.count = np.bincount(self.text, minlength=len(self.sizes)) if n else np.zeros(len(self.sizes), np.int64)
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(text number, hash) of all shingles; a text of fewer words is one shingle, one without words none."""
