@@ -6,7 +6,8 @@
    products are summed over tasks; only matrices of rank x rank size are factored at the driver.
 3. Every document's windows of ``3 * STRIDE`` words, one every ``STRIDE`` words, are projected on the same
    vectors and compared with all passages, in blocks of ``BLOCK`` passages: candidates have a cosine of
-   ``cosine`` or more. The cosine divides by the length of the whole window, so it never exceeds the one of the
+   ``cosine`` or more. Windows whose squared weights lie by less than ``KNOWN`` (the squared cosine) on
+   words of the passages cannot reach it, and are not projected. The cosine divides by the length of the whole window, so it never exceeds the one of the
    full TF-IDF vectors by rank, and equals it while the rank reaches the number of passages.
 4. A candidate is a leak if the longest common subsequence of the item's words and the words around the window
    covers ``lcs`` of the item, or ``weak_lcs`` of it while ``answers`` of the item's rarest words, which stand for
@@ -36,8 +37,10 @@ BITS = 18
 FEATURES = 1 << BITS
 RANK, OVERSAMPLE, STRIDE, PASSAGE, BLOCK = 256, 8, 8, 48, 5_000
 COSINE, LCS, WEAK_LCS, ANSWERS = 0.35, 0.6, 0.45, 0.8
+#: Windows in which the passages' words hold less of the squared weights are not projected.
+KNOWN = COSINE**2
 #: Windows projected at once.
-AT_ONCE = 8_192
+AT_ONCE = 2_048
 COUNT_SCHEMA = "feature int, uses long"
 PASSAGE_SCHEMA = "item_id long, part int, features array<int>, words array<long>"
 ROW_SCHEMA = "part int, feature int, v array<double>"
@@ -183,7 +186,8 @@ class Search:
     """A block of passages, and what is needed to compare a batch of texts with them."""
 
     def __init__(self, idf: np.ndarray, at: np.ndarray, vectors: np.ndarray, block: list, items: dict[int, list[int]], cosine: float, lcs: float, weak_lcs: float, answers: float):
-        self.idf, self.vectors, self.items = idf, vectors, items
+        self.idf, self.items = idf, items
+        self.vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
         self.index = np.full(FEATURES, -1, np.int32)
         self.index[at] = np.arange(len(at))
         self.item_of = np.array([r["item_id"] for r in block], np.int64)
@@ -201,36 +205,39 @@ class Search:
 
     def candidates(self, w: Words) -> Iterator[tuple[int, int, int, float]]:
         """(text, first word of the window, number of the passage, cosine)."""
-        place = np.arange(len(w.text)) - (np.cumsum(w.count) - w.count)[w.text]
+        n_words = len(w.text)
+        if not n_words:
+            return
+        place = np.arange(n_words) - (np.cumsum(w.count) - w.count)[w.text]
         feature = features_of(w.hash)
         begins = np.flatnonzero(place % STRIDE == 0)
-        block_text = w.text[begins]
-        squares = np.add.reduceat(self.idf[feature] ** 2, begins) if len(begins) else np.zeros(0)
+        text = w.text[begins]
         known = self.index[feature]
-        for low in range(0, len(begins), AT_ONCE):
-            high = min(low + AT_ONCE, len(begins))
-            more = min(high + 2, len(begins))  # the blocks that the last windows reach into
-            first, last = begins[low], begins[more] if more < len(begins) else len(feature)
-            mine = np.flatnonzero(known[first:last] >= 0) + first
-            sums = np.zeros((more - low + 2, self.vectors.shape[1]), np.float32)
-            if len(mine):
-                of = np.searchsorted(begins, mine, "right") - 1 - low
-                starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                sums[of[starts]] = np.add.reduceat(self.vectors[known[mine]] * self.idf[feature[mine]][:, None], starts, axis=0)
-            text = np.concatenate([block_text[low:more], [-1, -1]])
-            square = np.concatenate([squares[low:more], [0, 0]])
-            n = high - low
-            for k in (1, 2):
-                same = text[k : n + k] == text[:n]
-                if k == 1:
-                    total, norm = sums[:n].copy(), square[:n].copy()
-                total[same] += sums[k : n + k][same]
-                norm += np.where(same, square[k : n + k], 0)
-            norm = np.sqrt(np.maximum(norm, 1e-9))
-            near = np.flatnonzero(np.linalg.norm(total, axis=1) >= self.limits[0] * norm)
-            scores = total[near] @ self.latent / norm[near][:, None]
+        square = self.idf[feature] ** 2
+        all_, mine = np.add.reduceat(square, begins), np.add.reduceat(np.where(known >= 0, square, 0), begins)
+        # A window is its own block of words and the next two of the same text.
+        ends = np.append(begins, n_words)
+        end, norm, held = ends[1:].copy(), all_.copy(), mine.copy()
+        for k in (1, 2):
+            same = np.flatnonzero(text[k:] == text[:-k])
+            end[same] = ends[same + k + 1]
+            norm[same] += all_[same + k]
+            held[same] += mine[same + k]
+        chosen = np.flatnonzero((held > 0) & (held >= KNOWN * norm))
+        norm = np.sqrt(np.maximum(norm, 1e-9))
+        for low in range(0, len(chosen), AT_ONCE):
+            at = chosen[low : low + AT_ONCE]
+            # The words of each window, those past its end as the vector of zeros that closes the table.
+            word = begins[at][:, None] + np.arange(3 * STRIDE)
+            inside = word < end[at][:, None]
+            word = np.minimum(word, n_words - 1)
+            row = np.where(inside, known[word], -1)
+            weight = np.where(inside, self.idf[feature[word]], 0).astype(np.float32)
+            total = np.matmul(weight[:, None, :], self.vectors[row])[:, 0]
+            near = np.flatnonzero(np.linalg.norm(total, axis=1) >= self.limits[0] * norm[at])
+            scores = total[near] @ self.latent / norm[at[near]][:, None]
             for a, b in zip(*np.nonzero(scores >= self.limits[0])):
-                yield int(text[near[a]]), int(begins[low + near[a]]), int(b), float(scores[a, b])
+                yield int(text[at[near[a]]]), int(begins[at[near[a]]]), int(b), float(scores[a, b])
 
     def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item, cosine, share of the longest common subsequence, share of the rarest words)."""
