@@ -1,20 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Inverse document frequencies of hashed words (lower case, without ASCII marks) over all documents and items.
-2. The benchmark's items, in passages of at most ``PASSAGE`` words, are the rows of a TF-IDF matrix. Its
-   singular vectors come from a randomised SVD in Spark jobs: a random projection, a power iteration and the small
-   products are summed over tasks; only matrices of rank x rank size are factored at the driver.
-3. Every document's windows of ``3 * STRIDE`` words, one every ``STRIDE`` words, are projected on the same
-   vectors and compared with all passages, in blocks of ``BLOCK`` passages: candidates have a cosine of
+2. The benchmark's items, in passages of at most ``PASSAGE`` words, are the rows of TF-IDF matrices, one for each
+   block of about ``rank`` passages. The singular vectors of each come from a randomised SVD (a random projection
+   and a power iteration) in one task a block. A block has as many vectors as passages, so nothing of them is lost.
+3. Every document's windows of ``3 * STRIDE`` words, one every ``STRIDE`` words, are projected on the vectors of
+   each block and compared with its passages, ``BLOCKS`` blocks in one reading: candidates have a cosine of
    ``cosine`` or more. Windows whose squared weights lie by less than ``KNOWN`` (the squared cosine) on
-   words of the passages cannot reach it, and are not projected. The cosine divides by the length of the whole window, so it never exceeds the one of the
-   full TF-IDF vectors by rank, and equals it while the rank reaches the number of passages.
+   words of the passages cannot reach it, and are not projected. The cosine divides by the length of the whole window and equals
+   the one of the full TF-IDF vectors, however many passages there are.
 4. A candidate is a leak if the longest common subsequence of the item's words and the words around the window
    covers ``lcs`` of the item, or ``weak_lcs`` of it while ``answers`` of the item's rarest words, which stand for
    its answer, are there too: a paraphrase that keeps the facts.
 
-The broadcast tables are bounded: ``FEATURES`` frequencies, at most FEATURES x rank singular vectors, a block's
-passages. Documents are read twice and never shuffled.
+The broadcast tables are bounded: ``FEATURES`` frequencies, the passages of ``BLOCKS`` blocks and their singular
+vectors, one row for each word of a block. Documents are read once for the frequencies and once for every
+``BLOCKS`` blocks, and never shuffled.
 
 Defined results: null or blank texts and items match nothing; a null id is reported as null; rows that repeat an
 id give one row per item; a benchmark without words gives an empty result; other columns are ignored.
@@ -35,7 +36,7 @@ from curaspark.llm.shingles import MARKS, U, Words, mix
 
 BITS = 18
 FEATURES = 1 << BITS
-RANK, OVERSAMPLE, STRIDE, PASSAGE, BLOCK = 256, 8, 8, 48, 5_000
+RANK, OVERSAMPLE, STRIDE, PASSAGE, BLOCKS = 256, 8, 8, 48, 8
 COSINE, LCS, WEAK_LCS, ANSWERS = 0.35, 0.6, 0.45, 0.8
 #: Windows in which the passages' words hold less of the squared weights are not projected.
 KNOWN = COSINE**2
@@ -43,7 +44,7 @@ KNOWN = COSINE**2
 AT_ONCE = 2_048
 COUNT_SCHEMA = "feature int, uses long"
 PASSAGE_SCHEMA = "item_id long, part int, features array<int>, words array<long>"
-ROW_SCHEMA = "part int, feature int, v array<double>"
+VECTOR_SCHEMA = "block long, feature int, v array<float>"
 LEAK_SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answers double"
 
 
@@ -91,82 +92,27 @@ def _gauss(features: np.ndarray, width: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(np.minimum(u, 1.0))) * np.cos(2 * np.pi * v)
 
 
-def _lists(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row number, value) of a list column."""
-    lists = batch.column(column)
-    return np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
-
-
-def _product(row: np.ndarray, feature: np.ndarray, idf: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """The TF-IDF rows times a matrix whose rows are given for each (row, feature)."""
-    out = np.zeros((n, right.shape[1]))
-    np.add.at(out, row, right * idf[feature][:, None])
-    return out
-
-
-def _summed(df: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (part, feature, v) added by feature, in one task a part: the features and their rows, as two arrays."""
-
-    def add(table: pa.Table) -> pa.Table:
-        feature = table.column("feature").to_numpy()
-        at, place = np.unique(feature, return_inverse=True)
-        out = np.zeros((len(at), width))
-        np.add.at(out, place, np.array(table.column("v").combine_chunks().flatten()).reshape(-1, width))
-        return pa.table({"part": np.full(len(at), table.column("part")[0].as_py(), np.int32), "feature": at.astype(np.int32), "v": list(out)})
-
-    rows = df.groupBy("part").applyInArrow(add, ROW_SCHEMA).toArrow()
-    if not rows.num_rows:
-        return np.zeros(0, np.int32), np.zeros((0, width))
-    return rows.column("feature").to_numpy(), np.array(rows.column("v").combine_chunks().flatten()).reshape(-1, width)
-
-
-def singular_vectors(passages: DataFrame, idf: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors of the passages' TF-IDF matrix: (features that occur, a row of rank numbers for each)."""
-    width = rank + OVERSAMPLE
-
-    def gram(right) -> np.ndarray:
-        """(A right)' (A right), summed over tasks."""
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((width, width))
-            for batch in batches:
-                row, feature = _lists(batch, 0)
-                y = _product(row, feature, idf, right(feature), batch.num_rows)
-                total += y.T @ y
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(width, np.int32)), pa.array(np.arange(width, dtype=np.int32)), pa.array(list(total))], ["part", "feature", "v"])
-
-        order, rows = _summed(passages.select("features").mapInArrow(partial, ROW_SCHEMA), width)
-        return rows[np.argsort(order)]
-
-    def back(right, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A' (A right turn), by feature."""
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                row, feature = _lists(batch, 0)
-                y = _product(row, feature, idf, right(feature), batch.num_rows) @ turn
-                at, place = np.unique(feature, return_inverse=True)
-                z = np.zeros((len(at), width))
-                np.add.at(z, place, y[row] * idf[feature][:, None])
-                yield pa.RecordBatch.from_arrays([pa.array((at % 64).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(list(z))], ["part", "feature", "v"])
-
-        return _summed(passages.select("features").mapInArrow(partial, ROW_SCHEMA), width)
+def singular_vectors(lists: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors, one a passage, of the passages' TF-IDF matrix: (features that occur, a row of numbers for each)."""
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    at, place = np.unique(np.concatenate(lists), return_inverse=True)
+    a = np.zeros((len(lists), len(at)))
+    np.add.at(a, (row, place), idf[at][place])
 
     def whitening(g: np.ndarray) -> np.ndarray:
         """The matrix that makes columns of this Gram matrix orthonormal; what is numerically zero stays zero."""
         s, u = np.linalg.eigh(g)
         return u * np.where(s > 1e-10 * max(s.max(), 1e-300), 1 / np.sqrt(np.maximum(s, 1e-300)), 0)
 
-    right = lambda f: _gauss(f, width)
+    basis = _gauss(at, len(lists) + OVERSAMPLE)
     for _ in range(2):  # a power iteration between two orthonormalisations
-        at, z = back(right, whitening(gram(right)))
-        index = np.zeros(FEATURES, np.int32)
-        index[at] = np.arange(len(at))
+        y = a @ basis
+        z = a.T @ (y @ whitening(y.T @ y))
         # Orthonormal columns that span the same space.
         basis = z @ whitening(z.T @ z)
-        right = lambda f, index=index, basis=basis: basis[index[f]]
-    s, u = np.linalg.eigh(gram(right))
-    return at, (basis @ u[:, np.argsort(-s)[:rank]]).astype(np.float32)
+    y = a @ basis
+    s, u = np.linalg.eigh(y.T @ y)
+    return at, (basis @ u[:, np.argsort(-s)[: len(lists)]]).astype(np.float32)
 
 
 def lcs_length(item: list[int], words: list[int]) -> int:
@@ -239,10 +185,9 @@ class Search:
             for a, b in zip(*np.nonzero(scores >= self.limits[0])):
                 yield int(text[at[near[a]]]), int(begins[at[near[a]]]), int(b), float(scores[a, b])
 
-    def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
+    def leaks(self, w: Words) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item, cosine, share of the longest common subsequence, share of the rarest words)."""
         _, lcs, weak, answers = self.limits
-        w = Words(texts, blank=MARKS)
         first = np.cumsum(w.count) - w.count
         near: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for text, at, passage, score in self.candidates(w):
@@ -272,21 +217,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id="doc_id", text="text
     idf = frequencies(rows.union(items))
     passages = scratch.put(items.where("item_id is not null").dropDuplicates(["item_id"]).mapInArrow(_passages, PASSAGE_SCHEMA), "passages")
     n = passages.count()
-    at, vectors = singular_vectors(passages, idf, min(rank, n)) if n else (np.zeros(0, np.int32), np.zeros((0, 1), np.float32))
+    # Smaller ones than rank where there are many, so that few exceed it; those have more vectors.
+    blocks = 1 if n <= rank else -(-n // max(1, rank * 3 // 4))
+    numbered = passages.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+
+    def factored(table: pa.Table) -> pa.Table:
+        at, vectors = singular_vectors([np.array(x) for x in table.column("features").to_pylist()], idf)
+        v = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * vectors.shape[1], vectors.ravel())
+        return pa.table({"block": np.full(len(at), table.column("block")[0].as_py()), "feature": at.astype(np.int32), "v": v})
 
     found = docs.sparkSession.createDataFrame([], LEAK_SCHEMA)
-    numbered = passages.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(-(-n // BLOCK) or 1)))
-    for block in range(-(-n // BLOCK)):
-        held = numbered.where(F.col("block") == block).orderBy("item_id", "part").collect()
-        words: dict[int, list[int]] = {}
-        for r in held:
-            words.setdefault(r["item_id"], []).extend(x % 2**64 for x in r["words"])
-
-        def search(batches: Iterator[pa.RecordBatch], held=held, words=words) -> Iterator[pa.RecordBatch]:
-            s = Search(idf, at, vectors, held, words, cosine, lcs, weak_lcs, answers)
+    for low in range(0, blocks if n else 0, BLOCKS):
+        some = numbered.where(F.col("block").between(low, low + BLOCKS - 1))
+        rows_of: dict[int, list] = {}
+        for r in some.orderBy("block", "item_id", "part").collect():
+            rows_of.setdefault(r["block"], []).append(r)
+        vectors = some.groupBy("block").applyInArrow(factored, VECTOR_SCHEMA).toArrow()
+        of = vectors.column("block").to_numpy()
+        parts = []
+        for block, held in rows_of.items():
+            mine = vectors.filter(pa.array(of == block))
+            words: dict[int, list[int]] = {}
+            for r in held:
+                words.setdefault(r["item_id"], []).extend(x % 2**64 for x in r["words"])
+            v = np.array(mine.column("v").combine_chunks().flatten()).reshape(mine.num_rows, -1)
+            parts.append((mine.column("feature").to_numpy(), v, [r.asDict() for r in held], words))
+
+        def search(batches: Iterator[pa.RecordBatch], parts=parts) -> Iterator[pa.RecordBatch]:
+            searches = [Search(idf, *part, cosine, lcs, weak_lcs, answers) for part in parts]
             for piece in _pieces(batches):
-                ids = piece.column(0).to_pylist()
-                leaks = [(ids[t], *x) for t, *x in s.leaks(piece.column(1))]
+                ids, w = piece.column(0).to_pylist(), Words(piece.column(1), blank=MARKS)
+                leaks = [(ids[t], *x) for s in searches for t, *x in s.leaks(w)]
                 columns = list(zip(*leaks)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "cosine", "lcs", "answers"])

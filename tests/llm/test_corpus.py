@@ -200,6 +200,20 @@ def test_leaks(spark, docs, odd, none):
     assert decontaminate.find_leaks(docs, blank).count() == 0
 
 
+def test_leaks_of_many_passages(spark):
+    """Verbatim items are found however many there are."""
+    rng = random.Random(17)
+    word = lambda: f"w{int(4000 * rng.random() ** 2)}"
+    items = [(i, " ".join(word() for _ in range(rng.randint(15, 48)))) for i in range(2_100)]
+    rows, planted = [], set()
+    for d in range(0, len(items), 3):
+        rows.append((d, " ".join(" ".join(word() for _ in range(40)) + " " + t for _, t in items[d : d + 3])))
+        planted |= {(d, i) for i, _ in items[d : d + 3]}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= planted
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     scratch = Scratch(spark, "test_pipeline")
