@@ -6,19 +6,21 @@
    and a power iteration) in one task a block. A block has as many vectors as passages, so nothing of them is lost.
 3. Every document's windows of ``3 * STRIDE`` words, one every ``STRIDE`` words, are projected on the vectors of
    each block and compared with its passages, ``BLOCKS`` blocks in one reading: candidates have a cosine of
-   ``cosine`` or more. Windows whose squared weights lie by less than ``KNOWN`` (the squared cosine) on
+   ``cosine`` or more. Windows whose squared weights lie by less than the squared cosine on
    words of the passages cannot reach it, and are not projected. The cosine divides by the length of the whole window and equals
    the one of the full TF-IDF vectors, however many passages there are.
-4. A candidate is a leak if the longest common subsequence of the item's words and the words around the window
-   covers ``lcs`` of the item, or ``weak_lcs`` of it while ``answers`` of the item's rarest words, which stand for
-   its answer, are there too: a paraphrase that keeps the facts.
+4. A candidate is a leak if the longest common subsequence of the passage's words and the words around the window
+   covers ``lcs`` of the passage, or ``weak_lcs`` of it while ``answers`` of the passage's rarest words, which stand
+   for its answer, are there too: a paraphrase that keeps the facts. So one passage of a long item is enough; the
+   words of ``SECTION`` passages of an item that follow each other are held to the same shares as one.
 
 The broadcast tables are bounded: ``FEATURES`` frequencies, the passages of ``BLOCKS`` blocks and their singular
 vectors, one row for each word of a block. Documents are read once for the frequencies and once for every
 ``BLOCKS`` blocks, and never shuffled.
 
-Defined results: null or blank texts and items match nothing; a null id is reported as null; rows that repeat an
-id give one row per item; a benchmark without words gives an empty result; other columns are ignored.
+Defined results: null or blank texts and items match nothing; a null id, of a document or an item, is
+reported as null; rows that repeat a document's or an item's id are all searched, with each of their different
+texts, and give one row per document and item id, with the best of each figure; a benchmark without words gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +38,12 @@ from curaspark.llm.shingles import MARKS, U, Words, mix
 
 BITS = 18
 FEATURES = 1 << BITS
-RANK, OVERSAMPLE, STRIDE, PASSAGE, BLOCKS = 256, 8, 8, 48, 8
+RANK, OVERSAMPLE, STRIDE, PASSAGE, SECTION, BLOCKS = 256, 8, 8, 48, 4, 8
 COSINE, LCS, WEAK_LCS, ANSWERS = 0.35, 0.6, 0.45, 0.8
-#: Windows in which the passages' words hold less of the squared weights are not projected.
-KNOWN = COSINE**2
 #: Windows projected at once.
 AT_ONCE = 2_048
 COUNT_SCHEMA = "feature int, uses long"
-PASSAGE_SCHEMA = "item_id long, part int, features array<int>, words array<long>"
+PASSAGE_SCHEMA = "item_id long, text_hash long, part int, features array<int>, words array<long>"
 VECTOR_SCHEMA = "block long, feature int, v array<float>"
 LEAK_SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answers double"
 
@@ -75,14 +75,14 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in _pieces(batches):
         w = Words(piece.column(1), blank=MARKS)
-        ids, rows = piece.column(0).to_pylist(), []
+        ids, rows = list(zip(piece.column(0).to_pylist(), piece.column(2).to_pylist())), []
         for i, hashes in enumerate(np.split(w.hash, np.cumsum(w.count)[:-1])):
             parts = max(1, -(-len(hashes) // PASSAGE))
-            rows += [(ids[i], k, part) for k, part in enumerate(np.array_split(hashes, parts)) if len(part)]
-        columns = list(zip(*rows)) or [(), (), ()]
-        arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32())]
-        arrays += [pa.array([features_of(p) for p in columns[2]], pa.list_(pa.int32())), pa.array([p.view(np.int64) for p in columns[2]], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["item_id", "part", "features", "words"])
+            rows += [(*ids[i], k, part) for k, part in enumerate(np.array_split(hashes, parts)) if len(part)]
+        columns = list(zip(*rows)) or [(), (), (), ()]
+        arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())]
+        arrays += [pa.array([features_of(p) for p in columns[3]], pa.list_(pa.int32())), pa.array([p.view(np.int64) for p in columns[3]], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["item_id", "text_hash", "part", "features", "words"])
 
 
 def _gauss(features: np.ndarray, width: int) -> np.ndarray:
@@ -131,12 +131,23 @@ def lcs_length(item: list[int], words: list[int]) -> int:
 class Search:
     """A block of passages, and what is needed to compare a batch of texts with them."""
 
-    def __init__(self, idf: np.ndarray, at: np.ndarray, vectors: np.ndarray, block: list, items: dict[int, list[int]], cosine: float, lcs: float, weak_lcs: float, answers: float):
-        self.idf, self.items = idf, items
+    def __init__(self, idf: np.ndarray, at: np.ndarray, vectors: np.ndarray, block: list, cosine: float, lcs: float, weak_lcs: float, answers: float):
+        self.idf = idf
+        self.words = [[x % 2**64 for x in r["words"]] for r in block]
         self.vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
         self.index = np.full(FEATURES, -1, np.int32)
         self.index[at] = np.arange(len(at))
-        self.item_of = np.array([r["item_id"] for r in block], np.int64)
+        self.item_of = [r["item_id"] for r in block]
+        # What is looked for in the texts: each passage, and each section of more than one.
+        sections: dict[tuple, list[int]] = {}
+        for i, r in enumerate(block):
+            sections.setdefault((r["item_id"], r["text_hash"], r["part"] // SECTION), []).append(i)
+        self.targets = [[i] for i in range(len(block))]
+        for members in (m for m in sections.values() if len(m) > 1):
+            for i in members:
+                self.targets[i].append(len(self.words))
+            self.item_of.append(self.item_of[members[0]])
+            self.words.append([x for i in members for x in self.words[i]])
         latent = np.zeros((len(block), vectors.shape[1]), np.float32)
         for i, r in enumerate(block):
             f = np.array(r["features"])
@@ -144,10 +155,10 @@ class Search:
             latent[i] = weights @ vectors[self.index[np.unique(f)]] / max(np.linalg.norm(weights), 1e-9)
         self.latent = np.ascontiguousarray(latent.T)
         self.limits = cosine, lcs, weak_lcs, answers
-        self.rare = {}
-        for i, words in items.items():
+        self.rare = []
+        for words in self.words:
             by_rarity = sorted(set(words), key=lambda w: (-idf[np.uint64(w) >> U(64 - BITS)], w))
-            self.rare[i] = set(by_rarity[: max(3, len(words) // 6)])
+            self.rare.append(set(by_rarity[: max(3, len(words) // 6)]))
 
     def candidates(self, w: Words) -> Iterator[tuple[int, int, int, float]]:
         """(text, first word of the window, number of the passage, cosine)."""
@@ -169,7 +180,7 @@ class Search:
             end[same] = ends[same + k + 1]
             norm[same] += all_[same + k]
             held[same] += mine[same + k]
-        chosen = np.flatnonzero((held > 0) & (held >= KNOWN * norm))
+        chosen = np.flatnonzero((held > 0) & (held >= max(self.limits[0], 0) ** 2 * norm))
         norm = np.sqrt(np.maximum(norm, 1e-9))
         for low in range(0, len(chosen), AT_ONCE):
             at = chosen[low : low + AT_ONCE]
@@ -191,9 +202,10 @@ class Search:
         first = np.cumsum(w.count) - w.count
         near: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for text, at, passage, score in self.candidates(w):
-            near.setdefault((text, int(self.item_of[passage])), []).append((at, score))
-        for (text, item), places in near.items():
-            words, best, regions = self.items[item], None, []
+            for target in self.targets[passage]:
+                near.setdefault((text, target), []).append((at, score))
+        for (text, target), places in near.items():
+            words, rare, best, regions = self.words[target], self.rare[target], None, []
             for at, _ in sorted(places):  # regions around windows, those that overlap made one
                 low, high = max(at - len(words), first[text]), min(at + 3 * STRIDE + len(words), first[text] + w.count[text])
                 if regions and low <= regions[-1][1] and high - regions[-1][0] <= 4 * len(words) + 6 * STRIDE:
@@ -203,10 +215,10 @@ class Search:
             for low, high in regions:
                 around = w.hash[low:high].tolist()
                 share = lcs_length(words, around) / len(words)
-                held = len(self.rare[item].intersection(around)) / len(self.rare[item])
+                held = len(rare.intersection(around)) / len(rare)
                 best = max(best or (0.0, 0.0), (share, held))
             if best[0] >= lcs or (best[0] >= weak and best[1] >= answers):
-                yield text, item, max(s for _, s in places), best[0], best[1]
+                yield text, self.item_of[target], max(s for _, s in places), best[0], best[1]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id="doc_id", text="text", item="item_id", item_text="text", rank=RANK, cosine=COSINE, lcs=LCS, weak_lcs=WEAK_LCS, answers=ANSWERS) -> DataFrame:
@@ -215,11 +227,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id="doc_id", text="text
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     idf = frequencies(rows.union(items))
-    passages = scratch.put(items.where("item_id is not null").dropDuplicates(["item_id"]).mapInArrow(_passages, PASSAGE_SCHEMA), "passages")
+    passages = scratch.put(items.distinct().withColumn("text_hash", F.xxhash64("text")).mapInArrow(_passages, PASSAGE_SCHEMA), "passages")
     n = passages.count()
     # Smaller ones than rank where there are many, so that few exceed it; those have more vectors.
     blocks = 1 if n <= rank else -(-n // max(1, rank * 3 // 4))
-    numbered = passages.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    numbered = passages.withColumn("block", F.pmod(F.xxhash64("item_id", "text_hash", F.floor(F.col("part") / SECTION)), F.lit(blocks)))
 
     def factored(table: pa.Table) -> pa.Table:
         at, vectors = singular_vectors([np.array(x) for x in table.column("features").to_pylist()], idf)
@@ -230,18 +242,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id="doc_id", text="text
     for low in range(0, blocks if n else 0, BLOCKS):
         some = numbered.where(F.col("block").between(low, low + BLOCKS - 1))
         rows_of: dict[int, list] = {}
-        for r in some.orderBy("block", "item_id", "part").collect():
+        for r in some.orderBy("block", "item_id", "text_hash", "part").collect():
             rows_of.setdefault(r["block"], []).append(r)
         vectors = some.groupBy("block").applyInArrow(factored, VECTOR_SCHEMA).toArrow()
         of = vectors.column("block").to_numpy()
         parts = []
         for block, held in rows_of.items():
             mine = vectors.filter(pa.array(of == block))
-            words: dict[int, list[int]] = {}
-            for r in held:
-                words.setdefault(r["item_id"], []).extend(x % 2**64 for x in r["words"])
             v = np.array(mine.column("v").combine_chunks().flatten()).reshape(mine.num_rows, -1)
-            parts.append((mine.column("feature").to_numpy(), v, [r.asDict() for r in held], words))
+            parts.append((mine.column("feature").to_numpy(), v, [r.asDict() for r in held]))
 
         def search(batches: Iterator[pa.RecordBatch], parts=parts) -> Iterator[pa.RecordBatch]:
             searches = [Search(idf, *part, cosine, lcs, weak_lcs, answers) for part in parts]

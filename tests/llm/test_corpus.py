@@ -214,6 +214,22 @@ def test_leaks_of_many_passages(spark):
     assert {(r.doc_id, r.item_id) for r in got} >= planted
 
 
+def test_leaks_of_all_item_rows(spark):
+    """Every text of a repeated or null item id is searched, one passage of a long item is a leak, and a smaller cosine finds more."""
+    rng = random.Random(19)
+    text = lambda n: " ".join(f"w{rng.randrange(5_000)}" for _ in range(n))
+    one, two, nameless, long = text(30), text(30), text(30), text(400)
+    docs = [(i, f"{text(60)} {t} {text(60)}") for i, t in enumerate((one, two, nameless, " ".join(long.split()[:50])))] + [(9, text(200))]
+    items = [(1, one), (1, two), (1, two), (None, nameless), (2, long)]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, benchmark).collect()} == {(0, 1), (1, 1), (2, None), (3, 2)}
+    # Eight words of an item far apart, in order: too few for the usual cosine.
+    thin = spark.createDataFrame([(5, " ".join(f"{text(9)} {w}" for w in one.split()[:8]))], df.schema)
+    less = {"lcs": 0.05, "weak_lcs": 0.05}
+    assert not decontaminate.find_leaks(thin.union(df.where("doc_id = 9")), benchmark, **less).where("doc_id = 5").count()
+    assert decontaminate.find_leaks(thin.union(df.where("doc_id = 9")), benchmark, cosine=0.05, **less).where("doc_id = 5 and item_id = 1").count()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     scratch = Scratch(spark, "test_pipeline")
