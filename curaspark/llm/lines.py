@@ -1,8 +1,8 @@
 """Line dedup: fuzzy lines by MinHash, with DataFrame and SQL functions only.
 
-A line is compared without the spaces around it; lines of fewer than ``min_chars`` characters are never
-duplicates. A line is the set of 64-bit hashes of its ``width``-character shingles: those that begin with a word,
-and where words are longer than ``LONG_WORDS`` characters on average (scripts without spaces) all of them. Its MinHash signature is the bottom of the sorted set; a band is ``ROWS`` neighbours
+A line is compared lower-cased, its runs of blanks as one blank; lines of fewer than ``min_chars`` characters
+then are never duplicates. A line is the set of 64-bit hashes of all its ``width``-character shingles (a shorter
+one is a single shingle). Its MinHash signature is the bottom of the sorted set; a band is ``ROWS`` neighbours
 among the ``MINIMA`` least hashes, so lines that share a run of minima meet. At a similarity of 0.8 a run is
 shared in 98 of 100 cases, in more above it; sets of up to ``SMALL`` shingles also band by pairs.
 
@@ -26,22 +26,20 @@ from pyspark.sql import functions as F
 from curaspark.llm.common import BROADCAST_ROWS, Scratch, join_counted, let
 from curaspark.llm.components import components
 
-WIDTH, PERCENT, MIN_CHARS, LONG_WORDS = 12, 80, 24, 24
+WIDTH, PERCENT, MIN_CHARS = 8, 80, 24
 MINIMA, ROWS, SMALL = 12, 3, 24
 ROW = ["doc_id", "text_hash"]
 
 
-def shingle_hashes(line: Column, width: int) -> Column:
-    """Sorted, distinct."""
-    at_words = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^ ].{{0,{width - 1}}}))[^ ]++"), F.lit(1))
+def normalised(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), r"\x20*[\x09-\x0D][\x20\x09-\x0D]*|\x20{2,}", " "))
 
-    def everywhere(line: Column) -> Column:
-        """Of the UTF-32 bytes every four are a character, so a shingle is cut out at once."""
-        at = F.sequence(F.lit(1), F.greatest(F.length(line) - width + 1, F.lit(1)))
-        return let(F.encode(line, "UTF-32"), lambda b: F.transform(at, lambda i: F.xxhash64(F.substring(b, i * 4 - 3, F.lit(4 * width)))))
 
-    hashed = let(at_words, lambda w: F.when(F.length(line) > LONG_WORDS * F.size(w), everywhere(line)).otherwise(F.transform(w, lambda x: F.xxhash64(x))))
-    return F.sort_array(F.array_distinct(hashed))
+def shingle_hashes(line: Column, width: int) -> Column:
+    """Sorted, distinct. Of the UTF-32 bytes every four are a character, so a shingle is cut out at once."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(line) - width + 1, F.lit(1)))
+    cut = lambda b: F.transform(at, lambda i: F.xxhash64(F.substring(b, i * 4 - 3, F.lit(4 * width))))
+    return F.sort_array(F.array_distinct(let(F.encode(line, "UTF-32"), cut)))
 
 
 def bands(hashes: Column) -> Column:
@@ -60,9 +58,9 @@ def bands(hashes: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per line long enough: the row's identity, line_no, the line, and its two hashes."""
+    """One row per line long enough: the row's identity, line_no, the normalised line, and its two hashes."""
     rows = docs.where("doc_id is not null and text is not null").select(*ROW, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.select(*ROW, "line_no", F.trim("line").alias("line")).where(F.length("line") >= min_chars)
+    rows = rows.select(*ROW, "line_no", normalised(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
 
 

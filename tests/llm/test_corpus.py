@@ -124,6 +124,26 @@ def test_lines(docs, odd, odd_rows, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_lines_by_all_shingles(spark, docs):
+    """Brute force over all 8-character shingles of the lower-cased lines, their runs of blanks as one blank."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    more = ["see https://cdn.example.org/a/8347293847", "see https://cdn.example.org/a/1129384756", "A Heading  in Capitals of the Corpus", "a heading in capitals of the corpus"]
+    rows += [(1_000_000 + i, x) for i, x in enumerate(more)]
+    sets, groups = [], Groups()
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            line = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
+            if len(line) >= 24:
+                sets.append(((i, k), frozenset(line[j : j + 8] for j in range(len(line) - 7))))
+    for a, b in similar_pairs(sets):
+        groups.join(a, b)
+    gone = {x for x, _ in sets if groups.find(x) != x}
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+    assert want[1_000_001] == more[1] and want[1_000_003] == ""
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
+
+
 def brute_repeats(rows) -> dict:
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
     first: dict[bytes, int] = {}
