@@ -1,13 +1,14 @@
 """SentencePiece encoding with seeded merge dropout, and lossless decoding, of a merge-type (BPE) model.
 
 Agenda processing takes the best-scored merge of two neighbours first, the leftmost of equals. With dropout each
-candidate is skipped if a hash keyed with the seed, its place in the word and the word's variant says so; the
-hash is a pure function, so a candidate is skipped for good and a retried task gives the same tokens. A word's
-variant follows from the seed, the document and the word's place in it, so a word that occurs often is cut in up
-to ``variants`` ways. Without dropout the tokens are those of the model's own encoder.
-
-Merges never cross from a letter to a blank, so words are encoded by themselves: all new (word, variant) pairs of
-a batch at once, step by step, with numpy; results are held in a table of bounded size. Characters outside the
+candidate is skipped if a hash keyed with the seed, the document, the word's place in it and the candidate's place
+in the word says so; the hash is a pure function, so a candidate is skipped for good and a retried task gives the
+same tokens, and every occurrence of a word draws its own skips. Without dropout the tokens are those of the model's
+own encoder.
+
+Merges never cross from a letter to a blank, so words are encoded by themselves: all new words of a
+batch, and all occurrences that skip a candidate, at once, step by step, with numpy; results without skips are held
+in a table of bounded size. Characters outside the
 vocabulary become bytes, and so does the blank sign itself (U+2581), so decoding gives every text back exactly.
 
 Defined results: null text is empty and has no tokens; a null id hashes as 0; rows that repeat an id and a text
@@ -34,6 +35,8 @@ BLANK = "▁"
 #: A word is a run of blanks and the characters up to the next blank.
 WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 HELD = 200_000
+#: Occurrences of words worked on at once.
+AT_ONCE = 65_536
 #: Bytes encoded, and rows decoded, at once.
 BYTES_AT_ONCE, ROWS_AT_ONCE = 2 << 20, 256
 #: Stands for a blank sign of the text itself until it becomes bytes; no valid string holds a lone surrogate.
@@ -123,8 +126,8 @@ class Model:
         left = [i for i in range(n) if alive[i]]
         return np.array(left, np.int64), np.array([symbol[i] for i in left], np.int64)
 
-    def segment(self, words: list[str], variants: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, each in its variant, one word after the other, and how many each has."""
+    def segment(self, words: list[str], variants: np.ndarray, dropout: float, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, each in its variant, one word after the other, and how many each has. seen takes (word, place) of the candidates of words up to LONG."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbol = self.point[points].astype(np.int64)
@@ -145,13 +148,16 @@ class Model:
             """The piece that symbol i and its right neighbour make, -1 where none or skipped."""
             right = np.minimum(i + 1, len(symbol) - 1)
             made = np.where((word[i] == word[right]) & (right > i), self.merge_of(symbol[i], symbol[right]), -1)
-            if dropout > 0:
+            if dropout > 0 or seen is not None:
                 some = np.flatnonzero(made >= 0)
                 own, right = i[some], right[some]
                 nxt = np.minimum(right + 1, len(symbol) - 1)
                 end = np.where((nxt > right) & (word[nxt] == word[own]), begin[nxt], sizes[word[own]])
-                skip = mix(mix(variants[word[own]].astype(U)) ^ place_of(begin[own], begin[right], end)) < limit
-                made[some[skip]] = -1
+                place = place_of(begin[own], begin[right], end)
+                if seen is not None:
+                    seen.append((word[own], place))
+                if dropout > 0:
+                    made[some[mix(mix(variants[word[own]].astype(U)) ^ place) < limit]] = -1
             return made
 
         made = candidates(np.arange(len(symbol)))
@@ -207,18 +213,43 @@ def model_of(proto: bytes) -> Model:
 
 
 class Encoder:
-    """Encodes texts; holds the ids of the words it has met, up to a number of words."""
+    """Encodes texts; holds the ids of the words it has met as they are without skips, up to a number of words.
+
+    Every occurrence draws its own skips, by seed, document and place. One that skips none of the candidates met without
+    skips has the ids held; the agenda runs again for all others.
+    """
 
-    def __init__(self, model: Model, dropout: float, seed: int, variants: int):
+    def __init__(self, model: Model, dropout: float, seed: int):
         self.model, self.dropout, self.seed = model, dropout, seed
-        self.variants = variants if dropout > 0 else 1
-        self.salt = mix(np.arange(self.variants, dtype=U) + mix(np.array([seed], np.int64).view(U)))
+        self.limit = U(min(int(dropout * 2.0**64), 2**64 - 1))
         self.clear()
 
     def clear(self) -> None:
         self.held: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.start = self.size = np.zeros(0, np.int64)  # by word and variant; size -1: not met yet
+        self.flat, self.places = np.zeros(0, np.int32), np.zeros(0, U)
+        self.start = self.size = self.place_start = self.place_size = np.zeros(0, np.int64)  # by word
+        self.long = np.zeros(0, bool)
+
+    def meet(self, words: list[str]) -> None:
+        """Holds new words: their ids without skips, and the places of the candidates on the way there."""
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        flat, sizes = self.model.segment(words, np.zeros(len(words), U), 0.0, seen if self.dropout > 0 else None)
+        word, place = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, U)), *seen))
+        counts = np.bincount(word, minlength=len(words))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.place_start = np.concatenate([self.place_start, len(self.places) + np.cumsum(counts) - counts])
+        self.size, self.place_size = np.concatenate([self.size, sizes]), np.concatenate([self.place_size, counts])
+        self.flat, self.places = np.concatenate([self.flat, flat]), np.concatenate([self.places, place[np.argsort(word, kind="stable")]])
+        self.long = np.concatenate([self.long, np.fromiter((len(w) > LONG for w in words), bool, len(words))])
+
+    def skipping(self, number: np.ndarray, keyed: np.ndarray) -> np.ndarray:
+        """The occurrences in which a candidate is skipped, and all of long words."""
+        counts = self.place_size[number]
+        ends = np.cumsum(counts)
+        place = self.places[np.repeat(self.place_start[number] - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        some = self.long[number]
+        some[np.repeat(np.arange(len(number)), counts)[mix(np.repeat(mix(keyed), counts) ^ place) < self.limit]] = True
+        return np.flatnonzero(some)
 
     def encode(self, texts: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and how many each has."""
@@ -229,27 +260,28 @@ class Encoder:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         n, held = int(sizes.sum()), self.held
         number = np.fromiter((held.setdefault(w, len(held)) for p in parts for w in p), np.int64, n)
-        grown = (len(held) - known) * self.variants
-        self.start, self.size = np.concatenate([self.start, np.zeros(grown, np.int64)]), np.concatenate([self.size, np.full(grown, -1)])
+        words = list(held)
+        if len(words) > known:
+            self.meet(words[known:])
 
         first = np.cumsum(sizes) - sizes
-        place = np.arange(n) - np.repeat(first, sizes)
-        keyed = mix(mix(np.repeat(ids.astype(np.int64).view(U), sizes) + U(self.seed)) + place.astype(U))
-        slot = number * self.variants + (keyed % U(self.variants)).astype(np.int64)
-        new = np.unique(slot[self.size[slot] < 0])
-        if len(new):
-            words = list(held)
-            flat, lengths = self.model.segment([words[i] for i in (new // self.variants).tolist()], self.salt[new % self.variants], self.dropout)
-            self.start[new], self.size[new] = len(self.flat) + np.cumsum(lengths) - lengths, lengths
-            self.flat = np.concatenate([self.flat, flat])
-        lengths = self.size[slot]
+        flat, start, lengths = self.flat, self.start[number], self.size[number]
+        if self.dropout > 0:
+            place = np.arange(n) - np.repeat(first, sizes)
+            keyed = mix(mix(np.repeat(ids.astype(np.int64).view(U), sizes) ^ mix(np.array([self.seed], np.int64).view(U))) + place.astype(U))
+            for low in range(0, n, AT_ONCE):
+                again = low + self.skipping(number[low : low + AT_ONCE], keyed[low : low + AT_ONCE])
+                if len(again):
+                    own, counts = self.model.segment([words[i] for i in number[again].tolist()], keyed[again], self.dropout)
+                    start[again], lengths[again] = len(flat) + np.cumsum(counts) - counts, counts
+                    flat = np.concatenate([flat, own])
         ends = np.cumsum(lengths)
-        out = self.flat[np.repeat(self.start[slot] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        out = flat[np.repeat(start - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
         return out, np.diff(np.concatenate([[0], ends])[np.concatenate([first, [n]])])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], proto: bytes, dropout: float, seed: int, variants: int) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(model_of(proto), dropout, seed, variants)
+def _encode(batches: Iterator[pa.RecordBatch], proto: bytes, dropout: float, seed: int) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder(model_of(proto), dropout, seed)
     for piece in _pieces(batches, BYTES_AT_ONCE):
         ids, sizes = encoder.encode(piece.column(1).to_pylist(), piece.column(0).fill_null(0).to_numpy(zero_copy_only=False))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -268,11 +300,11 @@ def _decode(batches: Iterator[pa.RecordBatch], proto: bytes) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
 
-def encode(docs: DataFrame, model_path: str, *, id="doc_id", text="text", dropout=0.1, seed=1, variants=4) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, *, id="doc_id", text="text", dropout=0.1, seed=1) -> DataFrame:
     """Per row: doc_id and ids array<int>. The driver reads the model file, whose size is fixed, and sends it along."""
     proto = read_model(model_path)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda batches: _encode(batches, proto, dropout, seed, variants), ENCODED_SCHEMA)
+    return rows.mapInArrow(lambda batches: _encode(batches, proto, dropout, seed), ENCODED_SCHEMA)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

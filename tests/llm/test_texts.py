@@ -161,6 +161,20 @@ def test_pieces_with_dropout_decode_exactly(docs, odd, none):
     assert pieces.encode(none, queries.PIECE_MODEL).count() == 0
 
 
+def test_dropout_draws_for_each_occurrence(spark):
+    """One word has many segmentations, and each occurrence that of the agenda under its own draws."""
+    word, times = "internationalization", 1_500
+    model = pieces.model_of(pieces.read_model(queries.PIECE_MODEL))
+    encoder = pieces.Encoder(model, 0.3, 1)
+    calls, plain = [], model.segment
+    encoder.model = type("Spy", (), {"segment": lambda self, *a: calls.append(a) or plain(*a)})()
+    ids, sizes = encoder.encode([" ".join([word, "the"] * times)] * 2, np.array([4, 9]))
+    drawn = [tuple(x) for call in calls if call[2] > 0 for f, n in [plain(*call)] for x in np.split(f, np.cumsum(n)[:-1])]
+    assert len(set(drawn)) > 20 and len(drawn) < 4 * times and ids[: sizes[0]].tolist() != ids[sizes[0] :].tolist()
+    skipping, encoder.skipping = encoder.skipping, lambda number, keyed: np.arange(len(number))
+    assert encoder.encode([" ".join([word, "the"] * times)] * 2, np.array([4, 9]))[0].tolist() == ids.tolist()
+
+
 def test_agenda_equals_steps():
     model = pieces.model_of(pieces.read_model(queries.PIECE_MODEL))
     words = [pieces.BLANK + w for w in ("tokenization", "internationally", "aaaaaaaa", "x", "ééé日本", "preprocessing" * 4)]
