@@ -17,9 +17,11 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (single machine)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="curaspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -72,3 +74,8 @@ BROADCAST_ROWS = 500_000
 def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], how: str, right_rows: int) -> DataFrame:
     """A join whose right side, of narrow rows that were counted, is broadcast only when it has few of them."""
     return left.join(F.broadcast(right) if right_rows <= BROADCAST_ROWS else right, on, how)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out over all shuffle partitions: for small rows that each make much work, which Spark would gather in few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

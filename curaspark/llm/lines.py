@@ -2,59 +2,67 @@
 
 A line is compared lower-cased, its runs of blanks as one blank; lines of fewer than ``min_chars`` characters
 then are never duplicates. A line is the set of 64-bit hashes of all its ``width``-character shingles (a shorter
-one is a single shingle). Its MinHash signature is the bottom of the sorted set; a band is ``ROWS`` neighbours
-among the ``MINIMA`` least hashes, so lines that share a run of minima meet. At a similarity of 0.8 a run is
-shared in 98 of 100 cases, in more above it; sets of up to ``SMALL`` shingles also band by pairs.
+one is a single shingle). Its MinHash signature is one permutation in ``BINS`` bins: the least hash of each bin.
+Shingles are exploded into rows, where hashing stays in compiled code, and only those whose hash is small enough
+to be a minimum (``RATE`` of a line in the mean) are gathered. A band is ``ROWS`` neighbouring bins, the last ones
+next to the first. At a similarity of 0.8 two lines share a band in 98.7 of 100 cases, in more above it.
 
 1. Equal lines collapse to one by a 128-bit hash; one occurrence, the first by (document, line number), leads.
 2. Bands are counted with map-side combining; only bands of two or more different lines go on.
 3. Every line of a band is verified exactly against the band's least line, then against one drawn by a hash; the
-   links make components. Only pairs of a band whose components still differ, and whose 256-bit sketches are near
-   enough for the threshold, are verified as well. So a band of many copies gives no pairs.
+   links make components. Only pairs of a band whose components still differ, and whose 1,024-bit sketches are near
+   enough for the threshold, are verified as well, each pair in one of its bands. So a band of many copies gives
+   no pairs.
 4. Distributed union-find over the links; of each component the first line of the corpus stays.
 
 Defined results: null text stays null; a null id keeps all its lines; rows that repeat an id and a text are one
 document and lose the same lines; rows that repeat an id with another text count by themselves; empty lines and
-short lines stay; an empty table gives an empty result; other columns are kept.
+short lines stay; an empty table gives an empty result; other columns are kept, but for columns called n_lines and
+n_removed, which the results replace.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curaspark.llm.common import BROADCAST_ROWS, Scratch, join_counted, let
+from curaspark.llm.common import BROADCAST_ROWS, Scratch, join_counted, let, spread
 from curaspark.llm.components import components
 
 WIDTH, PERCENT, MIN_CHARS = 8, 80, 24
-MINIMA, ROWS, SMALL = 12, 3, 24
+BINS, ROWS, RATE = 12, 3, 48
 ROW = ["doc_id", "text_hash"]
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\x20*[\x09-\x0D][\x20\x09-\x0D]*|\x20{2,}", " "))
-
+    low = F.lower(line)
+    # Most lines have single blanks only, which a search sees faster than a replacement.
+    return F.trim(F.when(low.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")).otherwise(low))
 
-def shingle_hashes(line: Column, width: int) -> Column:
-    """Sorted, distinct. Of the UTF-32 bytes every four are a character, so a shingle is cut out at once."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(line) - width + 1, F.lit(1)))
-    cut = lambda b: F.transform(at, lambda i: F.xxhash64(F.substring(b, i * 4 - 3, F.lit(4 * width))))
-    return F.sort_array(F.array_distinct(let(F.encode(line, "UTF-32"), cut)))
 
+def shingles(lines: DataFrame, width: int) -> DataFrame:
+    """(k1, line) to (k1, n, h): the hash of each shingle, and how many there are. Of the UTF-32 bytes every four are a character."""
+    n = F.greatest(F.length("line") - width + 1, F.lit(1))
+    coded = lines.select("k1", n.alias("n"), F.encode("line", "UTF-32").alias("code"))  # below the explode, once a line
+    rows = coded.select("k1", "n", "code", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    return rows.select("k1", "n", F.xxhash64(F.substring(F.col("code"), F.col("at") * 4 + 1, F.lit(4 * width))).alias("h"))
 
-def bands(hashes: Column) -> Column:
-    """Hashes of runs of minima; sets near the size of small ones band both ways."""
 
-    def runs(minima: Column, rows: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(minima) - rows + 1, F.lit(1)))
-        return F.transform(at, lambda i: F.xxhash64(F.slice(minima, i, rows), F.lit(rows)))
+def banded(lines: DataFrame, width: int) -> DataFrame:
+    """(k1, line) to (k1, band). Short lines leave bins empty; a band needs two that are not."""
+    value, bin_ = F.shiftrightunsigned("h", 16), F.shiftright(F.col("h").bitwiseAND(F.lit(0xFFFF)) * BINS, 16)
+    few = shingles(lines, width).where(value < F.lit(2.0**48 * RATE) / F.col("n")).select("k1", value.alias("value"), bin_.alias("bin"))
+    least = few.groupBy("k1").agg(*[F.min(F.when(F.col("bin") == i, F.col("value"))).alias(f"m{i}") for i in range(BINS)])
 
-    def both(s: Column) -> Column:
-        none = F.array().cast("array<bigint>")
-        large = F.when(s["n"] > SMALL, runs(s["minima"], ROWS)).otherwise(none)
-        return F.concat(large, F.when(s["n"] * PERCENT <= SMALL * 100, runs(s["minima"], ROWS - 1)).otherwise(none))
+    def band(i: int) -> Column:
+        own = [F.col(f"m{(i + j) % BINS}") for j in range(ROWS)]
+        full = sum((m.isNotNull().cast("int") for m in own), F.lit(0))
+        return F.when(full >= ROWS - 1, F.xxhash64(F.lit(i), *own))
 
-    return let(let(hashes, lambda h: F.struct(F.slice(h, 1, MINIMA).alias("minima"), F.size(h).alias("n"))), both)
+    return least.select("k1", F.explode(F.array(*[band(i) for i in range(BINS)])).alias("band")).where("band is not null")
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -64,36 +72,40 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
 
 
-SKETCH = ["s0", "s1", "s2", "s3"]
-
+#: The words of a sketch of 1,024 bits.
+SKETCH = [f"s{i}" for i in range(16)]
 
-def sketch(hashes: Column) -> Column:
-    """struct of four words: each element turns one of 256 bits over."""
-    zero = F.struct(*[F.lit(0).cast("long").alias(s) for s in SKETCH])
 
-    def add(acc: Column, h: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
-        return F.struct(*[F.when(h.bitwiseAND(F.lit(3)) == i, acc[s].bitwiseXOR(bit)).otherwise(acc[s]).alias(s) for i, s in enumerate(SKETCH)])
-
-    return F.aggregate(hashes, zero, add)
+def sketched(lines: DataFrame, width: int) -> DataFrame:
+    """(k1, line) to k1, n and four words: n different shingles, each of which turns one bit over."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("h").bitwiseAND(F.lit(len(SKETCH) - 1)) == i, bit)), F.lit(0).cast("long")).alias(c) for i, c in enumerate(SKETCH)]
+    return shingles(lines, width).select("k1", "h").distinct().groupBy("k1").agg(F.count(F.lit(1)).alias("n"), *words)
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
     """Sets of a similarity t differ in at most (1 - t) / (1 + t) of their summed sizes, so in no more bits of their sketches."""
     r, s = F.col(f"{x}.n"), F.col(f"{y}.n")
-    bits = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH]
-    unequal = bits[0] + bits[1] + bits[2] + bits[3]
+    unequal = reduce(add, [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH])
     return (100 * r >= percent * s) & (100 * s >= percent * r) & ((100 + percent) * unequal <= (100 - percent) * (r + s))
 
 
-def verify(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of lines, by k1, whose shingle sets are similar enough."""
-    left = lines.select(F.col("k1").alias("a"), F.col("hashes").alias("ha"))
-    right = lines.select(F.col("k1").alias("b"), F.col("hashes").alias("hb"))
-    na, nb, shared = F.size("ha"), F.size("hb"), F.size(F.array_intersect("ha", "hb"))
-    fits = (100 * na >= percent * nb) & (100 * nb >= percent * na)
-    both = pairs.join(left, "a").join(right, "b").where(fits)
-    return both.where(100 * shared >= percent * (na + nb - shared)).select("a", "b")
+def verify(pairs: DataFrame, lines: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of lines(k1, line) whose sets of shingles are similar enough, by exact counts.
+
+    Both texts of a pair are brought together once; their shingles are then exploded and counted where they are.
+    """
+    size = lambda c: F.greatest(F.length(c) - width + 1, F.lit(1))
+    left, right = (lines.select(F.col("k1").alias(c), size("line").alias(f"n_{c}"), F.col("line").alias(f"line_{c}")) for c in ("a", "b"))
+    both = spread(pairs.join(left, "a").join(right, "b"), "a", "b")
+    coded = both.select("a", "b", "n_a", "n_b", *[F.encode(f"line_{c}", "UTF-32").alias(f"code_{c}") for c in ("a", "b")])
+    rows = coded.select("a", "b", "n_a", "code_a", "code_b", F.explode(F.sequence(F.lit(0), F.col("n_a") + F.col("n_b") - 1)).alias("at"))
+    first, n = F.col("at") < F.col("n_a"), F.lit(4 * width)
+    shingle = F.when(first, F.substring(F.col("code_a"), F.col("at") * 4 + 1, n)).otherwise(F.substring(F.col("code_b"), (F.col("at") - F.col("n_a")) * 4 + 1, n))
+    sides = rows.select("a", "b", F.xxhash64(shingle).alias("h"), F.when(first, 1).otherwise(2).alias("side"))
+    sides = sides.groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
+    counts = sides.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("shared"), F.count(F.lit(1)).alias("all"))
+    return counts.where(100 * F.col("shared") >= percent * F.col("all")).select("a", "b")
 
 
 def _placed(members: DataFrame, part: DataFrame) -> DataFrame:
@@ -104,31 +116,31 @@ def _placed(members: DataFrame, part: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, *, width=WIDTH, percent=PERCENT, min_chars=MIN_CHARS) -> DataFrame:
     """docs(doc_id, text_hash, text) to (doc_id, text_hash, line_no) of the lines to remove, without repeats."""
-    hashes = shingle_hashes(F.col("line"), width)
-    lines = line_rows(docs, min_chars).select(*ROW, "line_no", "k1", "k2", bands(hashes).alias("bands"))
-    lines = scratch.put(lines, "lines")
+    lines = scratch.put(line_rows(docs, min_chars), "lines")
     at = F.struct("doc_id", "line_no", "text_hash")
     equal = scratch.put(lines.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last")), "equal")
 
-    banded = lines.select("k1", F.explode("bands").alias("band"))
-    # Half of a line's hash tells whether a band has two different ones, in half the bytes.
-    half = banded.select("band", F.hash("k1").alias("half"))
-    shared = half.groupBy("band").agg(F.min("half").alias("least"), F.max("half").alias("most")).where("least < most").select("band")
+    in_bands = scratch.put(banded(lines.select("k1", "line"), width), "in_bands")
+    # Bands of two or more different lines, and the least line of each.
+    shared = in_bands.groupBy("band").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least < most").select("band", "least")
     shared = scratch.put(shared, "shared")
-    members = scratch.put(join_counted(banded, shared, "band", "inner", shared.count()).distinct(), "in_bands")
-    least = members.groupBy("band").agg(F.min("k1").alias("least"))
-    members = scratch.put(members.join(least, "band"), "members")
-
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        ids = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), f"{name}_ids")
-        rows = scratch.put(ids.join(equal, "k1").select("first.doc_id", "first.text_hash").distinct(), f"{name}_rows")
-        near = join_counted(docs, rows, ROW, "left_semi", rows.count())
-        picked = join_counted(line_rows(near, min_chars).select("k1", "line"), ids, "k1", "left_semi", ids.count())
-        return scratch.put(picked.distinct().select("k1", shingle_hashes(F.col("line"), width).alias("hashes")), name)
-
-    # Each line against the least line of its bands.
-    star = scratch.put(members.where("least < k1").select(F.col("least").alias("a"), F.col("k1").alias("b")).distinct(), "star")
-    one = scratch.put(verify(star, sets_of(star, "star_sets"), percent), "links1")
+    members = scratch.put(join_counted(in_bands, shared, "band", "inner", shared.count()), "members")
+    scratch.drop("in_bands")
+
+    # From here on, one text for each line of a shared band.
+    ids = scratch.put(members.select("k1").distinct(), "ids")
+    texts = join_counted(lines.select("k1", "line"), ids, "k1", "left_semi", ids.count())
+    texts = scratch.put(texts.groupBy("k1").agg(F.any_value("line").alias("line")), "texts")
+
+    # Each line against the line it meets most often as the least of a band.
+    star = members.where("least < k1").groupBy("k1", "least").agg(F.count(F.lit(1)).alias("times"))
+    star = star.groupBy("k1").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("a")).select("a", F.col("k1").alias("b"))
+    star = scratch.put(star, "star")
+    # Pairs whose sketches differ in more bits than those of linking sets are not verified.
+    sketches = scratch.put(sketched(spread(texts, "k1"), width), "sketched")
+    x, y = star.join(sketches, F.col("a") == F.col("k1")).drop("k1").alias("x"), sketches.alias("y")
+    hopeful = x.join(y, (F.col("x.b") == F.col("y.k1")) & may_link("x", "y", percent)).select("a", "b")
+    one = scratch.put(verify(hopeful, texts, width, percent), "links1")
     part = components(one, scratch, "cc1")
     # Then each line against one more of its bands, drawn by a hash, where they are still apart.
     home = scratch.put(_placed(members, part), "home1")
@@ -136,24 +148,22 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, *, width=WIDTH, percent=PE
     hubs = home.groupBy("band").agg(F.min(drawn).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
     hubs = scratch.put(hubs.where("low < high").select("band", F.col("hub.k1").alias("hub"), F.col("hub.component").alias("to")), "hubs")
     apart = home.join(hubs, "band")
-    # Pairs whose sketches differ in more bits than those of linking sets can never become rows.
-    lines_apart = scratch.put(apart.select(F.col("k1").alias("a"), F.col("k1").alias("b")).distinct(), "lines_apart")
-    sets = sets_of(lines_apart, "apart_sets")
-    sketched = scratch.put(sets.select("k1", F.size("hashes").alias("n"), sketch(F.col("hashes")).alias("s")).select("k1", "n", "s.*"), "sketched")
-    x = apart.where("component <> to").join(sketched, "k1").alias("x")
-    y = sketched.withColumnRenamed("k1", "hub").alias("y")
+    x = apart.where("component <> to").join(sketches, "k1").alias("x")
+    y = sketches.withColumnRenamed("k1", "hub").alias("y")
     tried = x.join(y, (F.col("x.hub") == F.col("y.hub")) & may_link("x", "y", percent))
     tried = tried.select(F.least("x.k1", "y.hub").alias("a"), F.greatest("x.k1", "y.hub").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     tried = scratch.put(tried, "tried")
-    more = scratch.put(verify(tried, sets, percent), "more")
+    more = scratch.put(verify(tried, texts, width, percent), "more")
     part = components(scratch.put(one.unionByName(more), "links2"), scratch, "cc2")
-    # Last, what shares a band but no component.
+    # Last, what shares a band but no component; a pair with several bands meets in the least of them.
     home = _placed(members, part).join(hubs.select("band"), "band")
-    home = scratch.put(home.join(sketched, "k1"), "home2")
+    bands = home.groupBy("k1").agg(F.collect_set("band").alias("bands"))
+    home = scratch.put(home.join(bands, "k1").join(sketches, "k1"), "home2")
     x, y = home.alias("x"), home.alias("y")
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.k1") < F.col("y.k1")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent)
-    cross = x.join(y, meet).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct().join(star.unionByName(tried), ["a", "b"], "left_anti")
-    two = verify(scratch.put(cross, "cross"), sets, percent)
+    meet = meet & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band"))
+    cross = x.join(y, meet).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).join(star.unionByName(tried), ["a", "b"], "left_anti")
+    two = verify(scratch.put(cross, "cross"), texts, width, percent)
     linked = components(scratch.put(one.unionByName(more).unionByName(two), "links"), scratch, "cc3")
 
     # One line a component, one occurrence a line.
@@ -182,13 +192,14 @@ def dedup_lines(docs: DataFrame, *, id="doc_id", text="text", **options) -> Data
         held = hit.unionByName(rest.withColumn("__lines_removed", F.lit(None).cast("array<int>")))
     else:
         held = named.join(removed, ids, "left")
-    held = held.withColumn("__lines_lines", F.split(text, "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines_lines") - 1), "__lines_removed")
-    left = F.array_join(F.transform(F.array("__lines_lines"), lambda all_: F.transform(kept, lambda i: all_[i]))[0], "\n")
+    breaks = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n")))
+    held = held.withColumn("__lines_breaks", breaks)
+    kept = F.array_except(F.sequence(F.lit(0), F.col("__lines_breaks")), "__lines_removed")
+    left = let(F.split(text, "\n", -1), lambda all_: F.array_join(F.transform(kept, lambda i: all_[i]), "\n"))
     return held.withColumns(
         {
             text: F.when(F.col("__lines_removed").isNull(), F.col(text)).otherwise(left),
-            "n_lines": F.when(F.col(text).isNotNull(), F.size("__lines_lines")).otherwise(0).cast("long"),
+            "n_lines": F.when(F.col(text).isNotNull(), F.col("__lines_breaks") + 1).otherwise(0).cast("long"),
             "n_removed": F.coalesce(F.size("__lines_removed"), F.lit(0)).cast("long"),
         }
-    ).drop("__lines_id", "__lines_hash", "__lines_removed", "__lines_lines")
+    ).drop("__lines_id", "__lines_hash", "__lines_removed", "__lines_breaks")
