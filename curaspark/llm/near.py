@@ -6,14 +6,17 @@ or the border between two bands) the hash universe is cut into m segments; a set
 ``D + 1 + slack`` segments, so linking sets agree on at least ``slack + 1`` indexed segments. Agreement on empty
 segments says nothing, so a set that has more than ``slack`` of them is also indexed under further partitions
 until one suits it (drawn from ``round`` number; partners are indexed there as far as their own last round, and
-the better-suited of the two decides). Segment agreement of the whole slack counts as the index of segment
-subsets: a pair is verified only if it shares as many segments as the bound demands, and the number of
-segments is the cost model's choice between many selective segments and few.
+the better-suited of the two decides).
 
-Segments that many different sets share (passages in many documents) do not become pairs: a set that keeps
-enough other segments is certain to meet its partners there. Only sets whose segments are mostly shared stay in
-such buckets, where first each set is verified against one representative, then against members drawn by hash,
-components form, and only pairs across components remain.
+Which segments a set is looked up by is allocated by their cost, the sizes of their buckets: linking sets have so
+many segments in common that the first common one, in the order of bucket sizes, lies outside the costliest
+``slack`` of either, so these are left out for each set. Agreement on ``slack + 1`` of the segments stands for the
+index of segment subsets. One-deletion neighbourhoods are not indexed: they would make one row for each element, 4.5
+times as many as segments.
+
+In the buckets left, each set is verified against the set it meets most often as the least of a bucket, then
+against members drawn by hash; components form, and only pairs across components remain, of which exact bounds by
+sketches leave few to verify.
 
 Defined results: null or blank text has an empty set and links with nothing, component_id is its own id; a null
 id gives a row with a null component; rows that repeat an id give a row each and share its links; an empty
@@ -35,14 +38,14 @@ from curaspark.llm.components import components
 from curaspark.llm.shingles import U, Words, mix
 
 WIDTH, PERCENT = 5, 80
-#: Buckets of more different sets than this are shared segments.
-SHARED = 48
 #: Rounds in which each set of a bucket is held against one member drawn by a hash.
-HUBS = 1
+HUBS = 2
+#: Buckets of each set that tell where a pair has met before.
+FIRSTS = 32
 #: Texts worked on at once: so many at most, of so many bytes together unless a single one is longer.
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 2_000, 4 << 20
 SET_SCHEMA = "doc_id long, n_shingles long, key1 long, key2 long"
-SIGNATURE_SCHEMA = "signature long, doc_id long, entry int, room int"
+SIGNATURE_SCHEMA = "signature long, doc_id long, entry int, room int, side int"
 #: A sketch has four bits of the content of each of 256 segments, sixteen segments a column.
 SKETCH = [f"s{i}" for i in range(16)]
 SKETCH_SCHEMA = "doc_id long, n long, " + ", ".join(f"{s} long" for s in SKETCH)
@@ -93,7 +96,10 @@ def differences(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def levels(n: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """(set number, level, segments in all, segments to index, slack) for bands [2^b, 2^(b+1)) and their borders."""
+    """(set number, level, segments in all, segments to index, slack, side) for bands [2^b, 2^(b+1)) and their borders.
+
+    Bands have even levels, borders odd ones; side is 1 for sets below a border.
+    """
     found = []
     sets = np.flatnonzero(n > 0)
     size = n[sets]
@@ -112,14 +118,15 @@ def levels(n: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         slack = (most + 1) // 8
         index = differences(size, partner) + 1 + slack
         m = np.maximum(most + 1 + slack, 1)
-        found.append(tuple(x[which] for x in (sets, level, m, np.minimum(index, m), slack)))
+        side = np.full(len(size), shift or 0)
+        found.append(tuple(x[which] for x in (sets, level, m, np.minimum(index, m), slack, side)))
     return found
 
 
 def signatures(n: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(set number, signature, entry, room) of all non-empty indexed segments; h: the sets' elements in order."""
+    """(set number, signature, entry, room, side) of all non-empty indexed segments; h: the sets' elements in order."""
     first = np.cumsum(n) - n
-    for sets, level, m, index, slack in levels(n):
+    for sets, level, m, index, slack, side in levels(n):
         round_ = 0
         while len(sets):
             size = n[sets]
@@ -138,9 +145,9 @@ def signatures(n: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]
             empty = np.bincount(set_of[~filled], minlength=len(sets))
             out = set_of[filled]
             mark = mix(salt[out] + segment_of[filled].astype(U))
-            yield sets[out], mix(content[filled] ^ mark), (level * 64 + round_)[out], (slack - empty)[out]
+            yield sets[out], mix(content[filled] ^ mark), (level * 64 + round_)[out], (slack - empty)[out], side[out]
             again = empty > slack
-            sets, level, m, index, slack = (x[again] for x in (sets, level, m, index, slack))
+            sets, level, m, index, slack, side = (x[again] for x in (sets, level, m, index, slack, side))
             round_ += 1
 
 
@@ -148,11 +155,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in _pieces(batches):
         _, h, n = Words(piece.column(1)).shingle_sets(WIDTH)
         ids = piece.column(0).to_numpy(zero_copy_only=False)
-        for sets, signature, entry, room in signatures(n, h):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signature.view(np.int64)), pa.array(ids[sets]), pa.array(entry.astype(np.int32)), pa.array(room.astype(np.int32))],
-                ["signature", "doc_id", "entry", "room"],
-            )
+        for sets, signature, entry, room, side in signatures(n, h):
+            columns = [pa.array(signature.view(np.int64)), pa.array(ids[sets]), *(pa.array(x.astype(np.int32)) for x in (entry, room, side))]
+            yield pa.RecordBatch.from_arrays(columns, ["signature", "doc_id", "entry", "room", "side"])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,19 +211,21 @@ def near_duplicates(docs: DataFrame, *, id="doc_id", text="text") -> DataFrame:
     n_copies = copies.count()
     reps = join_counted(rows.where("doc_id is not null"), copies.select("doc_id"), "doc_id", "left_anti", n_copies)
 
-    # Segments that at least two sets share; sets are spread over many segments, so no key is a hot task.
-    bucket = Window.partitionBy("signature")
-    counted = reps.mapInArrow(_signatures, SIGNATURE_SCHEMA).select("*", F.count(F.lit(1)).over(bucket).alias("sets"), F.min("doc_id").over(bucket).alias("least"))
-    members = scratch.put(counted.where("sets > 1"), "members")
-    state = members.groupBy("doc_id", "entry", "room").agg(F.count_if(F.col("sets") > SHARED).alias("hot"), F.count(F.lit(1)).alias("met"))
-    # open: all segments common with a partner may be shared ones. need: how many of the set's useful segments a partner has at least.
-    least, is_open = F.greatest(F.col("room") + 1, F.lit(1)), F.col("hot") > F.col("room")
-    state = state.where(F.col("met") >= least).select(
-        "doc_id", "entry", is_open.alias("open"), F.when(is_open, least).otherwise(least - F.col("hot")).alias("need")
+    # Segments that at least two sets share; at a border, one from either side of it. Counts combine before they are shuffled.
+    signed = scratch.put(reps.mapInArrow(_signatures, SIGNATURE_SCHEMA), "signed")
+    both_sides = (F.col("entry") % 128 < 64) | (F.col("low") < F.col("high"))
+    met = signed.groupBy("signature").agg(
+        F.count(F.lit(1)).alias("sets"), F.min("doc_id").alias("least"), F.min("side").alias("low"), F.max("side").alias("high"), F.min("entry").alias("entry")
     )
-    state = scratch.put(state, "state")
-    useful = members.drop("room").join(state, ["doc_id", "entry"])
-    useful = scratch.put(useful.where(f"sets <= {SHARED} or open"), "useful")
+    met = scratch.put(met.where((F.col("sets") > 1) & both_sides).select("signature", "sets", "least"), "met")
+    members = scratch.put(signed.join(met, "signature"), "members")
+    scratch.drop("signed")
+    # Allocation by cost: linking sets have more than ``room`` of these segments in common, so the first common one, in
+    # the order of bucket sizes, is among all but the last ``room`` of either. The costliest buckets are left out.
+    own = Window.partitionBy("doc_id", "entry")
+    ranked = members.select("*", F.row_number().over(own.orderBy("sets", "signature")).alias("place"), F.count(F.lit(1)).over(own).alias("met"))
+    useful = ranked.where(F.col("place") <= F.col("met") - F.greatest("room", F.lit(0))).select("signature", "doc_id", "entry", "side", "sets", "least")
+    useful = scratch.put(useful, "useful")
 
     # First each set against the set it meets most often as the least of a bucket.
     star = useful.where("least < doc_id").groupBy("doc_id", "least").agg(F.count(F.lit(1)).alias("times"))
@@ -226,39 +233,40 @@ def near_duplicates(docs: DataFrame, *, id="doc_id", text="text") -> DataFrame:
     star = scratch.put(star, "star")
     one = scratch.put(verify(star, _sets_of(rows, star, scratch, "star_sets")), "links1")
 
-    # Then, in each bucket, against one more member drawn by a hash, so that a group meets through many hubs.
-    links, tried = one, star
-    for r in range(HUBS):
+    # Then, in each bucket with several components, against one more member drawn by a hash, which then leaves the bucket.
+    links, tried, left = one, star, useful
+    for r in range(HUBS + 1):
         part = components(links, scratch, f"cc{r}")
-        home = useful.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        home = scratch.put(home.select("signature", "entry", "doc_id", "component", "need", "open"), f"home{r}")
+        home = left.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        home = scratch.put(home.select("signature", "entry", "side", "doc_id", "component"), f"home{r}")
         drawn = F.struct(F.xxhash64("doc_id", "signature", F.lit(r)).alias("h"), "doc_id", "component")
         hub = home.groupBy("signature").agg(F.min(drawn).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
         hub = scratch.put(hub.where("low < high").select("signature", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("to")), f"hubs{r}")
-        pairs = home.join(hub, "signature").where("component <> to")
+        left = home.join(hub, "signature")
+        if r == HUBS:
+            break
+        pairs = left.where("component <> to")
         pairs = pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, f"pairs{r}")
         more = scratch.put(verify(pairs, _sets_of(rows, pairs, scratch, f"sets{r}")), f"more{r}")
         links, tried = links.unionByName(more), tried.unionByName(pairs)
+        left = left.where("doc_id <> hub").select("signature", "entry", "side", "doc_id")
 
     # Last, what lies in one bucket but still in different components.
-    part = components(links, scratch, "cc_hubs")
-    home = useful.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    home = scratch.put(home.select("signature", "entry", "doc_id", "component", "need", "open"), "home")
-    apart = home.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-    home = scratch.put(home.join(apart, "signature"), "apart")
+    home = scratch.put(left.drop("hub", "to"), "apart")
     # Pairs whose sketches differ in more segments than linking sets can never become rows.
     ids = scratch.put(home.select("doc_id").distinct(), "apart_ids")
     picked = join_counted(rows, ids, "doc_id", "left_semi", ids.count())
     sketches = scratch.put(picked.mapInArrow(_sketches, SKETCH_SCHEMA).distinct(), "sketches")
-    home = scratch.put(home.join(sketches, "doc_id"), "sketched")
+    # A pair meets in the least of its buckets, as far as the first ones of both tell.
+    firsts = home.groupBy("doc_id", "entry").agg(F.slice(F.array_sort(F.collect_set("signature")), 1, FIRSTS).alias("firsts"))
+    home = scratch.put(home.join(firsts, ["doc_id", "entry"]).join(sketches, "doc_id"), "sketched")
     x, y = home.alias("x"), home.alias("y")
-    meet = may_link("x", "y") & (F.col("x.signature") == F.col("y.signature")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-    both, most = F.col("x.open") & F.col("y.open"), F.greatest("x.need", "y.need")
-    need = F.when(both, most).when(F.col("x.open"), F.col("y.need")).when(F.col("y.open"), F.col("x.need")).otherwise(most)
-    pairs = x.join(y, meet).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.entry").alias("entry"), need.alias("need"))
-    pairs = pairs.groupBy("a", "b", "entry").agg(F.count(F.lit(1)).alias("times"), F.max("need").alias("need")).where("times >= need")
-    cross = scratch.put(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "cross")
+    level = (F.col("x.entry") % 128 < 64) | (F.col("x.side") != F.col("y.side"))
+    meet = may_link("x", "y") & (F.col("x.signature") == F.col("y.signature")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & level
+    meet = meet & F.coalesce(F.array_min(F.array_intersect("x.firsts", "y.firsts")) >= F.col("x.signature"), F.lit(True))
+    pairs = x.join(y, meet).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    cross = scratch.put(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "cross")
     two = verify(cross, _sets_of(rows, cross, scratch, "cross_sets"))
     tied = full.join(several, "doc_id").join(equal, ["n_shingles", "key1", "key2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     linked = components(scratch.put(links.unionByName(two).unionByName(tied), "links"), scratch, "cc_all")
