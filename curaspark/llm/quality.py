@@ -230,7 +230,7 @@ def estimate(rows: DataFrame, scratch: Scratch, *, core=CORE_SHARE, first_steps=
             now = scratch.put(now.join(best, ["of", "start"]), "best")
         elif step > first_steps:
             fall = now.alias("x").join(before.alias("y"), "of").agg(F.max(F.col("y.logdet") - F.col("x.logdet"))).first()[0]
-            if fall is None or fall <= STILL:
+            if not (fall or 0.0) > STILL:
                 break
     return now
 
