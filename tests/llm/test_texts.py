@@ -13,6 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from curaspark.llm import chat, pieces, pii, quality, queries, secrets
+from curaspark.llm.common import Scratch
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -113,7 +114,7 @@ def test_quality_counts_and_verdict(docs, odd, odd_rows, none):
         want = brute_counts(texts[r.doc_id])
         assert tuple(r[c] for c in quality.COUNTS) == want
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
-        assert r.kept == (not r.base_failed and (r.distance or 0) <= quality.CUTOFF)
+        assert r.kept <= (not r.base_failed)
     held = quality.apply_quality_rules(odd).collect()
     assert sorted((r.n_words for r in held)) == sorted(brute_counts(r[1] or "")[0] for r in odd_rows)
     assert quality.apply_quality_rules(none).count() == 0
@@ -123,6 +124,61 @@ def test_quality_counts_and_verdict(docs, odd, odd_rows, none):
     assert quality.keep_documents(odd).columns == odd.columns and quality.keep_documents(none).count() == 0
 
 
+def brute_mcd(x: np.ndarray, core: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float]:
+    """Center, covariance and logarithm of the determinant of the best of many random starts, each stepped to the end."""
+    factor, best = quality.consistency(core, x.shape[1]), None
+    cov_of = lambda rows: factor * np.cov(rows.T, bias=True) + np.diag(np.square(quality.FLOOR))
+    for _ in range(60):
+        rows = x[rng.choice(len(x), 12, replace=False)]
+        m, cov, last = rows.mean(0), cov_of(rows), np.inf
+        while (now := np.linalg.slogdet(cov)[1]) < last - 1e-9:
+            last = now
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+            inside = x[d <= np.sort(d)[int(np.ceil(core * len(x))) - 1]]
+            m, cov = inside.mean(0), cov_of(inside)
+        if best is None or now < best[2]:
+            best = m, cov, now
+    return best
+
+
+def test_estimates_against_brute_force(spark):
+    """Two groups with different centers, spreads and outliers, and a small one that joins its language's pool."""
+    rng, rows = np.random.default_rng(31), []
+    for group, (n, center) in {("en", "a"): (700, 0.2), ("en", "b"): (500, 0.6), ("fr", "c"): (40, 0.3), ("fr", "d"): (90, 0.3)}.items():
+        x = np.abs(center + rng.normal(0, 0.1, (n, 5)) @ rng.normal(0, 0.7, (5, 5)))
+        x[: n // 8] += rng.uniform(1, 2, (n // 8, 5))
+        rows += [(*group, *map(float, v)) for v in x]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{v} double" for v in quality.VECTOR))
+    named = df.withColumn("of", F.struct(F.xxhash64("lang").alias("lang"), F.xxhash64("lang", "source").alias("own")))
+    vectors, assigned = quality.grouped(named, Scratch(spark, "test"), 100)
+    held = {r.of: np.array([list(x.v) for x in vectors.where(f"of = {r.of}").select(F.array(*quality.VECTOR).alias("v")).collect()]) for r in assigned.select("of").distinct().collect()}
+    assert sorted(map(len, held.values())) == [130, 500, 700]
+    for r in quality.estimate(vectors.repartition(5), Scratch(spark, "test")).collect():
+        m, cov, logdet = brute_mcd(held[r.of], quality.CORE_SHARE, rng)
+        assert r.logdet <= logdet + 0.02 and np.abs(np.array(r.m) - m).max() < 0.05
+        assert np.allclose(np.array(r.inverse).reshape(5, 5), np.linalg.inv(cov), rtol=0.2, atol=2.0)
+
+
+def test_chi_square():
+    assert quality.chi_square_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
+    assert quality.chi_square_quantile(0.5, 1) == pytest.approx(0.4549, abs=1e-3)
+    assert quality.consistency(0.75, 5) == pytest.approx(0.75 / quality.chi_square(6.6257, 7), rel=1e-3)
+
+
+def test_groups_need_different_verdicts(spark):
+    """What is plain in one source is an outlier in another; null groups are groups."""
+    rng = np.random.default_rng(8)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "of", "the"]
+    plain = lambda: " ".join(rng.choice(words, 120))
+    loud = lambda: " ".join(w.upper() + "!!$$" for w in rng.choice(words, 120))
+    rows = [(i, plain(), None, "books") for i in range(300)] + [(1000 + i, loud(), None, "ads") for i in range(300)]
+    rows += [(5000, loud(), None, "books"), (5001, plain(), None, "ads"), (5002, plain(), "xx", None)]
+    got = quality.apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    kept = {r.doc_id: r.kept for r in got.collect()}
+    assert not kept[5000] and not kept[5001] and kept[5002]
+    assert np.mean([kept[i] for i in range(300)]) > 0.98 and np.mean([kept[1000 + i] for i in range(300)]) > 0.98
+
+
 def test_outliers_are_found_among_plain_rows(spark):
     rng = np.random.default_rng(6)
     words = ["lorem", "ipsum", "dolor", "sit", "amet", "of", "the"]
