@@ -10,7 +10,7 @@ next to the first. At a similarity of 0.8 two lines share a band in 98.7 of 100
 1. Equal lines collapse to one by a 128-bit hash; one occurrence, the first by (document, line number), leads.
 2. Bands are counted with map-side combining; only bands of two or more different lines go on.
 3. Every line of a band is verified exactly against the band's least line, then against one drawn by a hash; the
-   links make components. Only pairs of a band whose components still differ, and whose 1,024-bit sketches are near
+   links make components. Only pairs of a band whose components still differ, and whose 2,048-bit sketches are near
    enough for the threshold, are verified as well, each pair in one of its bands. So a band of many copies gives
    no pairs.
 4. Distributed union-find over the links; of each component the first line of the corpus stays.
@@ -72,22 +72,27 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
 
 
-#: The words of a sketch of 1,024 bits.
-SKETCH = [f"s{i}" for i in range(16)]
+#: The words of a sketch of 2,048 bits.
+SKETCH = [f"s{i}" for i in range(32)]
 
 
 def sketched(lines: DataFrame, width: int) -> DataFrame:
-    """(k1, line) to k1, n and four words: n different shingles, each of which turns one bit over."""
+    """(k1, line) to k1, n, the words and set: n shingles, repeated ones too, each of which sets one bit; how many are set."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))
-    words = [F.coalesce(F.bit_xor(F.when(F.col("h").bitwiseAND(F.lit(len(SKETCH) - 1)) == i, bit)), F.lit(0).cast("long")).alias(c) for i, c in enumerate(SKETCH)]
-    return shingles(lines, width).select("k1", "h").distinct().groupBy("k1").agg(F.count(F.lit(1)).alias("n"), *words)
+    rows = shingles(lines, width).select("k1", "n", F.col("h").bitwiseAND(F.lit(len(SKETCH) - 1)).cast("int").alias("word"), bit.alias("bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")).alias(c) for i, c in enumerate(SKETCH)]
+    set_ = reduce(add, [F.bit_count(c) for c in SKETCH])
+    return rows.groupBy("k1").agg(F.max("n").alias("n"), *words).withColumn("set", set_)
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
-    """Sets of a similarity t differ in at most (1 - t) / (1 + t) of their summed sizes, so in no more bits of their sketches."""
-    r, s = F.col(f"{x}.n"), F.col(f"{y}.n")
+    """Sets of a similarity t differ in at most (1 - t) / (1 + t) of their summed sizes, so in no more bits of their sketches.
+
+    The size of a set lies between the bits it sets and its shingles with repeats.
+    """
+    sizes = (100 * F.col(f"{x}.n") >= percent * F.col(f"{y}.set")) & (100 * F.col(f"{y}.n") >= percent * F.col(f"{x}.set"))
     unequal = reduce(add, [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH])
-    return (100 * r >= percent * s) & (100 * s >= percent * r) & ((100 + percent) * unequal <= (100 - percent) * (r + s))
+    return sizes & ((100 + percent) * unequal <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
 def verify(pairs: DataFrame, lines: DataFrame, width: int, percent: int) -> DataFrame:
