@@ -155,7 +155,7 @@ def cut(text: str, starts: list[int] | None, ends: list[int] | None) -> tuple[in
 def _cut_with_kept(batches: Iterator[pa.RecordBatch], kept: bool = True) -> Iterator[pa.RecordBatch]:
     fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
     fields = fields if kept else fields[:-1]
-    for batch in batches:
+    for batch in _pieces(batches):
         rows = [cut(*x)[: len(fields)] for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
         columns = list(zip(*rows)) or [()] * len(fields)
         arrays = [pa.array(c, k) for c, (_, k) in zip(columns, fields)]

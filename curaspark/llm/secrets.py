@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curaspark.llm.near import _pieces
+
 # The base patterns, and public formats of tokens that embed a checksum.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -123,7 +125,7 @@ def scan_text(text: str, hits: ahocorasick.Automaton) -> list[tuple[int, int, st
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hits = automaton()
-    for batch in batches:
+    for batch in _pieces(batches):
         found = [scan_text(t, hits) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
