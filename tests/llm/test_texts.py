@@ -72,6 +72,68 @@ def test_pseudonyms_are_a_permutation(spark):
     assert pii.pseudonymise(small, key="k").select("text").distinct().count() == 65_536
 
 
+def test_pseudonyms_of_odd_values(spark):
+    """A very long domain, day-first dates, one number written in several ways, clashing column names."""
+    rows = [
+        (0, "a@b" + ".c" * 50_000 + " x"),
+        (1, "29/02/1992 and 13/01/2001, 25/12/1990; 1/5/1990"),
+        (2, "+1 555 123 4567|+15551234567|+1 (555) 123-4567|+44 20 7946 0958|+442079460958"),
+        (3, "a@x.org b@x.org a@y.org, end a@x.org. no@dots"),
+    ]
+    df = spark.createDataFrame([(i, t, "f", "k") for i, t in rows], "doc_id long, text string, _found string, private_kinds string")
+    held = pii.pseudonymise(df, key="k")
+    got = {r.doc_id: r.text for r in held.collect()}
+    assert got[0].endswith(".c x") and len(got[0]) == len(rows[0][1]) and "_found" in held.columns
+    new = re.findall(r"(\d\d)/(\d\d)/\d{4}", got[1])
+    assert len(new) == 4 and not re.search("29/02/1992|13/01/2001|25/12/1990", got[1]) and all(int(d) > 12 >= int(m) for d, m in new[:3])
+    a, b, c, d, e = ("".join(filter(str.isdigit, x)) for x in got[2].split("|"))
+    assert a == b == c != "15551234567" and a[0] == "1" and d == e and d[:2] == "44"
+    names = re.findall(r"([a-z])@([xy])", got[3])
+    assert names[0] == names[3] != names[1] and got[3].endswith("no@dots")
+    back = {r.doc_id: r.text for r in pii.pseudonymise(held, key="k", restore=True).collect()}
+    assert back == dict(rows) | {1: rows[1][1].replace("1/5/1990", "01/05/1990")}
+
+
+def brute_feistel(left: int, right: int, a: int, b: int, key: str) -> tuple[int, int]:
+    by = lambda r, other: int(hashlib.sha256(f"{key}:{r}:{other}".encode()).hexdigest()[:15], 16)
+    for r in range(pii.ROUNDS):
+        left, right = ((left + by(r, right)) % a, right) if r % 2 == 0 else (left, (right + by(r, left)) % b)
+    return left, right
+
+
+def test_pseudonyms_against_a_plain_network(spark):
+    rng = np.random.default_rng(3)
+    key = lambda p: pii.derived("k", p)
+    rows, want = [], []
+    for _ in range(60):
+        o = [int(x) for x in rng.integers(0, 256, 4)]
+        l, r = brute_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65_536, 65_536, key("address"))
+        rows.append(".".join(map(str, o)))
+        want.append(f"{l // 256}.{l % 256}.{r // 256}.{r % 256}")
+        body = "".join(map(str, rng.integers(0, 10, 15)))
+        check = lambda d: str(-sum(x if i % 2 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10)
+        l, r = brute_feistel(int(body[:7]), int(body[7:]), 10**7, 10**8, key("card"))
+        new = f"{l:07d}{r:08d}"
+        rows.append(body + check(body))
+        want.append(new + check(new))
+        area, group, serial = (int(rng.integers(*x)) for x in ((1, 600), (1, 100), (1, 10_000)))
+        l, r = brute_feistel((area - 1) * 99 + group - 1, serial - 1, 898 * 99, 9_999, key("social"))
+        area_of = l // 99 + 1
+        rows.append(f"{area:03d}-{group:02d}-{serial:04d}")
+        want.append(f"{area_of + (area_of > 665):03d}-{l % 99 + 1:02d}-{r + 1:04d}")
+        rest = "".join(map(str, rng.integers(0, 10, 10)))
+        l, r = brute_feistel(int(rest[:5]), int(rest[5:]), 10**5, 10**5, key("phone"))
+        rows.append(f"+1{rest}")
+        want.append(f"+1{l:05d}{r:05d}")
+        n = int(rng.integers(0, 73_049))
+        l, r = brute_feistel(n // 4_297, n % 4_297, 17, 4_297, key("date"))
+        day = np.datetime64("1900-01-01")
+        rows.append(str(day + n))
+        want.append(str(day + l * 4_297 + r))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.pseudonymise(df, key="k").collect()} == dict(enumerate(want))
+
+
 # Secrets.
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
