@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -262,14 +264,20 @@ def expand(a: Column, threshold: float = -40.0, ratio: float = 2.0) -> Column:
 def limit(a: Column, threshold: float = -1.0, release: int = 10) -> Column:
     """An envelope that rises at once and falls by a share of the gap per sample holds the signal under the threshold."""
     top = 10 ** (threshold / 20)
-    start = F.struct(F.lit(0.0).alias("envelope"), F.array().cast("array<double>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        envelope = F.when(F.abs(x) > s["envelope"], F.abs(x)).otherwise(s["envelope"] + (F.abs(x) - s["envelope"]) / release)
-        held = lambda e: F.struct(e.alias("envelope"), F.concat(s["out"], F.array(F.when(e > top, x * top / e).otherwise(x))).alias("out"))
-        return let(envelope, held)
+    @F.pandas_udf("array<double>")
+    def apply(signals: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else limited(x, top, release) for x in signals], dtype=object)
 
-    return F.aggregate(a, start, step)["out"]
+    return apply(a)
+
+
+def limited(samples: np.ndarray, top: float, release: int) -> np.ndarray:
+    envelope, gains = 0.0, []
+    for level in np.abs(samples).tolist():
+        envelope = level if level > envelope else envelope + (level - envelope) / release
+        gains.append(top / envelope if envelope > top else 1.0)
+    return np.asarray(samples) * np.array(gains, float)
 
 
 def resample(a: Column, size: Column) -> Column:
@@ -286,3 +294,26 @@ def resample(a: Column, size: Column) -> Column:
 
 def fit_length(a: Column, size: int) -> Column:
     return F.slice(F.concat(a, F.array_repeat(F.lit(0.0), size)), 1, size)
+
+
+def ramps(a: Column, attack: int, release: int) -> Column:
+    """An event's envelope: rises over the first samples, falls over the last ones."""
+    n = F.size(a)
+    rise = lambda i: F.least(i / F.lit(float(max(attack, 1))), F.lit(1.0))
+    fall = lambda i: F.least((n - 1 - i) / F.lit(float(max(release, 1))), F.lit(1.0))
+    return F.transform(a, lambda x, i: x * rise(i) * fall(i))
+
+
+def half_sine(a: Column) -> Column:
+    """An envelope of half a sine over the whole event."""
+    return F.transform(a, lambda x, i: x * F.sin(F.lit(3.141592653589793) * i / F.greatest(F.size(a) - 1, F.lit(1))))
+
+
+def overlay(a: Column, event: Column, at: int, gain: float = 1.0) -> Column:
+    """a with the event added from a sample on; what passes the end is cut off."""
+    return F.transform(a, lambda x, i: x + gain * F.coalesce(F.try_element_at(event, (F.when(i >= at, i - at + 1).otherwise(F.size(event) + 1)).cast("int")), F.lit(0.0)))
+
+
+def self_noise(a: Column, floor_db: float, noise: Callable[[Column], Column]) -> Column:
+    """a with noise(sample number), of unit spread, at the microphone's own level below the signal's."""
+    return let(rms(a) * 10 ** (floor_db / 20) * 0.1, lambda spread: F.transform(a, lambda x, i: x + noise(i) * spread))

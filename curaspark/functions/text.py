@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,23 +38,33 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def edit_distance(reference: Column, hypothesis: Column) -> Column:
-    """Between two arrays: one fold over the hypothesis for each word of the reference, carrying a row of costs."""
+def distance(reference: Sequence[str], hypothesis: Sequence[str]) -> int:
+    """Insertions, deletions and exchanges between two lists: a column of costs at a time, as bits of its steps up and down."""
+    if not len(reference):
+        return len(hypothesis)
+    places: dict[str, int] = {}
+    for i, w in enumerate(reference):
+        places[w] = places.get(w, 0) | 1 << i
+    full, last, cost = (1 << len(reference)) - 1, 1 << len(reference) - 1, len(reference)
+    up, down = full, 0
+    for w in hypothesis:
+        same = places.get(w, 0)
+        keeps = (((same & up) + up) ^ up) | same
+        right, left = down | (full & ~(keeps | up)), up & keeps
+        cost += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | (full & ~(same | down | right)), right & (same | down)
+    return cost
 
-    def row(costs: Column, r: Column) -> Column:
-        start = F.array((costs[0] + 1).cast("int"))
 
-        def cell(new: Column, pair: Column) -> Column:
-            same = F.when(pair["word"] == r, 0).otherwise(1)
-            return F.concat(new, F.array(F.least(F.element_at(new, -1) + 1, pair["above"] + 1, pair["before"] + same)))
+def edit_distance(reference: Column, hypothesis: Column) -> Column:
+    """Between two arrays; null where one is null."""
 
-        above, before = F.slice(costs, 2, F.size(hypothesis)), F.slice(costs, 1, F.size(hypothesis))
-        costs_of = F.zip_with(above, before, lambda x, y: F.struct(x.alias("above"), y.alias("before")))
-        pairs = F.zip_with(hypothesis, costs_of, lambda w, c: F.struct(w.alias("word"), c["above"].alias("above"), c["before"].alias("before")))
-        return F.aggregate(pairs, start, cell)
+    @F.pandas_udf("int")
+    def apply(r: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(r, h)], dtype="Int32")
 
-    first = F.transform(F.sequence(F.lit(0), F.size(hypothesis)), lambda i: i.cast("int"))
-    return F.element_at(F.aggregate(reference, first, row), -1)
+    return apply(reference, hypothesis)
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
@@ -110,3 +123,23 @@ def with_environment(text: Column, values: dict[str, str]) -> Column:
 def display(values: Column) -> Column:
     """A map as "key: value" strings in the order of its keys."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(values)), lambda e: F.concat_ws(": ", e["key"], e["value"])), ", ")
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """0.5 as 50.0%."""
+    return F.format_string(f"%.{digits}f%%", share * 100)
+
+
+def file_size(n_bytes: Column) -> Column:
+    """In KB under a megabyte, in MB from there on."""
+    return F.when(n_bytes < 1024 * 1024, F.format_string("%.1f KB", n_bytes / 1024)).otherwise(F.format_string("%.1f MB", n_bytes / (1024 * 1024)))
+
+
+def with_defaults(defaults: Column, given: Column) -> Column:
+    """One map with the keys of both; what is given counts."""
+    return F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key(given, k)), given)
+
+
+def from_base64(text: Column) -> Column:
+    """The bytes; null where the text is no base 64."""
+    return F.try_to_binary(text, F.lit("base64"))

@@ -12,35 +12,35 @@ def order_key(id: Column | str, seed: int = 42) -> Column:
 
 
 def ranks(df: DataFrame, id: str, by: list[str], seed: int) -> DataFrame:
-    """Adds rank (0 up) and size within each group, in the pseudo-random order.
+    """Adds __rank (0 up) and __size within each group, in the pseudo-random order.
 
     Rows are dealt into cells by the leading digits of their order key, so that no group is one task: a row's rank is
     the summed size of the cells before its own plus its place within the cell."""
-    held = df.withColumns({"_order": order_key(id, seed)}).withColumn("_cell", F.substring("_order", 1, 3))
-    cells = held.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "size": F.sum("_n").over(Window.partitionBy(*by))})
-    held = held.join(cells.drop("_n"), [*by, "_cell"])
-    place = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_order", id)) - 1
-    return held.withColumn("rank", (F.col("_before") + place).cast("long")).drop("_order", "_cell", "_before")
+    held = df.withColumns({"__order": order_key(id, seed)}).withColumn("__cell", F.substring("__order", 1, 3))
+    cells = held.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__size": F.sum("__n").over(Window.partitionBy(*by))})
+    held = held.join(cells.drop("__n"), [*by, "__cell"])
+    place = F.row_number().over(Window.partitionBy(*by, "__cell").orderBy("__order", id)) - 1
+    return held.withColumn("__rank", (F.col("__before") + place).cast("long")).drop("__order", "__cell", "__before")
 
 
 def shuffle_split(df: DataFrame, id: str, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), by: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Adds split: train gets the floor of its share of each group, then val of its own, test the rest."""
     keys = by or []
-    held = ranks(df.withColumn("_all", F.lit(1)), id, keys or ["_all"], seed)
-    train, val = F.floor(F.col("size") * ratios[0]), F.floor(F.col("size") * ratios[1])
-    split = F.when(F.col("rank") < train, "train").when(F.col("rank") < train + val, "val").otherwise("test")
-    return held.withColumn("split", split).drop("rank", "size", "_all")
+    held = ranks(df.withColumn("__all", F.lit(1)), id, keys or ["__all"], seed)
+    train, val = F.floor(F.col("__size") * ratios[0]), F.floor(F.col("__size") * ratios[1])
+    split = F.when(F.col("__rank") < train, "train").when(F.col("__rank") < train + val, "val").otherwise("test")
+    return held.withColumn("split", split).drop("__rank", "__size", "__all")
 
 
 def stratified_split(df: DataFrame, id: str, label: str, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
     """Adds split: of each label first the test share, rounded up, then val as its part of the rest, rounded up."""
     held = ranks(df, id, [label], seed)
-    test = F.ceil(F.round(F.col("size") * ratios[2], 9))
-    val = F.ceil(F.round((F.col("size") - test) * (ratios[1] / (ratios[0] + ratios[1])), 9))
-    split = F.when(F.col("rank") < test, "test").when(F.col("rank") < test + val, "val").otherwise("train")
-    return held.withColumn("split", split).drop("rank", "size")
+    test = F.ceil(F.round(F.col("__size") * ratios[2], 9))
+    val = F.ceil(F.round((F.col("__size") - test) * (ratios[1] / (ratios[0] + ratios[1])), 9))
+    split = F.when(F.col("__rank") < test, "test").when(F.col("__rank") < test + val, "val").otherwise("train")
+    return held.withColumn("split", split).drop("__rank", "__size")
 
 
 def allocate(weights: DataFrame, total: int, weight: str = "weight", least: int = 0) -> DataFrame:
@@ -49,8 +49,8 @@ def allocate(weights: DataFrame, total: int, weight: str = "weight", least: int
 
 
 def equal_weights(df: DataFrame) -> DataFrame:
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return df.join(F.broadcast(n)).withColumn("weight", 1.0 / F.col("_n")).drop("_n")  # n is one row
+    n = df.agg(F.count(F.lit(1)).alias("__n"))
+    return df.join(F.broadcast(n)).withColumn("weight", 1.0 / F.col("__n")).drop("__n")  # n is one row
 
 
 def uniform(id: Column | str, purpose: str, seed: int = 42, low: float = 0.0, high: float = 1.0) -> Column:
@@ -78,3 +78,16 @@ def cartesian(df: DataFrame, axes: dict[str, Column]) -> DataFrame:
         ordinal = ordinal * F.size(values) + F.col(f"_{name}")
         size = size * F.size(values)
     return out.withColumns({"ordinal": ordinal, "combinations": size.cast("long")}).drop(*[f"_{a}" for a in axes])
+
+
+def positions(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds the place of each row, 0 up, in the order of a column: ranges are sorted side by side, then counted."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    cell = F.size(F.filter(F.array(*map(F.lit, bounds or [])).cast(f"array<{df.schema[order].dataType.simpleString()}>"), lambda b: b < F.col(order)))
+    held = df.withColumn("__cell", cell)
+    counts = held.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    held = held.join(F.broadcast(counts.select("__cell", before.alias("__before"))), "__cell")
+    place = F.row_number().over(Window.partitionBy("__cell").orderBy(order)) - 1
+    return held.withColumn(name, F.col("__before") + place).drop("__cell", "__before")

@@ -77,3 +77,14 @@ def token_bucket(events: DataFrame, key: str, time: str, id: str, capacity: floa
     times = events.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(seconds.alias("t"), F.col(id).alias("i")))), lambda e: e["t"]).alias("times"))
     folded = F.aggregate("times", start, step)
     return times.select(key, F.size("times").cast("long").alias("requests"), folded["accepted"].alias("accepted"))
+
+
+def estimated(log: DataFrame, key: str, state: Column, time: str) -> DataFrame:
+    """By key: tasks done and remaining, seconds elapsed, and seconds to go at that pace; null before the first is done."""
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    held = log.groupBy(key).agg(
+        F.count_if(state.isin("completed", "failed")).alias("done"),
+        F.count_if(~state.isin("completed", "failed")).alias("remaining"),
+        (seconds(F.max(time)) - seconds(F.min(time))).alias("elapsed"),
+    )
+    return held.withColumn("eta", F.when(F.col("done") > 0, F.col("elapsed") / F.col("done") * F.col("remaining")))

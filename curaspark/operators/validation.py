@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curaspark.functions import signal as S
+from curaspark.functions import spectrum
 
 
 @dataclass(frozen=True)
@@ -107,7 +108,7 @@ def score(validated: DataFrame, config: ScoreConfig = ScoreConfig(), signal: str
     """Adds the five parts and overall to validated rows; all are 0 for an invalid sample."""
     rate = F.col("sample_rate") if rate is None else rate
     a, m = F.col(signal), F.col("_magnitudes")
-    held = validated.withColumn("_magnitudes", F.when(F.col("is_valid"), S.magnitudes(a)))
+    held = validated.withColumn("_magnitudes", spectrum.magnitudes(F.when(F.col("is_valid") & (F.size(a) > 0), a)))
     parts = {
         "clarity": clarity_score(m, rate, F.size(a)),
         "snr": snr_score(F.col("snr_db")),
@@ -120,3 +121,21 @@ def score(validated: DataFrame, config: ScoreConfig = ScoreConfig(), signal: str
     held = held.withColumns({f"{k}_score": F.when(valid, x).otherwise(F.lit(0.0)) for k, x in floors.items()})
     overall = sum((F.col(f"{k}_score") * w for k, w in config.weights.items()), F.lit(0.0))
     return held.withColumn("overall_score", F.when(valid, overall).otherwise(F.lit(0.0))).drop("_magnitudes")
+
+
+def in_range(rules: dict[str, tuple[Column, float, float]]) -> Column:
+    """The names of the parameters outside their ranges, ends included; null parameters break none."""
+    return F.array_compact(F.array(*[F.when(~c.between(low, high), F.lit(name)) for name, (c, low, high) in rules.items()]))
+
+
+def rate_error(rate: Column, low: int = 8_000, high: int = 48_000, multiple: int = 1) -> Column:
+    """Null for a sample rate that is allowed."""
+    return F.when(rate.isNull() | ~rate.between(low, high), F.format_string(f"sample rate %d is not in {low} to {high}", rate)).when(
+        rate % multiple != 0, F.format_string(f"sample rate %d is no multiple of {multiple}", rate)
+    )
+
+
+def component_means(scored: DataFrame, parts: tuple[str, ...] = ("clarity", "snr", "naturalness", "diversity", "technical", "overall")) -> DataFrame:
+    """(component, mean) of the scores of valid rows."""
+    means = scored.where("is_valid").agg(*[F.avg(f"{p}_score").alias(p) for p in parts])
+    return means.unpivot([], list(parts), "component", "mean")

@@ -49,7 +49,7 @@ def equal_allocation(spark, sf_dir):
 
 def language_filter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"), F.lit("none").alias("gender"), F.col("lang").alias("language"))
-    return filter_voices(docs, language="EN").select("id", "name", "language")
+    return filter_voices(docs, language=["EN", "r"]).select("id", "name", "language")
 
 
 def voice_preference(spark, sf_dir):
@@ -104,7 +104,7 @@ JOIN {_rows(presets.ROOMS, ['room', 'l', 'w', 'h', 'rt60', 'absorption', 'reflec
     "variation_prefix": f"WITH {_GRID} SELECT * FROM g ORDER BY n_nationkey, ordinal LIMIT 40",
     "weighted_allocation": "SELECT s_suppkey, greatest(floor(1000 * abs(s_acctbal) / (SELECT sum(abs(s_acctbal)) FROM supplier)), 1)::BIGINT AS allocated FROM supplier",
     "equal_allocation": "SELECT n_nationkey, round(1.0::DOUBLE / count(*) OVER (), 6) AS weight, floor(1000::DOUBLE / count(*) OVER ())::BIGINT AS allocated FROM nation",
-    "language_filter": "SELECT doc_id::VARCHAR AS id, source AS name, lang AS language FROM documents WHERE lower(lang) LIKE 'en%'",
+    "language_filter": "SELECT doc_id::VARCHAR AS id, source AS name, lang AS language FROM documents WHERE contains(lower(lang), 'en') OR contains(lower(lang), 'r')",
     "voice_preference": "SELECT lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1",
     "catalog_top50": "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50",
     "config_violations": """SELECT id, array_to_string(v, ',') AS violations FROM (SELECT l_orderkey || '-' || l_linenumber AS id, list_filter([CASE WHEN l_quantity < 1 OR l_quantity > 45 THEN 'count' END, CASE WHEN l_discount > 0.08 THEN 'rate' END,

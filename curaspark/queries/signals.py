@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curaspark.functions import signal as S
 from curaspark.functions import degrade, spectrum
 from curaspark.operators import duplicates, summary, validation
-from curaspark.plans import assessment
+from curaspark.plans import assessment, augmentation
 
 RATE, WINDOW = 64, 16
 #: The vectors have a norm of 1, so their peaks and noise floors differ from those of recordings.
@@ -170,6 +170,25 @@ SELECT vec_id, len(y)::BIGINT AS n, round(list_sum(y), 5) AS sum, round(sqrt(lis
 
 
 LEVEL = "20 * log10(abs(x) + 1e-10)"
+def augment_profiles(spark, sf_dir):
+    """Two profiles: far (distance, echo) and cheap (distortion, codec); a clip in ten is broken."""
+    clips = load(spark, sf_dir).withColumn("samples", F.when(F.col("vec_id") % 10 != 3, F.col("samples")))
+    profiles = {"far": [("distance", {"metres": 2.0}), ("echo", {"delay": 5, "level": 0.5})], "plain": []}
+    held = augmentation.augment_profiles(clips, profiles, to_rate=RATE)
+    return held.select("vec_id", "profile", F.coalesce("augment_error", F.lit("")).alias("error"), _r(F.coalesce(S.energy(F.col("augmented")), F.lit(-1.0)), 9).alias("energy"))
+
+
+def score_means(spark, sf_dir):
+    held = validation.component_means(validation.score(validation.validate(load(spark, sf_dir), CHECKS), window=WINDOW))
+    return held.select("component", _r("mean", 3))
+
+
+def event_overlay(spark, sf_dir):
+    """The first 16 samples, under an envelope, added again from sample 40 on."""
+    event = S.ramps(F.slice("samples", 1, 16), 4, 8)
+    return load(spark, sf_dir).select("vec_id", _r(S.energy(S.overlay(F.col("samples"), event, 40, 0.5)), 9).alias("energy"))
+
+
 SQL = {
     "signal_features": f"WITH {ARRAYS}, {FEATURES} SELECT vec_id, label, round(duration, 6) AS duration, round(peak, 6) AS peak, round(rms, 6) AS rms, round(zcr, 6) AS zcr, round(snr_db, 6) AS snr_db FROM f",
     "validate_signals": f"WITH {ARRAYS}, {FEATURES}, {CHECKED} SELECT vec_id, is_valid, error, round(peak, 6) AS peak, round(snr_db, 6) AS snr_db FROM c",
@@ -208,6 +227,13 @@ SELECT vec_id, round(list_sum(y), 5) AS sum, round(sqrt(list_sum(list_transform(
     "dft_bandpass": f"""WITH {ARRAYS}, c AS (SELECT vec_id, k, sum(a[i + 1] * cos(2 * pi() * ((k * i) % 64) / 64)) AS re, sum(a[i + 1] * sin(2 * pi() * ((k * i) % 64) / 64)) AS im FROM s, range(4, 17) k(k), range(64) i(i) GROUP BY vec_id, k),
 y AS (SELECT vec_id, i, 2.0 / 64 * sum(re * cos(2 * pi() * ((k * i) % 64) / 64) + im * sin(2 * pi() * ((k * i) % 64) / 64)) AS y FROM c, range(64) i(i) GROUP BY vec_id, i)
 SELECT vec_id, round(sum(y), 5) + 0.0 AS sum, round(sqrt(sum(y * y) / 64), 5) AS rms FROM y GROUP BY vec_id""",
+    "augment_profiles": f"""WITH {ARRAYS}, y AS (SELECT vec_id, list_transform(range(1, 65), lambda i: pow(0.15, 1.5) * (a[i] + CASE WHEN i > 5 THEN 0.5 * a[i - 5] ELSE 0 END)) AS far, a AS plain FROM s),
+p AS (SELECT vec_id, 'far' AS profile, far AS y FROM y UNION ALL SELECT vec_id, 'plain', plain FROM y)
+SELECT vec_id, profile, CASE WHEN vec_id % 10 = 3 THEN 'no samples' ELSE '' END AS error,
+       CASE WHEN vec_id % 10 = 3 THEN -1 ELSE round(list_sum(list_transform(y, lambda v: v * v)) / 64, 9) END AS energy FROM p""",
+    "score_means": f"WITH {SCORED} " + " UNION ALL ".join(f"SELECT '{k}' AS component, round(avg({k if k == 'overall' else k + '_score'}), 3) AS mean FROM z WHERE is_valid" for k in (*validation.WEIGHTS, "overall")),
+    "event_overlay": f"""WITH {ARRAYS}, y AS (SELECT vec_id, list_transform(range(0, 64), lambda i: a[i + 1] + CASE WHEN i BETWEEN 40 AND 55 THEN 0.5 * a[i - 39] * least((i - 40) / 4.0, 1) * least((55 - i) / 8.0, 1) ELSE 0 END) AS y FROM s)
+SELECT vec_id, round(list_sum(list_transform(y, lambda v: v * v)) / 64, 9) AS energy FROM y""",
 }
 QUERIES = {
     "signal_features": signal_features,
@@ -236,4 +262,7 @@ QUERIES = {
     "linear_resample": _transform(lambda a: S.resample(a, F.lit(48))),
     "snr_mix": snr_mix,
     "dft_bandpass": dft_bandpass,
+    "augment_profiles": augment_profiles,
+    "score_means": score_means,
+    "event_overlay": event_overlay,
 }

@@ -40,10 +40,20 @@ def task_progress(spark, sf_dir):
 
 
 def resume_pending(spark, sf_dir):
-    """Sessions of January's first week without a completed task."""
+    """Sessions without a completed task after their last failure."""
     held = events(spark, sf_dir)
-    early = held.where("ts < timestamp_ntz'2024-01-08'").select("user_id").distinct()
-    return tasks.pending(early, held.where("ts < timestamp_ntz'2024-01-08'"), "user_id", F.col("state") == "completed")
+    failures = held.where(F.col("state") == "failed").groupBy("user_id").agg(F.max("ts").alias("last"))
+    later = held.join(failures, "user_id").where("ts > last")
+    return tasks.pending(failures.select("user_id"), later, "user_id", F.col("state") == "completed")
+
+
+def session_eta(spark, sf_dir):
+    held = tasks.estimated(events(spark, sf_dir), "user_id", F.col("state"), "ts")
+    return held.select("user_id", "done", "remaining", F.round("elapsed", 3).alias("elapsed"), F.round("eta", 3).alias("eta"))
+
+
+def last_states(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", "user_id", "state").orderBy(F.desc("event_id")).limit(10)
 
 
 def failed_tasks(spark, sf_dir):
@@ -115,7 +125,10 @@ SQL = {
     "task_progress": f"""WITH {EVENTS}, c AS (SELECT user_id, count(*) AS total, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'failed') AS failed FROM e GROUP BY user_id)
 SELECT user_id, total, completed, failed, round(completed / total, 6) AS progress, coalesce(round(completed / nullif(completed + failed, 0), 6), 0) AS success_rate,
   CASE WHEN completed + failed < total THEN 'processing' WHEN failed > 0 THEN 'failed' ELSE 'completed' END AS status FROM c""",
-    "resume_pending": "SELECT DISTINCT user_id FROM events WHERE ts < '2024-01-08' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < '2024-01-08' AND event_type = 'purchase')",
+    "resume_pending": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) FILTER (event_type = 'error') IS NOT NULL AND coalesce(max(ts) FILTER (event_type = 'purchase') <= max(ts) FILTER (event_type = 'error'), true)",
+    "session_eta": """SELECT user_id, done::BIGINT AS done, (total - done)::BIGINT AS remaining, round(elapsed, 3) AS elapsed, round(CASE WHEN done > 0 THEN elapsed / done * (total - done) END, 3) AS eta
+  FROM (SELECT user_id, count(*) AS total, count(*) FILTER (event_type IN ('purchase', 'error')) AS done, epoch_us(max(ts) - min(ts)) / 1e6 AS elapsed FROM events GROUP BY user_id)""",
+    "last_states": "SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS state FROM events ORDER BY event_id DESC LIMIT 10",
     "failed_tasks": "SELECT event_id, user_id FROM events WHERE event_type = 'error'",
     "task_durations": "SELECT event_id, round(epoch_us(lead(ts) OVER w - ts) / 1e6, 3) AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "fallback_choice": "SELECT user_id, min(event_type) FILTER (event_type <> 'error') AS source FROM events GROUP BY user_id",

@@ -6,6 +6,9 @@ import importlib.util
 import os
 from dataclasses import dataclass, field
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +51,12 @@ class Registry:
         return spark.createDataFrame(rows, "id string, name string, gender string, language string, provider string")
 
 
-def filter_voices(voices: DataFrame, language: str | None = None, gender: str | None = None, names: list[str] | None = None) -> DataFrame:
-    """By the beginning of the language, by gender, by id or name; whatever the case."""
+def filter_voices(voices: DataFrame, language: str | list[str] | None = None, gender: str | None = None, names: list[str] | None = None) -> DataFrame:
+    """Languages that hold any of the codes asked for, gender, id or name; whatever the case of the first two."""
     held = voices
     if language:
-        held = held.where(F.startswith(F.lower("language"), F.lit(language.lower())))
+        codes = [language] if isinstance(language, str) else language
+        held = held.where(reduce(or_, [F.contains(F.lower("language"), F.lit(c.lower())) for c in codes]))
     if gender:
         held = held.where(F.lower("gender") == gender.lower())
     return held.where(F.col("id").isin(names) | F.col("name").isin(names)) if names else held

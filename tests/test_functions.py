@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curaspark.functions import signal as S
 from curaspark.functions import spectrum
 from curaspark.functions import text as T
+from curaspark.operators import validation
 
 #: Signals that every array function must bear.
 EDGES = [None, [], [0.5], [0.0] * 32, [0.25] * 32, [0.0] * 16 + [1.0] * 16, [1.0, -1.0] * 7 + [0.5], np.sin(np.arange(64)).tolist()]
@@ -95,3 +96,27 @@ def test_text_rules(spark):
     assert values(df, T.style_voice(F.col("v"))["voice"]) == ["alice"]
     assert values(df, T.path_parts(F.lit("/x/y/clip.WAV")))[0].asDict() == {"name": "clip.WAV", "stem": "clip", "suffix": ".wav", "parent": "/x/y"}
     assert values(df, T.class_name(F.lit("my_new-plugin"))) == ["MyNewPlugin"]
+
+
+def test_edit_distance_against_a_plain_table():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        r, h = ([rng.choice("abcd") for _ in range(rng.randint(0, 80))] for _ in range(2))
+        costs = list(range(len(h) + 1))
+        for i, x in enumerate(r):
+            above, costs[0] = costs[0], i + 1
+            for j, y in enumerate(h):
+                above, costs[j + 1] = costs[j + 1], min(costs[j] + 1, costs[j + 1] + 1, above + (x != y))
+        assert T.distance(r, h) == costs[-1]
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([(0.256, 2_048, 3_145_728, {"a": "1"}, "aGk=", 44_100)], "share double, small long, large long, given map<string,string>, coded string, rate int")
+    held = df.select(
+        T.percent(F.col("share")), T.file_size(F.col("small")), T.file_size(F.col("large")), T.with_defaults(F.create_map(F.lit("a"), F.lit("0"), F.lit("b"), F.lit("2")), F.col("given")),
+        T.from_base64(F.col("coded")), validation.rate_error(F.col("rate"), multiple=1000), validation.in_range({"share": (F.col("share"), 0.5, 1.0), "rate": (F.col("rate"), 0, 1e6)}),
+    ).first()
+    assert list(held[:3]) == ["25.6%", "2.0 KB", "3.0 MB"] and held[3] == {"a": "1", "b": "2"} and bytes(held[4]) == b"hi"
+    assert held[5] == "sample rate 44100 is no multiple of 1000" and held[6] == ["share"]

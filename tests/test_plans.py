@@ -132,3 +132,29 @@ def test_window_counts_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.sql("SELECT sum(requests) AS n FROM windows").first().n == events.count()
+
+
+def test_augmentation_reports_bad_rows(spark):
+    from curaspark.plans import augmentation
+
+    rows = [(1, [0.5, -0.5, 0.25, 0.1] * 6, 24_000), (2, None, 24_000), (3, [], 24_000), (4, [0.1, float("nan")], 24_000), (5, [0.1, None], 24_000), (6, [0.1], None), (7, [0.0, 1.0], 12_000)]
+    df = spark.createDataFrame(rows, "id long, samples array<double>, sample_rate int")
+    got = {r.id: r for r in augmentation.augment(df, [("distort", {"amount": 0.1}), ("limit", {"threshold": -6.0}), ("ramps", {"attack": 2, "release": 2})]).collect()}
+    assert [got[i].augment_error for i in range(1, 8)] == [None, "no samples", "no samples", "samples that are no numbers", "samples that are no numbers", "no sample rate", None]
+    assert all((got[i].augmented is None) == (got[i].augment_error is not None) for i in got)
+    assert len(got[1].augmented) == 24 and got[1].augmented[0] == 0 == got[1].augmented[-1] and max(map(abs, got[1].augmented)) <= 10 ** (-6 / 20) + 1e-9
+    assert len(got[7].augmented) == 4
+    with pytest.raises(ValueError, match="unknown steps: warp"):
+        augmentation.augment(df, [("warp", {})])
+    assert augmentation.augment(df.where("false"), []).count() == 0
+
+
+def test_rows_pair_by_position(spark):
+    from curaspark.plans import augmentation
+
+    left = spark.range(500).selectExpr("id * 7 % 1000 AS path")
+    right = spark.range(500).selectExpr("id AS line", "concat('text ', id) AS text").repartition(5)
+    got = augmentation.paired(left, "path", right, "line").orderBy("line").collect()
+    assert [r.path for r in got] == sorted(i * 7 % 1000 for i in range(500)) and [r.line for r in got] == list(range(500))
+    with pytest.raises(ValueError, match="500 rows on the left, 499"):
+        augmentation.paired(left, "path", right.where("line > 0"), "line")
