@@ -239,13 +239,14 @@ def near_duplicates(docs: DataFrame, *, id="doc_id", text="text") -> DataFrame:
         part = components(links, scratch, f"cc{r}")
         home = left.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         home = scratch.put(home.select("signature", "entry", "side", "doc_id", "component"), f"home{r}")
-        drawn = F.struct(F.xxhash64("doc_id", "signature", F.lit(r)).alias("h"), "doc_id", "component")
+        drawn = F.struct(F.xxhash64("doc_id", "signature", F.lit(r)).alias("h"), "doc_id", "component", "side")
         hub = home.groupBy("signature").agg(F.min(drawn).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-        hub = scratch.put(hub.where("low < high").select("signature", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("to")), f"hubs{r}")
+        hub = scratch.put(hub.where("low < high").select("signature", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("to"), F.col("hub.side").alias("hub_side")), f"hubs{r}")
         left = home.join(hub, "signature")
         if r == HUBS:
             break
-        pairs = left.where("component <> to")
+        # At a border, two sets on one side are left to the level of their own band.
+        pairs = left.where((F.col("component") != F.col("to")) & ((F.col("entry") % 128 < 64) | (F.col("side") != F.col("hub_side"))))
         pairs = pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, f"pairs{r}")
         more = scratch.put(verify(pairs, _sets_of(rows, pairs, scratch, f"sets{r}")), f"more{r}")
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, *, id="doc_id", text="text") -> DataFrame:
         left = left.where("doc_id <> hub").select("signature", "entry", "side", "doc_id")
 
     # Last, what lies in one bucket but still in different components.
-    home = scratch.put(left.drop("hub", "to"), "apart")
+    home = scratch.put(left.drop("hub", "to", "hub_side"), "apart")
     # Pairs whose sketches differ in more segments than linking sets can never become rows.
     ids = scratch.put(home.select("doc_id").distinct(), "apart_ids")
     picked = join_counted(rows, ids, "doc_id", "left_semi", ids.count())
