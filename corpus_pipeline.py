@@ -19,12 +19,20 @@ def _without(docs: DataFrame, removed: DataFrame, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null, empty and blank texts have no words and go; null languages and sources are groups; repeated rows share a
+    verdict; an empty table stays empty; other columns are kept.
+    """
     return quality.keep_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents of which nothing is left; n_chars follows the text."""
+    """Repeated lines go, and documents of which nothing is left; n_chars follows the text.
+
+    Null texts and null ids stay as they are; repeated rows lose the same lines; other columns are kept, but columns
+    called n_lines and n_removed hold the counts.
+    """
     cut = lines.dedup_lines(docs)
     left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
@@ -32,18 +40,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Texts without words and rows with a null id stay; rows that repeat an id go or stay together.
+    """
     return _without(docs, near.near_duplicates(docs).where("doc_id <> component_id"), "near_removed")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and blank texts and items match nothing; a null id stays; rows that repeat an id go together.
+    """
     leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, leaks, "leaks_removed")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids, with merge dropout."""
+    """doc_id, n_tokens and ids, with merge dropout. Null and empty texts have none."""
     return pieces.encode(docs, PIECE_MODEL).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
