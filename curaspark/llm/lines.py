@@ -37,10 +37,11 @@ BINS, ROWS, RATE = 12, 3, 48
 ROW = ["doc_id", "text_hash"]
 
 
-def normalised(line: Column) -> Column:
-    low = F.lower(line)
-    # Most lines have single blanks only, which a search sees faster than a replacement.
-    return F.trim(F.when(low.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")).otherwise(low))
+def normalised(text: Column) -> Column:
+    """The text lower-cased, with each run of blanks within a line as one; blanks at the ends of lines are left to trim."""
+    low = F.lower(text)
+    # Many texts have single blanks only, which a search sees faster than a replacement.
+    return F.when(low.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
 
 
 def shingles(lines: DataFrame, width: int) -> DataFrame:
@@ -67,8 +68,8 @@ def banded(lines: DataFrame, width: int) -> DataFrame:
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     """One row per line long enough: the row's identity, line_no, the normalised line, and its two hashes."""
-    rows = docs.where("doc_id is not null and text is not null").select(*ROW, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.select(*ROW, "line_no", normalised(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
+    rows = docs.where("doc_id is not null and text is not null").select(*ROW, F.posexplode(F.split(normalised(F.col("text")), "\n", -1)).alias("line_no", "line"))
+    rows = rows.select(*ROW, "line_no", F.trim("line").alias("line")).where(F.length("line") >= min_chars)
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
 
 
