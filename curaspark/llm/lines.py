@@ -81,7 +81,9 @@ def sketched(lines: DataFrame, width: int) -> DataFrame:
     """(k1, line) to k1, n, the words and set: n shingles, repeated ones too, each of which sets one bit; how many are set."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))
     rows = shingles(lines, width).select("k1", "n", F.col("h").bitwiseAND(F.lit(len(SKETCH) - 1)).cast("int").alias("word"), bit.alias("bit"))
-    words = [F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")).alias(c) for i, c in enumerate(SKETCH)]
+    # Each word by itself first: one aggregate a shingle, and then one row a word to lay out in columns.
+    rows = rows.groupBy("k1", "n", "word").agg(F.bit_or("bit").alias("bits"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bits"))), F.lit(0).cast("long")).alias(c) for i, c in enumerate(SKETCH)]
     set_ = reduce(add, [F.bit_count(c) for c in SKETCH])
     return rows.groupBy("k1").agg(F.max("n").alias("n"), *words).withColumn("set", set_)
 
