@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, decontaminate, lines, lm, near, pieces, pii, quality, repeats, secrets
-from curaspark.llm.common import documents
+from curaspark.llm import chat, decontaminate, lines, lm, near, pieces, pii, quality, repeats, secrets, tokenfiles
+from curaspark.llm.common import Scratch, documents
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +111,17 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+#: The byte-level vocabulary among the public tokenizers.
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, start, n_tokens, ids_crc32, read back from the files."""
+    folder = f"{Scratch(spark, 'token_files').root}/ids"
+    tokenfiles.write_ids(tokenfiles.tokenize(documents(spark, sf_dir), BYTE_MODEL), folder)
+    return tokenfiles.digests(tokenfiles.read_ids(spark, folder))
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPLIT = rf"list_filter(regexp_split_to_array({LOWERED}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 OP4_SQL = f"""
@@ -149,6 +160,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "op13_token_files": op13_token_files,
     }
 
 
