@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, decontaminate, lines, lm, near, pieces, pii, quality, repeats, secrets, tokenfiles
+from curaspark.llm import chat, decontaminate, lines, lm, near, pieces, pii, quality, ranked, repeats, secrets, tokenfiles
 from curaspark.llm.common import Scratch, documents
 
 
@@ -111,6 +111,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
+
+
 #: The byte-level vocabulary among the public tokenizers.
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -148,6 +152,21 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_kn
 """
 
 
+FOUND = rf"regexp_extract_all({LOWERED}, '{ranked.TERM}')"
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {FOUND} AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n, sum(len(t))::BIGINT AS l FROM d),
+o AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM o GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * (SELECT n FROM s) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p GROUP BY term),
+i AS (SELECT DISTINCT item_id, unnest({FOUND}) AS term FROM benchmark),
+x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * p.n * s.n) // s.l))))::BIGINT AS score
+      FROM i JOIN p USING (term) JOIN w USING (term), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -160,9 +179,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "op12_ranked_search": op12_ranked_search,
         "op13_token_files": op13_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_lm_score": OP6_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_lm_score": OP6_SQL, "op12_ranked_search": OP12_SQL}
