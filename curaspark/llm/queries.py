@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, decontaminate, lines, lm, near, pieces, pii, quality, ranked, repeats, secrets, tokenfiles
+from curaspark.llm import chat, decontaminate, lines, lm, near, pieces, pii, quality, ranked, repeats, secrets, tokenfiles, trie
 from curaspark.llm.common import Scratch, documents
 
 
@@ -111,6 +111,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
 
@@ -152,6 +156,40 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_kn
 """
 
 
+# crc32 bit by bit: a byte is xored in, then eight shifts follow (marked -1). A node's key is the chain of its turns' hashes.
+OP11_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, sha256(length(r)::VARCHAR || ':' || r || ':' || x) AS d, length(x) AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r)::VARCHAR || ':' || r || ':' || x)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+           flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda b: [ascii(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, t.d, t.size, pos FROM c JOIN t ON t.conv_id = c.base AND t.pos <= h
+  UNION ALL SELECT c.conv_id, t.d, t.size, pos + 1000000 FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h
+), n AS (
+  SELECT conv_id, d, size, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM r
+), k AS (
+  SELECT conv_id, 0::BIGINT AS depth, '' AS key, '' AS up, 0::BIGINT AS size FROM c
+  UNION ALL SELECT k.conv_id, n.depth, sha256(k.key || ':' || n.d), k.key, n.size FROM k JOIN n ON n.conv_id = k.conv_id AND n.depth = k.depth + 1
+), m AS (
+  SELECT key, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own FROM k GROUP BY key
+), e AS (
+  SELECT key, conv_id FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS last FROM k) WHERE depth = last
+), h AS (
+  SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM e GROUP BY key
+), ch AS (SELECT up AS key, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY up),
+a AS (
+  SELECT x.key, sum(y.own)::BIGINT AS saved, count(*) FILTER (ch.n_children IS NULL) AS leaves
+  FROM k x JOIN m y ON y.conv_id = x.conv_id AND y.depth >= x.depth LEFT JOIN ch ON ch.key = y.key GROUP BY x.key
+)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, coalesce(ch.n_children, 0)::BIGINT AS n_children,
+       a.leaves::BIGINT AS n_leaves, a.saved AS saved_tokens, coalesce(h.ends, sha256('')) AS ends_sha256
+FROM m JOIN a USING (key) LEFT JOIN m p ON p.key = m.up AND m.depth > 0 LEFT JOIN ch ON ch.key = m.key LEFT JOIN h ON h.key = m.key
+"""
 FOUND = rf"regexp_extract_all({LOWERED}, '{ranked.TERM}')"
 OP12_SQL = f"""
 WITH d AS (SELECT doc_id, {FOUND} AS t FROM documents),
@@ -179,10 +217,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_ranked_search": op12_ranked_search,
         "op13_token_files": op13_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_lm_score": OP6_SQL, "op12_ranked_search": OP12_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_lm_score": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op12_ranked_search": OP12_SQL}
