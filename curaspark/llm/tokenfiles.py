@@ -147,29 +147,30 @@ class IdWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         place, root = opened(self.folder)
         place.create_dir(root, recursive=True)
-        partition, attempt, done, now, docs = TaskContext.get().partitionId(), uuid.uuid4().hex, [], None, 0
-
-        def close() -> None:
-            nonlocal now, docs
+        partition, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        names, done, now, docs = [], [], None, 0
+        try:
+            for batch in iterator:
+                sizes = batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = batch.column("ids").flatten().to_numpy(zero_copy_only=False)
+                ends, i = np.cumsum(sizes), 0
+                while i < len(sizes):  # as many documents as the file still takes, one at least
+                    if now is None:
+                        names.append(f"part-{partition:06d}-{len(names):04d}-{attempt}.s8b")
+                        now, docs = Maker(place, f"{root}/{names[-1]}"), 0
+                    first = int(ends[i] - sizes[i])
+                    j = min(max(i + 1, int(np.searchsorted(ends, first + FILE_IDS - now.ids, "right"))), i + FILE_DOCS - docs)
+                    now.add(batch.column("doc_id")[i:j], sizes[i:j], ids[first : ends[j - 1]])
+                    docs, i = docs + j - i, j
+                    if now.ids >= FILE_IDS or docs >= FILE_DOCS:
+                        done.append((names[-1], *now.close()))
+                        now = None
             if now:
-                done.append((name, *now.close()))
-            now, docs = None, 0
-
-        for batch in iterator:
-            sizes = batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = batch.column("ids").flatten().to_numpy(zero_copy_only=False)
-            ends, i = np.cumsum(sizes), 0
-            while i < len(sizes):  # as many documents as the file still takes, one at least
-                if now is None:
-                    name = f"part-{partition:06d}-{len(done):04d}-{attempt}.s8b"
-                    now = Maker(place, f"{root}/{name}")
-                first = int(ends[i] - sizes[i])
-                j = min(max(i + 1, int(np.searchsorted(ends, first + FILE_IDS - now.ids, "right"))), i + FILE_DOCS - docs)
-                now.add(batch.column("doc_id")[i:j], sizes[i:j], ids[first : ends[j - 1]])
-                docs, i = docs + j - i, j
-                if now.ids >= FILE_IDS or docs >= FILE_DOCS:
-                    close()
-        close()
+                done.append((names[-1], *now.close()))
+        except BaseException:
+            for name in names:
+                place.delete_file(f"{root}/{name}")
+            raise
         return Written(partition, done)
 
     def commit(self, messages: list) -> None:
