@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,19 +46,6 @@ def packet_loss(a: Column, key: Column, rate: int, loss: float = 0.02, packet_ms
     return F.transform(a, one)
 
 
-def dropouts(a: Column, key: Column, rate: int, probability: float = 0.01, duration_ms: float = 50.0, seed: int = 42) -> Column:
-    """At each sample that is not yet silent a run of silence begins by chance."""
-    run = max(int(duration_ms * rate / 1000), 1)
-    start = F.struct(F.lit(0).alias("left"), F.lit(0).alias("i"), F.array().cast("array<double>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        begins = (s["left"] == 0) & (_draw(key, "dropout", s["i"], seed) < probability)
-        left = F.when(begins, run).otherwise(s["left"])
-        return F.struct(F.greatest(left - 1, F.lit(0)).alias("left"), (s["i"] + 1).alias("i"), F.concat(s["out"], F.array(F.when(left > 0, 0.0).otherwise(x))).alias("out"))
-
-    return F.aggregate(a, start, step)["out"]
-
-
 def jitter(a: Column, key: Column, rate: int, jitter_ms: float = 20.0, seed: int = 42) -> Column:
     """Segments of a fiftieth of a second come from a little later, where the signal reaches so far."""
     most, segment = int(jitter_ms * rate / 1000) // 4, max(rate // 50, 1)
@@ -80,24 +68,36 @@ def reverberate(a: Column, rate: int, rt60: float, wet: float) -> Column:
     return S.let(mixed, lambda m: S.let(S.peak(m), lambda p: F.when(p > 1, F.transform(m, lambda x: x / p)).otherwise(m)))
 
 
-def distance_chain(a: Column, metres: Column, rate: int, room: str = "medium", wet: float = 0.3) -> Column:
-    """Gain, air, proximity, then the room's reverb."""
-    near = spectrum.proximity(spectrum.air_absorption(S.distance_gain(a, metres), metres, rate), metres, rate)
-    return reverberate(near, rate, DISTANCE_ROOMS[room], wet)
+def distance_chain(metres: float, rate: int, room: str = "medium", wet: float = 0.3) -> list[Callable[[Column], Column]]:
+    """Gain, air and proximity, then the room's reverb: parts that follow each other in projections of their own."""
+    d = F.lit(float(metres))
+    return [
+        lambda a: S.distance_gain(a, d),
+        lambda a: spectrum.proximity(spectrum.air_absorption(a, d, rate), d, rate),
+        lambda a: reverberate(a, rate, DISTANCE_ROOMS[room], wet),
+    ]
+
+
+def telephone(key: Column, low: float, high: float, rate: int, bits: int = 13, loss: float = 0.02, seed: int = 42) -> list[Callable[[Column], Column]]:
+    """Band, then codec, lost packets and jitter, each a part of its own."""
+    return [
+        lambda a: spectrum.phone_band(a, low, high, rate),
+        lambda a: S.codec(a, bits),
+        lambda a: packet_loss(a, key, rate, loss, seed=seed),
+        lambda a: jitter(a, key, rate, seed=seed),
+    ]
 
 
-def telephone(a: Column, key: Column, low: float, high: float, rate: int, bits: int = 13, loss: float = 0.02, seed: int = 42) -> Column:
-    """Band, codec, lost packets, jitter."""
-    return jitter(packet_loss(S.codec(spectrum.phone_band(a, low, high, rate), bits), key, rate, loss, seed=seed), key, rate, seed=seed)
+EVENT_KIND = "array<struct<start:double,duration:double,type:string,strength:double>>"
 
 
-def random_events(key: Column, seconds: float, per_minute: float, seed: int = 42) -> Column:
+def random_events(key: Column, seconds: Column | float, per_minute: float, seed: int = 42) -> Column:
     """array<struct<start, duration, type, strength>> of a clip: as many as the density says, at least half a second apart, none past the end."""
+    seconds = seconds if isinstance(seconds, Column) else F.lit(float(seconds))
     names = F.array(*[F.lit(n) for n in EVENTS])
     bounds = F.array(*[F.struct(F.lit(float(d[0])).alias("d0"), F.lit(float(d[1])).alias("d1"), F.lit(float(s[0])).alias("s0"), F.lit(float(s[1])).alias("s1")) for d, _, s in EVENTS.values()])
-    n = int(per_minute * seconds / 60)
-    kind = "array<struct<start:double,duration:double,type:string,strength:double>>"
-    begin = F.struct(F.lit(0.0).alias("now"), F.array().cast(kind).alias("events"))
+    n = F.floor(per_minute * seconds / 60).cast("int")
+    begin = F.struct(F.lit(0.0).alias("now"), F.array().cast(EVENT_KIND).alias("events"))
     between = lambda low, high, what, k: low + _draw(key, what, k, seed) * (high - low)
 
     def step(s: Column, k: Column) -> Column:
@@ -105,13 +105,12 @@ def random_events(key: Column, seconds: float, per_minute: float, seed: int = 42
 
         def placed(b: Column) -> Column:
             duration = between(b["d0"], b["d1"], "duration", k)
-            start = F.greatest(s["now"] + 0.5, between(s["now"], F.lit(seconds) - duration, "start", k))
+            start = F.greatest(s["now"] + 0.5, between(s["now"], seconds - duration, "start", k))
             event = F.struct(start.alias("start"), duration.alias("duration"), F.get(names, which).alias("type"), between(b["s0"], b["s1"], "strength", k).alias("strength"))
             return F.struct((start + duration).alias("now"), F.concat(s["events"], F.array(event)).alias("events"))
 
         return S.let(F.get(bounds, which), placed)
 
-    if n < 1:
-        return F.array().cast(kind)
-    held = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), begin, step)["events"]
+    each = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    held = F.aggregate(each, begin, step)["events"]
     return F.filter(held, lambda e: e["start"] + e["duration"] <= seconds)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curaspark.functions.stacked import stacked
+
 EPSILON = 1e-10
 
 
@@ -264,20 +265,17 @@ def expand(a: Column, threshold: float = -40.0, ratio: float = 2.0) -> Column:
 def limit(a: Column, threshold: float = -1.0, release: int = 10) -> Column:
     """An envelope that rises at once and falls by a share of the gap per sample holds the signal under the threshold."""
     top = 10 ** (threshold / 20)
+    return stacked(lambda x: limited(x, top, release), a)
 
-    @F.pandas_udf("array<double>")
-    def apply(signals: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else limited(x, top, release) for x in signals], dtype=object)
-
-    return apply(a)
 
-
-def limited(samples: np.ndarray, top: float, release: int) -> np.ndarray:
-    envelope, gains = 0.0, []
-    for level in np.abs(samples).tolist():
-        envelope = level if level > envelope else envelope + (level - envelope) / release
-        gains.append(top / envelope if envelope > top else 1.0)
-    return np.asarray(samples) * np.array(gains, float)
+def limited(x: np.ndarray, top: float, release: int) -> np.ndarray:
+    """Rows of x side by side, sample after sample."""
+    levels = np.abs(x)
+    envelopes, envelope = np.empty_like(levels), np.zeros(len(x))
+    for i in range(x.shape[1]):
+        envelope = np.where(levels[:, i] > envelope, levels[:, i], envelope + (levels[:, i] - envelope) / release)
+        envelopes[:, i] = envelope
+    return x * np.where(envelopes > top, top / np.maximum(envelopes, top), 1.0)
 
 
 def resample(a: Column, size: Column) -> Column:
@@ -304,16 +302,6 @@ def ramps(a: Column, attack: int, release: int) -> Column:
     return F.transform(a, lambda x, i: x * rise(i) * fall(i))
 
 
-def half_sine(a: Column) -> Column:
-    """An envelope of half a sine over the whole event."""
-    return F.transform(a, lambda x, i: x * F.sin(F.lit(3.141592653589793) * i / F.greatest(F.size(a) - 1, F.lit(1))))
-
-
 def overlay(a: Column, event: Column, at: int, gain: float = 1.0) -> Column:
     """a with the event added from a sample on; what passes the end is cut off."""
     return F.transform(a, lambda x, i: x + gain * F.coalesce(F.try_element_at(event, (F.when(i >= at, i - at + 1).otherwise(F.size(event) + 1)).cast("int")), F.lit(0.0)))
-
-
-def self_noise(a: Column, floor_db: float, noise: Callable[[Column], Column]) -> Column:
-    """a with noise(sample number), of unit spread, at the microphone's own level below the signal's."""
-    return let(rms(a) * 10 ** (floor_db / 20) * 0.1, lambda spread: F.transform(a, lambda x, i: x + noise(i) * spread))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curaspark.functions.stacked import stacked
+
 
 def _each(kind: str, f: Callable[..., object]) -> Callable[..., Column]:
     """A function of one row's arrays as a column function."""
@@ -28,49 +30,57 @@ def _array(x: object) -> np.ndarray:
 
 
 def magnitudes(a: Column) -> Column:
-    return _each("array<double>", lambda x: np.abs(np.fft.rfft(_array(x))) if len(x) else np.zeros(0))(a)
+    return stacked(lambda x: np.abs(np.fft.rfft(x, axis=1)), a)
+
+
+def _filtered(x: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Rows of x with their spectra times a gain, one for all or one each."""
+    return np.fft.irfft(np.fft.rfft(x, axis=1) * gain, x.shape[1])
 
 
-def _filtered(x: np.ndarray, gain: Callable[[np.ndarray], np.ndarray], rate: float) -> np.ndarray:
-    if not len(x):
-        return x
-    return np.fft.irfft(np.fft.rfft(x) * gain(np.fft.rfftfreq(len(x), 1 / rate)), len(x))
+def _hertz(x: np.ndarray, rate: float) -> np.ndarray:
+    return np.fft.rfftfreq(x.shape[1], 1 / rate)
 
 
 def band_pass(a: Column, low: float, high: float, rate: float) -> Column:
     """Keeps the frequencies from low to high, nothing else."""
-    return _each("array<double>", lambda x: _filtered(_array(x), lambda f: ((f >= low) & (f <= high)).astype(float), rate))(a)
+
+    def kept(x: np.ndarray) -> np.ndarray:
+        f = _hertz(x, rate)
+        return _filtered(x, (f >= low) & (f <= high))
+
+    return stacked(kept, a)
 
 
 def phone_band(a: Column, low: float, high: float, rate: float) -> Column:
     """Soft edges of the second and fourth order."""
 
-    def gain(f: np.ndarray) -> np.ndarray:
-        return 1 / (1 + (low / np.maximum(f, 1e-9)) ** 2) / (1 + (f / high) ** 4)
+    def kept(x: np.ndarray) -> np.ndarray:
+        f = _hertz(x, rate)
+        return _filtered(x, 1 / (1 + (low / np.maximum(f, 1e-9)) ** 2) / (1 + (f / high) ** 4))
 
-    return _each("array<double>", lambda x: _filtered(_array(x), gain, rate))(a)
+    return stacked(kept, a)
 
 
 def air_absorption(a: Column, metres: Column, rate: float) -> Column:
     """A low pass that closes with distance; none under a metre."""
 
-    def one(x: object, d: float) -> np.ndarray:
-        cutoff = 16_000 / (1 + 0.5 * (d - 1)) if d >= 1 else np.inf
-        return _filtered(_array(x), lambda f: 1 / (1 + (f / cutoff) ** 2), rate)
+    def heard(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        cutoff = np.where(d >= 1, 16_000 / (1 + 0.5 * (d - 1)), np.inf)
+        return _filtered(x, 1 / (1 + (_hertz(x, rate) / cutoff[:, None]) ** 2))
 
-    return _each("array<double>", one)(a, metres)
+    return stacked(heard, a, own=[metres])
 
 
 def proximity(a: Column, metres: Column, rate: float) -> Column:
     """Fuller below 0.3 m, thinner beyond a metre."""
 
-    def one(x: object, d: float) -> np.ndarray:
-        if d < 0.3:
-            return _filtered(_array(x), lambda f: 1 + 0.3 / (1 + (f / 200) ** 2), rate)
-        thin = min(1.0, (d - 1) * 0.2)
-        return _filtered(_array(x), lambda f: 1 - thin / (1 + (f / 150) ** 2), rate) if d > 1 else _array(x)
+    def heard(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        f = _hertz(x, rate)
+        fuller, thinner = np.where(d < 0.3, 0.3, 0.0)[:, None], np.clip((d - 1) * 0.2, 0.0, 1.0)[:, None]
+        return _filtered(x, 1 + fuller / (1 + (f / 200) ** 2) - thinner / (1 + (f / 150) ** 2))
 
-    return _each("array<double>", one)(a, metres)
+    return stacked(heard, a, own=[metres])
 
 
 def convolve(a: Column, kernel: Column) -> Column:
@@ -105,40 +115,6 @@ def room_response(rate: int, size: tuple[float, float, float], source: tuple[flo
     return out.tolist()
 
 
-def wet_dry(a: Column, kernel: Column, wet: float = 0.6) -> Column:
-    """The signal and its convolution at equal power, scaled to a peak of 0.95."""
-
-    def one(x: object, k: object) -> np.ndarray:
-        x, k = _array(x), _array(k)
-        n = 1 << (len(x) + len(k)).bit_length()
-        room = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(k, n), n)[: len(x)]
-        mixed = np.sqrt(1 - wet) * x + np.sqrt(wet) * room
-        top = np.abs(mixed).max(initial=0)
-        return mixed * 0.95 / top if top > 0 else mixed
-
-    return _each("array<double>", one)(a, kernel)
-
-
-def equalise(a: Column, hertz: list[float], gains_db: list[float], rate: float) -> Column:
-    """Gains between the given points by a natural cubic spline of the linear gain, held beyond the ends."""
-    xs, ys = np.array(hertz, float), 10 ** (np.array(gains_db, float) / 20)
-    h = np.diff(xs)
-    n = len(xs)
-    m = np.zeros(n)
-    if n > 2:
-        left = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-        m[1:-1] = np.linalg.solve(left, 6 * (np.diff(ys[1:]) / h[1:] - np.diff(ys[:-1]) / h[:-1]))
-
-    def gain(f: np.ndarray) -> np.ndarray:
-        f = np.clip(f, xs[0], xs[-1])
-        i = np.clip(np.searchsorted(xs, f, "right") - 1, 0, n - 2)
-        t, w = f - xs[i], h[i]
-        slope = (ys[i + 1] - ys[i]) / w - w * (2 * m[i] + m[i + 1]) / 6
-        return np.maximum(ys[i] + slope * t + m[i] / 2 * t**2 + (m[i + 1] - m[i]) / (6 * w) * t**3, 0)
-
-    return _each("array<double>", lambda x: _filtered(_array(x), gain, rate))(a)
-
-
 def coloured_noise(size: Column, key: Column, exponent: float, seed: int = 42) -> Column:
     """Noise whose power falls with frequency to the exponent (0 white, 1 pink, 2 brown), a peak of 0.1; a function of key and seed."""
 
@@ -153,31 +129,6 @@ def coloured_noise(size: Column, key: Column, exponent: float, seed: int = 42) -
     return _each("array<double>", one)(size, key)
 
 
-def stretch(a: Column, rate: float, window: int = 256) -> Column:
-    """Plays faster (rate above 1) or slower at the same pitch, by a phase vocoder."""
-
-    def one(x: object) -> np.ndarray:
-        x = _array(x)
-        hop, shape = window // 4, np.hanning(window)
-        if len(x) < window or rate == 1:
-            return x
-        frames = np.array([np.fft.rfft(shape * x[i : i + window]) for i in range(0, len(x) - window + 1, hop)])
-        steps = np.arange(0, len(frames) - 1, rate)
-        expected = 2 * np.pi * hop * np.arange(window // 2 + 1) / window
-        phase, out = np.angle(frames[0]), np.zeros(len(steps) * hop + window)
-        weight = np.zeros(len(out))
-        for k, s in enumerate(steps):
-            low, t = int(s), s - int(s)
-            size = (1 - t) * np.abs(frames[low]) + t * np.abs(frames[low + 1])
-            out[k * hop : k * hop + window] += shape * np.fft.irfft(size * np.exp(1j * phase), window)
-            weight[k * hop : k * hop + window] += shape**2
-            turn = np.angle(frames[low + 1]) - np.angle(frames[low]) - expected
-            phase = phase + expected + turn - 2 * np.pi * np.round(turn / (2 * np.pi))
-        return (out / np.maximum(weight, 1e-3))[: round(len(x) / rate)]
-
-    return _each("array<double>", one)(a)
-
-
 def fingerprints(a: Column, window: int = 1024, hop: int = 512, bins: int = 128, digits: int = 6) -> Column:
     """A hash of each window's spectrum, scaled to between 0 and 1 and rounded, so that it does not hang on the last bits."""
 

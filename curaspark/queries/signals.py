@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curaspark.functions import signal as S
-from curaspark.functions import degrade, spectrum
-from curaspark.operators import duplicates, summary, validation
+from curaspark.functions import damage, degrade, microphone, noise, resampling, spectrum, vocoder
+from curaspark.operators import duplicates, overlay, summary, validation
 from curaspark.plans import assessment, augmentation
 
 RATE, WINDOW = 64, 16
@@ -41,7 +41,7 @@ def dataset_statistics(spark, sf_dir):
 
 
 def spectral_features(spark, sf_dir):
-    held = load(spark, sf_dir).withColumn("m", S.magnitudes(F.col("samples")))
+    held = load(spark, sf_dir).withColumn("m", spectrum.magnitudes(F.col("samples")))
     m = F.col("m")
     return held.select(
         "vec_id",
@@ -189,7 +189,62 @@ def event_overlay(spark, sf_dir):
     return load(spark, sf_dir).select("vec_id", _r(S.energy(S.overlay(F.col("samples"), event, 40, 0.5)), 9).alias("energy"))
 
 
+def event_table_overlay(spark, sf_dir):
+    """Every row of events as a sound of 1 to 24 rising samples, laid over its user's clip from a sample of its own on; some
+    begin before the clip, some past its end."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    size = (F.col("event_id") % 24 + 1).cast("int")
+    sound = F.transform(F.sequence(F.lit(1), size), lambda j: F.col("value") / 1000 * j / size)
+    sounds = rows.select(F.col("user_id").alias("vec_id"), (F.col("event_id") % 80 - 4).alias("start"), sound.alias("sound"))
+    held = overlay.overlay_events(load(spark, sf_dir), sounds, id="vec_id")
+    return held.select("vec_id", F.size("samples").cast("long").alias("n"), _r(S.total(F.col("samples")), 5).alias("sum"), _r(S.rms(F.col("samples")), 5).alias("rms"), _r(F.col("samples")[63], 5).alias("last"))
+
+
+def event_sounds(spark, sf_dir):
+    """The random events of two minutes for each clip, as they sound at 8 kHz."""
+    held = load(spark, sf_dir).select("vec_id", F.inline(degrade.random_events(F.col("vec_id"), 120.0, 1.0)))
+    held = held.withColumn("y", noise.event_sounds(F.col("type"), F.col("duration"), F.concat_ws(":", "vec_id", "start"), 8_000))
+    return held.select("vec_id", "type", _r("start", 5), F.size("y").cast("long").alias("n"), _r(S.peak(F.col("y")), 6).alias("peak"), _r(S.rms(F.col("y")), 5).alias("rms"))
+
+
+def _effect(make):
+    def query(spark, sf_dir):
+        held = load(spark, sf_dir).withColumn("y", make(F.col("samples"), F.col("vec_id")))
+        return held.select("vec_id", F.size("y").cast("long").alias("n"), _r(S.rms(F.col("y")), 5).alias("rms"), _r(S.peak(F.col("y")), 5).alias("peak"))
+
+    return query
+
+
+def microphone_chain(spark, sf_dir):
+    """Every clip through each of the six microphones, as if it were sampled at their rates."""
+    profiles = {name: [("microphone", {"name": name})] for name in microphone.RESPONSES}
+    held = augmentation.augment_profiles(load(spark, sf_dir).withColumn("sample_rate", F.lit(24_000)), profiles, key="vec_id")
+    return held.select("vec_id", "profile", _r(S.rms(F.col("augmented")), 5).alias("rms"), _r(F.col("augmented")[63], 5).alias("last"))
+
+
+def augment_scenes(spark, sf_dir):
+    """Noise with events, rooms, microphones, tempo, pitch, dynamics and losses in profiles of up to four steps."""
+    clips = load(spark, sf_dir).withColumns({"sample_rate": F.lit(8_000), "samples": F.when(F.col("vec_id") % 10 == 3, F.array_repeat(F.lit(0.0), 64)).otherwise(F.col("samples"))})
+    profiles = {
+        "kitchen": [("noise", {"kind": "pink", "snr": (12.0, 20.0), "per_minute": 1.0}), ("room", {"name": "medium_room"}), ("microphone", {"name": "smartphone"})],
+        "car": [("noise", {"kind": "brown", "snr": (8.0, 15.0)}), ("degradation_preset", {"name": "voip_call"}), ("dynamics_preset", {"name": "voice_compression"})],
+        "child": [("voice_preset", {"name": "child_voice"}), ("degradation_preset", {"name": "old_recording"}), ("far", {"metres": 2.0})],
+    }
+    held = augmentation.augment_profiles(clips, profiles, to_rate=8_000, key="vec_id")
+    return held.select("vec_id", "profile", F.coalesce("augment_error", F.lit("")).alias("error"), F.size("augmented").cast("long").alias("n"), _r(S.rms(F.col("augmented")), 5).alias("rms"))
+
+
 SQL = {
+    "event_table_overlay": """WITH e AS (SELECT user_id AS vec_id, event_id % 80 - 4 AS began, event_id % 24 + 1 AS n, value FROM events),
+p AS (SELECT vec_id, began + j - 1 AS i, value / 1000 * j / n AS v FROM e, range(1, 25) r(j) WHERE j <= n AND began BETWEEN 0 AND 63 AND began + j - 1 < 64),
+l AS (SELECT vec_id, i, sum(v) AS v FROM p GROUP BY ALL),
+y AS (SELECT c.vec_id, i.i, c.embedding[i.i + 1]::DOUBLE + coalesce(l.v, 0) AS y FROM embeddings c, range(64) i(i) LEFT JOIN l ON l.vec_id = c.vec_id AND l.i = i.i)
+SELECT vec_id, count(*) AS n, round(sum(y), 5) AS sum, round(sqrt(avg(y * y)), 5) AS rms, round(max(y) FILTER (i = 63), 5) AS last FROM y GROUP BY vec_id""",
+    "resample_band": """WITH b AS (SELECT p, t, 0.69 * CASE WHEN t * 3 = p THEN 1 ELSE sin(pi() * 0.69 * (t - p / 3.0)) / (pi() * 0.69 * (t - p / 3.0)) END
+    * list_sum(list_transform(range(0, 40), lambda k: (4.0 * sqrt(greatest(1 - ((t - p / 3.0) / 70) ** 2, 0))) ** (2 * k) / gamma(k + 1.0) ** 2)) AS h FROM range(3) p(p), range(-69, 71) t(t)),
+h AS (SELECT p, t, h / sum(h) OVER (PARTITION BY p) AS h FROM b),
+y AS (SELECT vec_id, j, sum(embedding[j * 4 // 3 + t + 1]::DOUBLE * h) AS y FROM embeddings, range(48) j(j), h WHERE p = j * 4 % 3 AND j * 4 // 3 + t BETWEEN 0 AND 63 GROUP BY ALL)
+SELECT vec_id, count(*) AS n, round(sum(y), 5) AS sum, round(sqrt(avg(y * y)), 5) AS rms, round(max(y) FILTER (j = 47), 5) AS last FROM y GROUP BY vec_id""",
     "signal_features": f"WITH {ARRAYS}, {FEATURES} SELECT vec_id, label, round(duration, 6) AS duration, round(peak, 6) AS peak, round(rms, 6) AS rms, round(zcr, 6) AS zcr, round(snr_db, 6) AS snr_db FROM f",
     "validate_signals": f"WITH {ARRAYS}, {FEATURES}, {CHECKED} SELECT vec_id, is_valid, error, round(peak, 6) AS peak, round(snr_db, 6) AS snr_db FROM c",
     "dataset_statistics": f"WITH {ARRAYS}, {FEATURES}, {CHECKED} SELECT label, count(*)::BIGINT AS total, count(*) FILTER (is_valid)::BIGINT AS valid, count(*) FILTER (NOT is_valid)::BIGINT AS invalid, {STATISTICS} FROM c GROUP BY label",
@@ -265,4 +320,14 @@ QUERIES = {
     "augment_profiles": augment_profiles,
     "score_means": score_means,
     "event_overlay": event_overlay,
+    "event_table_overlay": event_table_overlay,
+    "event_sounds": event_sounds,
+    "resample_band": _transform(lambda a: resampling.to_rate(a, F.lit(RATE), 48)),
+    "speed_change": _effect(lambda a, k: resampling.change_speed(a, 1.25)),
+    "time_stretch": _effect(lambda a, k: vocoder.time_stretch(a, 0.8)),
+    "pitch_shift": _effect(lambda a, k: vocoder.pitch_shift(a, 4.0)),
+    "microphone_chain": microphone_chain,
+    "dropouts": _effect(lambda a, k: damage.dropouts(a, k, 1_000, 0.05)),
+    "random_losses": _effect(lambda a, k: damage.random_losses(a, k, 24_000, 0.7)),
+    "augment_scenes": augment_scenes,
 }

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curaspark.functions import signal as S
-from curaspark.functions import spectrum
+from curaspark.functions import microphone, spectrum, vocoder
 from curaspark.functions import text as T
 from curaspark.operators import validation
 
@@ -57,7 +57,7 @@ def test_convolution_and_stretch(spark):
     x, k = rng.normal(size=2000), rng.normal(size=50)
     df = spark.createDataFrame([(0, x.tolist(), k.tolist())], "id long, a array<double>, k array<double>")
     assert np.allclose(values(df, spectrum.convolve(F.col("a"), F.col("k")))[0], np.convolve(x, k)[:2000], atol=1e-8)
-    assert len(values(df, spectrum.stretch(F.col("a"), 2.0))[0]) == pytest.approx(1000, abs=260)
+    assert len(values(df, vocoder.time_stretch(F.col("a"), 2.0))[0]) == pytest.approx(1000, abs=260)
     noise = values(df, spectrum.coloured_noise(F.lit(512), F.col("id"), 1.0))[0]
     assert max(map(abs, noise)) == pytest.approx(0.1) and noise == values(df, spectrum.coloured_noise(F.lit(512), F.col("id"), 1.0))[0]
     response = spectrum.room_response(8000, (3.0, 2.5, 2.4), (0.5, 0.5, 1.0), (1.5, 1.25, 1.2), 0.2, 2)
@@ -67,7 +67,7 @@ def test_convolution_and_stretch(spark):
 def test_equaliser_is_flat_for_equal_gains(spark):
     x = np.random.default_rng(2).normal(size=256)
     df = spark.createDataFrame([(0, x.tolist())], "id long, a array<double>")
-    assert np.allclose(values(df, spectrum.equalise(F.col("a"), [50, 500, 2000], [0, 0, 0], 8000))[0], x, atol=1e-9)
+    assert np.allclose(values(df, microphone.equalise(F.col("a"), [(50, 0), (500, 0), (2000, 0)], 8000))[0], x, atol=1e-9)
 
 
 def edits(r, h):
