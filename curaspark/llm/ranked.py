@@ -4,8 +4,8 @@
    the document itself and carries the statistics.
 2. Each term stores its greatest impacts, one for each of ``GROUPS`` groups of documents, which sums alone find. The kth
    of them bounds the term's kth impact from below (and is it, unless two of the k best share a group).
-3. An item's kth score is at least the greatest of its terms' kth impacts, and at least the kth of the sums that its
-   terms' stored documents reach. That is its threshold.
+3. An item's kth score is at least the greatest of its terms' kth impacts, and at least the kth of the scores that the
+   documents stored with its terms have. That is its threshold.
 4. Its terms stand in the order of their greatest impacts. As long as these sum to less than the threshold, a document
    that holds no other term of the item cannot be among its k best, so those terms generate no candidates.
 5. Documents with one of the other terms are candidates if what they have reached plus the bounds of the terms left out
@@ -41,10 +41,12 @@ def _hinted(df: DataFrame, small: bool) -> DataFrame:
 
 
 def _classes(items: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(cls, item_id) of every item with a term, and (cls, term): items of equal terms are searched once."""
+    """(item_id, cls) of every item with a term, and (cls, term): items of equal terms are searched once."""
     each = scratch.put(items.select("item_id", F.explode(terms_of(text_of())).alias("term")).distinct(), "item_terms")
-    both = F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("term")), F.bit_xor(F.xxhash64(F.lit(7), "term")))
-    classes = scratch.put(each.groupBy("item_id").agg(both.alias("cls")), "classes")
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "term"))
+    marked = scratch.put(each.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), mark(1).alias("x"), mark(2).alias("y")), "marked")
+    numbered = scratch.put(marked.select("n", "x", "y").distinct().withColumn("cls", F.monotonically_increasing_id()), "numbered")
+    classes = scratch.put(marked.join(numbered, ["n", "x", "y"]).select("item_id", "cls"), "classes")
     of = classes.select(F.col("item_id").alias("own"), "cls")
     return classes, scratch.put(each.join(of, F.col("item_id").eqNullSafe(F.col("own"))).select("cls", "term").distinct(), "class_terms")
 
@@ -93,22 +95,29 @@ def search(items: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     kth = F.coalesce(F.get("tops", F.lit(k - 1))["impact"], F.lit(0))
     query = scratch.put(query.select("cls", "term", "tops", kth.alias("kth"), F.col("tops")[0]["impact"].alias("bound")), "query")
 
+    n_query = query.count()
+
     # Thresholds, then which terms generate candidates.
-    sums = query.select("cls", F.explode("tops").alias("top")).groupBy("cls", "top.row").agg(F.sum("top.impact").alias("sum"))
+    seeds = scratch.put(query.select("cls", F.explode("tops.row").alias("row")).distinct(), "seeds")
+    found = join_counted(held.select("row", "term", "impact"), seeds, "row", "inner", seeds.count())
+    sums = join_counted(found, query.select("cls", "term"), ["cls", "term"], "inner", n_query).groupBy("cls", "row").agg(F.sum("impact").alias("sum"))
     seeded = _best(sums, "cls", k, F.desc("sum"), F.col("row")).where(F.col("rank") == k).select("cls", F.col("sum").alias("least"))
     least = query.groupBy("cls").agg(F.max("kth").alias("least")).unionByName(seeded).groupBy("cls").agg(F.max("least").alias("least"))
     below = Window.partitionBy("cls").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
     plan = query.select("cls", "term", "bound").join(least, "cls").withColumn("suffix", F.sum("bound").over(below)).withColumn("leads", F.col("suffix") >= F.col("least"))
     left_out = F.coalesce(F.sum(F.when(~F.col("leads"), F.col("bound"))).over(Window.partitionBy("cls")), F.lit(0))
     plan = scratch.put(plan.withColumn("rest", left_out), "plan")
-    n_plan = plan.count()
 
     # Candidates, and what they still lack.
-    leads = plan.where("leads").select("cls", "term", "least", "rest")
-    reached = join_counted(held, leads, "term", "inner", n_plan).groupBy("cls", "row", "doc_id", "least", "rest").agg(F.sum("impact").alias("score"))
-    reached = scratch.put(reached.where(F.col("score") + F.col("rest") >= F.col("least")).select("cls", "row", "doc_id", "score"), "reached")
-    lacking = join_counted(held.drop("doc_id"), reached.select("cls", "row", "doc_id"), "row", "inner", reached.count())
-    others = join_counted(lacking, plan.where("not leads").select("cls", "term"), ["cls", "term"], "inner", n_plan)
-    scores = reached.unionByName(others.select("cls", "row", "doc_id", F.col("impact").alias("score"))).groupBy("cls", "row", "doc_id").agg(F.sum("score").alias("score"))
-    ranked = _best(scores.where("score > 0"), "cls", k, F.desc("score"), F.col("doc_id").asc_nulls_first(), F.col("row"))
+    leads, bounds = plan.where("leads").select("cls", "term"), plan.select("cls", "least", "rest").distinct()
+    reached = join_counted(held.select("row", "term", "impact"), leads, "term", "inner", n_query).groupBy("cls", "row").agg(F.sum("impact").alias("score"))
+    reached = join_counted(reached, bounds, "cls", "inner", n_query).where(F.col("score") + F.col("rest") >= F.col("least"))
+    reached = scratch.put(reached.select("cls", "row", "score"), "reached")
+    lacking = join_counted(held.select("row", "term", "impact"), reached.select("cls", "row"), "row", "inner", reached.count())
+    others = join_counted(lacking, plan.where("not leads").select("cls", "term"), ["cls", "term"], "inner", n_query)
+    scores = reached.unionByName(others.select("cls", "row", F.col("impact").alias("score"))).groupBy("cls", "row").agg(F.sum("score").alias("score"))
+    scores = join_counted(scores.where("score > 0"), bounds, "cls", "inner", n_query).where(F.col("score") >= F.col("least")).select("cls", "row", "score")
+    scores = scratch.put(scores, "scores")
+    scores = join_counted(postings.where("term = ''").select("row", "doc_id"), scores, "row", "inner", scores.count())
+    ranked = _best(scores, "cls", k, F.desc("score"), F.col("doc_id").asc_nulls_first(), F.col("row"))
     return classes.join(ranked, "cls").select("item_id", "rank", "doc_id", "score")
