@@ -129,15 +129,26 @@ def coloured_noise(size: Column, key: Column, exponent: float, seed: int = 42) -
     return _each("array<double>", one)(size, key)
 
 
+def _prints(x: np.ndarray, window: int, hop: int, bins: int, digits: int) -> np.ndarray:
+    """The spectra of all full windows, each scaled to between 0 and 1 and rounded, so that hashes of them do not hang on the
+    last bits; a row a window."""
+    if len(x) < window:
+        return np.zeros((0, bins), "<i8")
+    m = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, window)[::hop], axis=1))[:, :bins]
+    low, high = m.min(axis=1, keepdims=True), m.max(axis=1, keepdims=True)
+    return np.round((m - low) / (high - low + 1e-10) * 10**digits).astype("<i8")
+
+
 def fingerprints(a: Column, window: int = 1024, hop: int = 512, bins: int = 128, digits: int = 6) -> Column:
-    """A hash of each window's spectrum, scaled to between 0 and 1 and rounded, so that it does not hang on the last bits."""
+    """A hash of each full window's spectrum."""
+    return _each("array<string>", lambda x: [hashlib.sha256(row.tobytes()).hexdigest() for row in _prints(_array(x), window, hop, bins, digits)])(a)
+
+
+def spectrum_hash(a: Column, window: int = 1024, hop: int = 512, bins: int = 128, first: int = 10, digits: int = 6) -> Column:
+    """One hash of the spectra of the first full windows; null without one."""
 
-    def one(x: object) -> list[str]:
-        x, out = _array(x), []
-        for i in range(0, len(x) - window + 1, hop):
-            m = np.abs(np.fft.rfft(x[i : i + window]))[:bins]
-            m = (m - m.min()) / (m.max() - m.min() + 1e-10)
-            out.append(hashlib.sha256(np.round(m * 10**digits).astype("<i8").tobytes()).hexdigest())
-        return out
+    def one(x: object) -> str | None:
+        rows = _prints(_array(x)[: window + hop * (first - 1)], window, hop, bins, digits)
+        return hashlib.sha256(rows.tobytes()).hexdigest() if len(rows) else None
 
-    return _each("array<string>", one)(a)
+    return _each("string", one)(a)

@@ -9,19 +9,32 @@ from curaspark.queries.dataset import table
 from curaspark.sources.registry import filter_voices
 
 
+def _dealt(rows, key: str, names: list[str], name: str):
+    """rows with one of the names each, by their key."""
+    return rows.withColumn(name, F.array(*map(F.lit, names))[(F.col(key) % len(names)).cast("int")])
+
+
+def _devices(spark, sf_dir):
+    """Suppliers as devices in the field: each has one of the known kinds."""
+    return _dealt(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", [d[0] for d in presets.DEVICES], "device")
+
+
 def device_presets_join(spark, sf_dir):
     held = presets.device_parameters(presets.devices(spark), presets.reverb_levels(spark))
+    held = presets.lookup_or_fail(_devices(spark, sf_dir), held, "device")
     return held.withColumn("priorities", F.array_join("priorities", ","))
 
 
 def device_priorities(spark, sf_dir):
-    held = presets.devices(spark).select("device", F.explode(presets.priorities()).alias("step"))
-    return held.groupBy("step").agg(F.count(F.lit(1)).alias("devices"))
+    held = _devices(spark, sf_dir).join(F.broadcast(presets.devices(spark)), "device")  # sixteen kinds
+    return held.select(F.explode(presets.priorities()).alias("step")).groupBy("step").agg(F.count(F.lit(1)).alias("devices"))
 
 
 def preset_star(spark, sf_dir):
-    held = presets.environment_star(spark)
-    return held.select("profile", "noise", "room", "mic", "rt60", "absorption", "distortion", "noise_floor_db", "mic_rate")
+    """Every customer's environment with its room and microphone."""
+    rows = _dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", [e[0] for e in presets.ENVIRONMENTS], "profile")
+    held = rows.join(F.broadcast(presets.environment_star(spark)), "profile")  # six environments
+    return held.select("c_custkey", "profile", "noise", "room", "mic", "rt60", "absorption", "distortion", "noise_floor_db", "mic_rate")
 
 
 def variation_grid(spark, sf_dir):
@@ -88,17 +101,21 @@ def _rows(rows: list[tuple], columns: list[str]) -> str:
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") t({', '.join(columns)}))"
 
 
-_DEVICES = _rows(presets.DEVICES, [c.split()[0] for c in presets.DEVICE_SCHEMA.split(", ")])
+def _dealt_sql(rows: list[tuple], columns: list[str], facts: str, key: str) -> str:
+    return f"(SELECT {key}, d.* FROM {facts} JOIN (SELECT *, row_number() OVER () - 1 AS _n FROM {_rows(rows, columns)}) d ON {key} % {len(rows)} = _n)"
+
+
+_DEVICES = _dealt_sql(presets.DEVICES, [c.split()[0] for c in presets.DEVICE_SCHEMA.split(", ")], "supplier", "s_suppkey")
 _PRIORITIES = """list_filter(['microphone_simulation', 'noise_mixing', CASE WHEN reverb IN ('medium', 'high') THEN 'room_simulation' END, CASE WHEN far_m > 3 THEN 'distance_simulation' END,
   CASE WHEN device IN ('mobile_ios', 'mobile_android') THEN 'telephony_simulation' END, CASE WHEN device IN ('esp32_pdm', 'low_power') THEN 'degradation' END], lambda x: x IS NOT NULL)"""
 _GRID = """g AS (SELECT n_nationkey, round(0.8 + 0.4 * i / 2, 6)::DOUBLE AS speed, round(-2 + 4.0 * j / 2, 6)::DOUBLE AS pitch, (i * 3 + j)::BIGINT AS ordinal, 9::BIGINT AS combinations FROM nation, range(3) i(i), range(3) j(j))"""
 SQL = {
-    "device_presets_join": f"""SELECT device, greatest(50, low_hz)::INT AS highpass_hz, least(rate // 2 - 100, high_hz)::INT AS lowpass_hz, noise_floor_db + 10 AS self_noise_db, rt60, room_size, wet,
+    "device_presets_join": f"""SELECT s_suppkey, device, greatest(50, low_hz)::INT AS highpass_hz, least(rate // 2 - 100, high_hz)::INT AS lowpass_hz, noise_floor_db + 10 AS self_noise_db, rt60, room_size, wet,
   CASE WHEN rate <= 8000 OR device = 'low_power' THEN 'voip_low' END AS phone, adc_bits < 16 AS add_quantisation, interference_types > 0 AS add_interference, array_to_string({_PRIORITIES}, ',') AS priorities,
   least(25, 5 + noise_types + CASE WHEN far_m - near_m > 3 THEN 5 ELSE 0 END + CASE WHEN snr_high - snr_low > 20 THEN 5 ELSE 0 END)::INT AS variations
 FROM {_DEVICES} d JOIN {_rows(presets.REVERB, ['reverb', 'rt60', 'room_size', 'wet'])} r USING (reverb)""",
     "device_priorities": f"SELECT step, count(*)::BIGINT AS devices FROM (SELECT unnest({_PRIORITIES}) AS step FROM {_DEVICES} d) GROUP BY step",
-    "preset_star": f"""SELECT profile, noise, room, mic, rt60, absorption, distortion, noise_floor_db, mic_rate FROM {_rows(presets.ENVIRONMENTS, ['profile', 'noise', 'snr_low', 'snr_high', 'epm', 'room', 'mic'])} e
+    "preset_star": f"""SELECT c_custkey, profile, noise, room, mic, rt60, absorption, distortion, noise_floor_db, mic_rate FROM {_dealt_sql(presets.ENVIRONMENTS, ['profile', 'noise', 'snr_low', 'snr_high', 'epm', 'room', 'mic'], 'customer', 'c_custkey')} e
 JOIN {_rows(presets.ROOMS, ['room', 'l', 'w', 'h', 'rt60', 'absorption', 'reflections'])} r USING (room) JOIN {_rows(presets.MICROPHONES, ['mic', 'distortion', 'noise_floor_db', 'mic_rate'])} m USING (mic)""",
     "variation_grid": f"WITH {_GRID} SELECT * FROM g",
     "variation_prefix": f"WITH {_GRID} SELECT * FROM g ORDER BY n_nationkey, ordinal LIMIT 40",

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from curaspark.functions import signal as S
 from curaspark.functions import damage, degrade, microphone, noise, resampling, spectrum, vocoder
-from curaspark.operators import duplicates, overlay, summary, validation
+from curaspark.operators import duplicates, errors, neighbours, overlay, summary, validation
 from curaspark.plans import assessment, augmentation
+from curaspark.sources import records, shared
 
 RATE, WINDOW = 64, 16
 #: The vectors have a norm of 1, so their peaks and noise floors differ from those of recordings.
@@ -82,6 +83,49 @@ def cosine_duplicates(spark, sf_dir):
     return pairs.select("a", "b", _r("similarity", 4))
 
 
+def near_signals(spark, sf_dir):
+    """Pairs of vectors with a cosine of 0.4 or more, by the hyperplane index."""
+    _, kinds = neighbours.classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return neighbours.hyperplane_pairs(kinds, 0.4, bits=6).select("a", "b", _r("similarity", 4))
+
+
+def clips_and_copies(spark, sf_dir):
+    """Every clip, and for every third a copy that is a bit louder, noisier or cut at its end."""
+    rows = load(spark, sf_dir)
+    copy = F.transform("samples", lambda x, i: x * 1.5 + F.when(F.col("vec_id") % 2 == 0, F.sin(i * 7 + F.col("vec_id")) * 0.01).otherwise(0.0))
+    copy = F.when(F.col("vec_id") % 9 == 0, F.concat(F.slice("samples", 1, 56), F.array_repeat(F.lit(0.0), 8))).otherwise(copy)
+    copies = rows.where("vec_id % 3 = 0").select((F.col("vec_id") + 100_000).alias("vec_id"), copy.alias("samples"))
+    return rows.select("vec_id", "samples").unionByName(copies)
+
+
+def near_duplicate_clips(spark, sf_dir):
+    """Near duplicates among all clips and copies, by three methods in turn."""
+    clips = clips_and_copies(spark, sf_dir)
+    _, pairs = neighbours.find_duplicates(clips, "vec_id", "samples", F.col("samples"), threshold=0.9, window=WINDOW, hop=WINDOW // 2, bins=9)
+    return pairs.select("a", "b", "method_used", _r("similarity", 4))
+
+
+def record_files(spark, sf_dir):
+    """Every vector as a record, in files by split, and read from there."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    split = F.when(F.col("vec_id") % 10 < 8, "train").when(F.col("vec_id") % 10 == 8, "val").otherwise("test")
+    clips = rows.select("vec_id", "label", F.col("embedding").alias("audio"), F.concat(F.lit("clip_"), "vec_id").alias("filename"), split.alias("split"))
+    folder = shared.new_folder(spark, "records")
+    records.write_records(clips.sortWithinPartitions("split", F.desc("label")), folder, "split")
+    held = records.read_records(spark, folder, "vec_id bigint, label bigint, audio array<float>, filename string, split string", "split")
+    return held.select("vec_id", "label", "filename", "split", F.size("audio").cast("long").alias("n"), _r(S.total(S.as_signal(F.col("audio"))), 5).alias("sum"))
+
+
+def error_counts(spark, sf_dir):
+    """Errors of all clips by kind and stage: some have no samples, some are silent under noise, some fail the checks."""
+    rows = load(spark, sf_dir)
+    checked = validation.validate(rows, CHECKS).select("vec_id", errors.error(F.col("error"), "QualityAssuranceError", "validate").alias("checked"))
+    broken = F.when(F.col("vec_id") % 10 == 3, F.lit(None)).when(F.col("vec_id") % 10 == 4, F.array_repeat(F.lit(0.0), 64)).otherwise(F.col("samples"))
+    made = augmentation.augment(rows.withColumn("samples", broken), [("noise", {"snr": (10.0, 20.0)}), ("compress", {})], to_rate=RATE, key="vec_id")
+    held = made.select("vec_id", errors.of_augmentation(F.col("augment_error")).alias("made")).join(checked, "vec_id")
+    return errors.counts(held.select(errors.first(F.col("made"), F.col("checked")).alias("error")))
+
+
 def report_table(spark, sf_dir):
     held = assessment.assess(load(spark, sf_dir), CHECKS, window=WINDOW)
     return assessment.report_rows(held, "vec_id", 50)
@@ -235,6 +279,12 @@ def augment_scenes(spark, sf_dir):
 
 
 SQL = {
+    "record_files": """SELECT vec_id, label::BIGINT AS label, 'clip_' || vec_id AS filename, CASE WHEN vec_id % 10 < 8 THEN 'train' WHEN vec_id % 10 = 8 THEN 'val' ELSE 'test' END AS split,
+  len(embedding)::BIGINT AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS sum FROM embeddings""",
+    "error_counts": f"""WITH {ARRAYS}, {FEATURES}, {CHECKED},
+e AS (SELECT CASE vec_id % 10 WHEN 3 THEN 'AudioError' WHEN 4 THEN 'NoiseError' ELSE 'QualityAssuranceError' END AS kind, CASE WHEN vec_id % 10 IN (3, 4) THEN 'augment' ELSE 'validate' END AS stage FROM c WHERE vec_id % 10 IN (3, 4) OR error IS NOT NULL),
+u AS (SELECT kind, stage, unnest(CASE kind WHEN 'NoiseError' THEN ['NoiseError', 'AugmentationError', 'Error'] ELSE [kind, 'Error'] END) AS class FROM e)
+SELECT class, stage, count(*) FILTER (class = kind) AS own, count(*) AS total FROM u GROUP BY class, stage""",
     "event_table_overlay": """WITH e AS (SELECT user_id AS vec_id, event_id % 80 - 4 AS began, event_id % 24 + 1 AS n, value FROM events),
 p AS (SELECT vec_id, began + j - 1 AS i, value / 1000 * j / n AS v FROM e, range(1, 25) r(j) WHERE j <= n AND began BETWEEN 0 AND 63 AND began + j - 1 < 64),
 l AS (SELECT vec_id, i, sum(v) AS v FROM p GROUP BY ALL),
@@ -300,6 +350,10 @@ QUERIES = {
     "signal_moments": signal_moments,
     "signal_embedding": signal_embedding,
     "cosine_duplicates": cosine_duplicates,
+    "record_files": record_files,
+    "error_counts": error_counts,
+    "near_signals": near_signals,
+    "near_duplicate_clips": near_duplicate_clips,
     "report_table": report_table,
     "bit_depth": _transform(lambda a: S.quantise(a, 8)),
     "mic_distortion": _transform(lambda a: S.distort(a, 0.15)),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from curaspark.operators import cache, tasks
 from curaspark.queries.dataset import table
+from curaspark.sources import shared
+from curaspark.streaming import state
 
 
 
@@ -52,6 +54,25 @@ def session_eta(spark, sf_dir):
     return held.select("user_id", "done", "remaining", F.round("elapsed", 3).alias("elapsed"), F.round("eta", 3).alias("eta"))
 
 
+def saved_task_states(spark, sf_dir):
+    """The newest state of fifty tasks a session, of which every seventh session was cancelled."""
+    rows = table(spark, sf_dir, "events").withColumn("result", F.when(F.col("event_type") == "purchase", F.col("value")))
+    log = state.task_states(rows.withColumn("task", F.col("event_id") % 50), "user_id", "task", "result", "ts", "event_type")
+    ends = rows.where("user_id % 7 = 0").select(F.col("user_id").cast("string").alias("session")).distinct()
+    ends = ends.select("session", F.lit(None).cast("string").alias("task"), F.lit("cancelled").alias("state"), F.lit("stop").alias("error"), F.lit("2024-01-10 00:00:00").cast("timestamp").alias("at"))
+    held = state.resolved_states(log.unionByName(ends))
+    return held.groupBy("session", "state").agg(F.count(F.lit(1)).alias("tasks"), F.max(F.unix_micros("at")).alias("newest"))
+
+
+def cache_upsert(spark, sf_dir):
+    """Two rounds of entries put into a stored index, and what it holds then."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("cache_key"), F.col("ts").alias("created"), "event_id", F.col("value").alias("file_size"), F.col("ts").alias("last_accessed"))
+    path = shared.new_folder(spark, "cache_index")
+    cache.upsert(rows.where("event_id % 2 = 0"), path)
+    cache.upsert(rows.where("event_id % 2 = 1"), path)
+    return cache.stored(spark, path).select("cache_key", "event_id", F.round("file_size", 6).alias("file_size"))
+
+
 def last_states(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", "user_id", "state").orderBy(F.desc("event_id")).limit(10)
 
@@ -119,6 +140,10 @@ EVENTS = "e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'completed' WHEN
 INDEX = "i AS (SELECT p_partkey AS cache_key, 'cache/' || p_partkey || '.wav' AS file_path, p_size AS file_size FROM part WHERE p_size <= 25), f AS (SELECT 'cache/' || p_partkey || '.wav' AS file_path FROM part WHERE p_retailprice > 940)"
 LOOKED = f"{INDEX}, l AS (SELECT l_linenumber, i.cache_key IS NOT NULL AND f.file_path IS NOT NULL AS hit FROM lineitem LEFT JOIN i ON l_partkey = cache_key LEFT JOIN f USING (file_path))"
 SQL = {
+    "saved_task_states": """WITH t AS (SELECT user_id, ts, CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'failed' END AS state, row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY ts DESC, CASE WHEN event_type = 'purchase' THEN 1 ELSE 2 END DESC) AS r FROM events)
+SELECT user_id::VARCHAR AS session, state, count(*) AS tasks, max(epoch_us(CASE WHEN user_id % 7 = 0 AND state = 'failed' THEN greatest(ts, TIMESTAMP '2024-01-10 00:00:00') ELSE ts END)) AS newest FROM t WHERE r = 1 GROUP BY ALL""",
+    "cache_upsert": """SELECT user_id::VARCHAR AS cache_key, event_id, round(value, 6) AS file_size
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2 DESC, ts DESC, event_id) AS r FROM events) WHERE r = 1""",
     "latest_checkpoint": f"WITH {EVENTS} SELECT user_id, event_id, state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM e) WHERE r = 1",
     "checkpoint_retention": "SELECT user_id, event_id, r AS age_rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r > 10",
     "checkpoint_cascade": "SELECT l_linenumber, count(*)::BIGINT AS lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r > 100) GROUP BY 1",
