@@ -126,7 +126,7 @@ BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, start, n_tokens, ids_crc32, read back from the files."""
     folder = f"{Scratch(spark, 'token_files').root}/ids"
-    tokenfiles.write_ids(tokenfiles.tokenize(documents(spark, sf_dir), BYTE_MODEL), folder)
+    tokenfiles.write_texts(documents(spark, sf_dir), folder, BYTE_MODEL)
     return tokenfiles.digests(tokenfiles.read_ids(spark, folder))
 
 

@@ -31,8 +31,7 @@ class Packed(NamedTuple):
     n_escapes: np.ndarray
 
 
-def _room(values: np.ndarray) -> np.ndarray:
-    """How many values as wide as this one a word holds."""
+def _wide_room(values: np.ndarray) -> np.ndarray:
     room = np.ones(values.shape, np.uint8)
     for count, width in zip(COUNTS[-2:0:-1], WIDTHS[-2:0:-1]):
         room[values < U(1) << U(width)] = count
@@ -40,17 +39,48 @@ def _room(values: np.ndarray) -> np.ndarray:
     return room
 
 
+_NARROW = _wide_room(np.arange(1 << 16, dtype=U))
+
+
+def _room(values: np.ndarray) -> np.ndarray:
+    """How many values as wide as this one a word holds: looked up for small values."""
+    if values.size and values.max() < len(_NARROW):
+        return _NARROW[values.astype(np.uint16)]
+    return _wide_room(values)
+
+
 def _selectors(room: np.ndarray, width: int) -> np.ndarray:
-    """The selector of the fullest word that may begin at each place; room has so many columns more as a word may hold."""
+    """The selector of the fullest word that may begin at each place; room has so many columns more as a word may hold.
+
+    Values that fill a word together also fill every less full one, so the fitting ones are counted."""
     best = np.full((len(room), width), len(COUNTS) - 1, np.uint8)
     least, size = room, 1
     for s in range(len(COUNTS) - 2, -1, -1):
         step = int(COUNTS[s]) - size
         least, size = np.minimum(least[:, : least.shape[1] - step], least[:, step:]), int(COUNTS[s])
-        best[least[:, :width] >= size] = s
+        best -= (least[:, :width] >= size).view(np.uint8)
     return best
 
 
+def _walk(best: np.ndarray, n_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, place, selector) of every word, block by block: all blocks take a step at a time, ended ones stand still."""
+    blocks, width = best.shape
+    flat, base = best.ravel(), np.arange(blocks, dtype=np.int32) * width
+    counts, ends = COUNTS.astype(np.int32), n_values.astype(np.int32)
+    at, places, selectors = np.zeros(blocks, np.int32), [], []
+    while (at < ends).any():
+        for _ in range(32):
+            s = flat[base + np.minimum(at, width - 1)]
+            places.append(at)
+            selectors.append(s)
+            at = np.minimum(at + counts[s], ends)
+    if not places:
+        return (np.zeros(0, np.int64),) * 3
+    place, selector = np.stack(places, axis=1), np.stack(selectors, axis=1)
+    live = place < ends[:, None]
+    return np.repeat(np.arange(blocks), live.sum(axis=1)), place[live].astype(np.int64), selector[live].astype(np.int64)
+
+
 def pack(values: np.ndarray) -> Packed:
     values = np.ascontiguousarray(values, U)
     blocks = -(-len(values) // BLOCK)
@@ -60,26 +90,20 @@ def pack(values: np.ndarray) -> Packed:
     grid = np.zeros((blocks, BLOCK + _LONGEST), U)
     for i in range(blocks):
         grid[i, : n_values[i]] = values[i * BLOCK : i * BLOCK + n_values[i]]
-    best = _selectors(_room(grid), BLOCK)
-    live, at, steps = np.arange(blocks), np.zeros(blocks, np.int64), []
-    while len(live):
-        s = best[live, at]
-        steps.append((live, at, s))
-        after = at + COUNTS[s]
-        more = after < n_values[live]
-        live, at = live[more], after[more]
-    block, place, selector = (np.concatenate(x) if steps else np.zeros(0, np.int64) for x in (zip(*steps) if steps else ([],) * 3))
-    order = np.argsort(block, kind="stable")
-    block, place, selector = block[order], place[order], selector[order]
+    block, place, selector = _walk(_selectors(_room(grid), BLOCK), n_values)
     words = selector.astype(U) << U(60)
-    slots = np.minimum(grid, ESCAPE)
+    wide = grid >= ESCAPE
+    escapes, n_escapes = grid[wide], wide.sum(axis=1)
+    if len(escapes):
+        grid[wide] = ESCAPE
+    slots, first = grid.ravel(), block * grid.shape[1] + place
     for s in range(2, len(COUNTS)):
         own = np.flatnonzero(selector == s)
-        if len(own):
-            k = np.arange(COUNTS[s])
-            words[own] |= np.bitwise_or.reduce(slots[block[own][:, None], place[own][:, None] + k] << (k * WIDTHS[s]).astype(U), axis=1)
-    wide = grid >= ESCAPE
-    return Packed(words, grid[wide], n_values, np.bincount(block, minlength=blocks), wide.sum(axis=1))
+        held, at = words[own], first[own]
+        for k in range(COUNTS[s] if len(own) else 0):
+            held |= slots[at + k] << U(k * WIDTHS[s])
+        words[own] = held
+    return Packed(words, escapes, n_values, np.bincount(block, minlength=blocks), n_escapes)
 
 
 def unpack(packed: Packed) -> np.ndarray:
@@ -89,15 +113,15 @@ def unpack(packed: Packed) -> np.ndarray:
     first = np.cumsum(count) - count  # of each word's values, then within its block
     head = np.cumsum(n_words) - n_words
     place = first - first[np.minimum(head, max(len(first) - 1, 0))][block] if len(first) else first
-    out = np.zeros(int(n_values.sum()), U)
+    out = np.zeros(int(n_values.sum()) + _LONGEST, U)
     base = np.cumsum(n_values) - n_values
+    at, room = base[block] + place, n_values[block] - place
+    last = len(out) - 1  # where what a block's last word holds beyond its values goes
     for s in range(2, len(COUNTS)):
         own = np.flatnonzero(selector == s)
-        if len(own):
-            k = np.arange(COUNTS[s])
-            value = (words[own][:, None] >> (k * WIDTHS[s]).astype(U)) & ((U(1) << U(WIDTHS[s])) - U(1))
-            at, of = place[own][:, None] + k, block[own]
-            inside = at < n_values[of][:, None]
-            out[(base[of][:, None] + at)[inside]] = value[inside]
+        held, to, left = words[own], at[own], room[own]
+        for k in range(COUNTS[s] if len(own) else 0):
+            out[np.where(k < left, to + k, last)] = (held >> U(k * WIDTHS[s])) & ((U(1) << U(WIDTHS[s])) - U(1))
+    out = out[: len(out) - _LONGEST]
     out[out == ESCAPE] = packed.escapes
     return out

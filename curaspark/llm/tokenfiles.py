@@ -13,15 +13,17 @@ documents, and a task holds one file's blocks in the making, never its whole par
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as files
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -141,16 +143,17 @@ class Written(WriterCommitMessage):
 
 
 class IdWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.overwrite = folder, overwrite
+    def __init__(self, folder: str, tokenizer: str | None, end: int | None):
+        self.folder, self.tokenizer, self.end = folder, tokenizer, end
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         place, root = opened(self.folder)
         place.create_dir(root, recursive=True)
         partition, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         names, done, now, docs = [], [], None, 0
+        held = _encode(iterator, self.tokenizer, self.end) if self.tokenizer else iterator
         try:
-            for batch in iterator:
+            for batch in held:
                 sizes = batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 ids = batch.column("ids").flatten().to_numpy(zero_copy_only=False)
                 ends, i = np.cumsum(sizes), 0
@@ -216,7 +219,9 @@ class IdReader(DataSourceReader):
 
 
 class TokenIds(DataSource):
-    """``spark.read.format("token_ids")`` and ``df.write.format("token_ids").mode("overwrite")``; the path is a folder."""
+    """``spark.read.format("token_ids")`` and ``df.write.format("token_ids").mode("overwrite")``; the path is a folder.
+
+    Rows to write are doc_id and ids, or doc_id and text with the option ``tokenizer`` (a file) and perhaps ``end`` (an id)."""
 
     @classmethod
     def name(cls) -> str:
@@ -231,39 +236,121 @@ class TokenIds(DataSource):
     def writer(self, schema, overwrite: bool) -> IdWriter:
         if not overwrite:
             raise ValueError("a folder of token ids is written as a whole: use mode('overwrite')")
-        return IdWriter(self.options["path"], overwrite)
+        end = self.options.get("end")
+        return IdWriter(self.options["path"], self.options.get("tokenizer"), None if end is None else int(end))
 
 
-#: Pieces whose ids a worker remembers at most.
-HELD = 400_000
+#: Spark's setting of the bytes that are handed to Python at a time.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Pieces whose ids a worker remembers at most, in each of two generations; bytes of a text that is joined for encoding.
+HELD, JOINED = 150_000, 100_000
 #: What may be a blank to the tokenizer, and more, so that a single blank between two other characters is sure to begin a
 #: piece of text of its own, whatever stands before it.
 _DOUBT = r"\s\x00-\x20\x7f-\xa0 ᠎ -⁯　﻿"
-_DOUBTFUL = re.compile(rf"(?:^|[{_DOUBT}]) | (?:[{_DOUBT}]|$)")
-_SURE = re.compile(rf"(?<=[^{_DOUBT}]) (?=[^{_DOUBT}])")
+_DOUBTS = frozenset(c for c in map(chr, range(0x10000)) if re.match(f"[{_DOUBT}]", c))
+_SURE = re.compile(f"(?<=[^{_DOUBT}]) (?=[^{_DOUBT}])")
 
 
 class Encoder:
-    """The ids of texts as little-endian 32-bit integers. Pieces between single blanks are encoded once and remembered."""
+    """The ids of texts. Pieces between single blanks are split off and told apart by Arrow, encoded once and remembered;
+    those that are new are joined for the library, as each begins with the only blank it holds."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
-        cut = [_SURE.split(t) if _DOUBTFUL.search(t) else t.split(" ") for t in (t or "" for t in texts)]  # all but the first had a blank before
-        later = {p for pieces in cut for p in pieces[1:]}
-        if len(self.known) + len(later) > HELD:
-            self.known = {}
-        new = list(later - self.known.keys())
-        self.known.update(zip(new, self._bytes([" " + p for p in new])))
-        firsts = self._bytes([pieces[0] for pieces in cut])
-        known, tail = self.known.__getitem__, b"" if end is None else np.array([end], "<u4").tobytes()
-        return [b"".join([a, *map(known, pieces[1:]), tail]) for a, pieces in zip(firsts, cut)]
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True  # a blank
+
+    def each(self, texts: list[str], at_once: int = 256) -> list[bytes]:
+        """Of every text by itself; the library's own results, which are large, are held for some texts at a time."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), at_once):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False)]
+        return out
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Of pieces without a blank, each after one; joined to long texts and cut again where a token begins with a blank."""
+        sizes = np.cumsum([len(p) + 1 for p in pieces])
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // JOINED)) + 1).tolist(), len(pieces)]
+        out: list[bytes] = []
+        texts = ["".join([" " + p for p in pieces[a:b]]) for a, b in zip(cuts, cuts[1:])]
+        for a, b, held in zip(cuts, cuts[1:], self.each(texts, 1)):
+            starts = np.flatnonzero(self.begins[np.frombuffer(held, "<u4")])
+            if len(starts) == b - a:
+                ends = [*(4 * starts[1:]).tolist(), len(held)]
+                out += [held[4 * i : j] for i, j in zip(starts.tolist(), ends)]
+            else:
+                out += self.each([" " + p for p in pieces[a:b]])
+        return out
+
+    def _remembered(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """What each piece is encoded to; b"" for pieces that encode leaves out, which are none that anything is."""
+        if len(self.known) > HELD:
+            self.known, self.older = {}, self.known
+        held = list(map(self.known.get, pieces))
+        new = [i for i, v in enumerate(held) if v is None]
+        for i in new:
+            held[i] = self.older.get(pieces[i])
+        self.known.update((pieces[i], held[i]) for i in new if held[i] is not None)
+        new = [i for i in new if held[i] is None]
+        for i, v in zip(new, encode([pieces[i] for i in new]) if new else []):
+            held[i] = self.known[pieces[i]] = v
+        return held
+
+    def _sound(self, pieces: list[str]) -> list[bytes]:
+        """As _joined, with b"" for pieces that are empty or have an end that may be a blank."""
+        sound = [bool(p) and p[0] not in _DOUBTS and p[-1] not in _DOUBTS for p in pieces]
+        done = iter(self._joined([p for p, ok in zip(pieces, sound) if ok]))
+        return [next(done) if ok else b"" for ok in sound]
+
+    def _rough(self, text: str) -> bytes:
+        """Of a text with other blanks than single ones between other characters."""
+        first, *rest = _SURE.split(text)
+        return b"".join([*self.each([first]), *self._remembered([" " + p for p in rest], self.each)])
+
+    def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text by text, and how many each text has; null texts are empty; ``end`` follows each."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        split = pc.split_pattern(texts, " ")
+        counts = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        held = split.flatten().dictionary_encode()
+        codes, pieces = held.indices.to_numpy(zero_copy_only=False), held.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first, of = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        inner = np.ones(len(codes), bool)
+        inner[first] = False
+        wanted = np.zeros(len(pieces), bool)
+        wanted[codes[inner]] = True
+        wanted = np.flatnonzero(wanted)
+        pool = self._remembered([pieces[c] for c in wanted], self._sound)
+        # Texts that hold a piece which is empty or has a doubtful end are rough; the first one's front is no matter.
+        bad = np.zeros(len(pieces), bool)
+        bad[wanted[[not v for v in pool]]] = True
+        whole = [pieces[c] for c in codes[first]]
+        rough = np.bincount(of[bad[codes] & inner], minlength=len(counts)) > 0
+        rough |= np.array([n > 1 and (not w or w[-1] in _DOUBTS) for n, w in zip(counts.tolist(), whole)], bool)
+        inner &= ~rough[of]
+        pool += self.each(["" if r else w for r, w in zip(rough, whole)])
+        for i in np.flatnonzero(rough):
+            pool[len(wanted) + i] = self._rough(texts[int(i)].as_py())
+        pool.append(b"" if end is None else np.array([end], "<u4").tobytes())
+        # Which parts of the pool follow each other: a text's first piece, its others, its end.
+        place = np.full(len(pieces), -1)
+        place[wanted] = np.arange(len(wanted))
+        parts, at = np.full(len(codes) + len(counts), len(pool) - 1), np.arange(len(codes)) + of
+        parts[at] = np.where(inner, place[codes], len(pool) - 1)
+        parts[at[first]] = len(wanted) + np.arange(len(counts))
+        ends = at[first] + counts
+        used = np.zeros(len(parts), bool)
+        used[at[inner]] = used[at[first]] = used[ends] = True
+        sizes = np.array([len(b) // 4 for b in pool])
+        starts = np.cumsum(sizes) - sizes
+        size = np.where(used, sizes[parts], 0)
+        done = np.cumsum(size)
+        data = np.frombuffer(b"".join(pool), "<u4")
+        ids = data[np.repeat(starts[parts] - (done - size), size) + np.arange(done[-1] if len(done) else 0)]
+        return ids, np.diff(done[ends], prepend=0)
 
 
 @lru_cache(maxsize=1)
@@ -272,25 +359,26 @@ def _encoder(path: str) -> Encoder:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int | None) -> Iterator[pa.RecordBatch]:
-    for piece in _pieces(batches, 8_000_000):
-        held = _encoder(path).encode(piece.column(1).to_pylist(), end)
-        ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in held], dtype=np.int64)])
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
-
+    for piece in _pieces(batches, 6_000_000):
+        ids, sizes = _encoder(path).encode(piece.column(1), end)
+        pa.default_memory_pool().release_unused()
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int64()))], ["doc_id", "ids"])
 
-def tokenize(docs: DataFrame, path: str, end: int | None = 0) -> DataFrame:
-    """doc_id and ids of each document in ascending doc_id order, under a byte-level vocabulary of the tokenizers library.
 
-    Documents are dealt out by ranges of doc_id and then encoded, so texts are shuffled once and ids never.
-    Null and empty texts have the end id alone. Null ids come first; rows that repeat an id stay apart, ordered by a hash
-    of their text; rows that repeat both are alike. Other columns are left out. An empty table gives none.
-    """
+def ordered(docs: DataFrame) -> DataFrame:
+    """doc_id and text in ascending doc_id order, by ranges: null ids first, rows that share an id by a hash of their text."""
     rows = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("k"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("k")]  # the row number only lets ranges divide copies of a row
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Hash and row number only let ranges divide rows that share an id.
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h", "k").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "k")
-    return dealt.select("doc_id", "text").mapInArrow(lambda batches: _encode(batches, path, end), "doc_id bigint, ids array<bigint>")
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
+def tokenize(docs: DataFrame, path: str, end: int | None = 0) -> DataFrame:
+    """doc_id and ids of each document under a byte-level vocabulary of the tokenizers library, in the order of docs.
+
+    Null and empty texts have the end id alone, or none; other columns are left out; an empty table gives none."""
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encode(batches, path, end), "doc_id bigint, ids array<bigint>")
 
 
 def _folder(spark: SparkSession, path: str) -> str:
@@ -306,6 +394,24 @@ def write_ids(rows: DataFrame, folder: str) -> None:
     rows.select("doc_id", "ids").write.format("token_ids").mode("overwrite").save(_folder(spark, folder))
 
 
+def write_texts(docs: DataFrame, folder: str, path: str, end: int = 0) -> None:
+    """The documents' ids, each followed by the end id, in ascending doc_id order, into a folder of files.
+
+    Texts are dealt out by ranges of doc_id and encoded by the tasks that write them, so texts are shuffled once and ids
+    never. Null and empty texts have the end id alone. Null ids come first; rows that repeat an id stay apart, ordered by
+    a hash of their text; rows that repeat both are alike. Other columns are left out. An empty table gives no file.
+    """
+    spark = docs.sparkSession
+    spark.dataSource.register(TokenIds)
+    writer = ordered(docs).write.format("token_ids").mode("overwrite").option("tokenizer", path).option("end", str(end))
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, "4m")  # a worker holds a batch of texts and all that is made of it
+    try:
+        writer.save(_folder(spark, folder))
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids, from the files."""
     spark.dataSource.register(TokenIds)

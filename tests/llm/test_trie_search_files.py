@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -171,8 +172,12 @@ def test_encoder_equals_the_library_on_whole_texts():
     rng = random.Random(2)
     marks = [" ", "  ", "\n", " \n ", "\t", " ", "　", " ", "\x1f", "\x85", "​", "'s", "'", "a", "Bc", "é", "日", "1", "12", ".", "!?", "<|endoftext|>", "👍🏽", "́", "\0", "ſ"]
     texts = ["".join(rng.choices(marks, k=rng.randint(0, 40))) for _ in range(3000)] + [None, "", " ", "a" * 5000, "word " * 3000]
-    got = tokenfiles.Encoder(queries.BYTE_MODEL).encode(texts, 0)
-    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [ids + [0] for ids in plain_ids(texts)]
+    encoder, want = tokenfiles.Encoder(queries.BYTE_MODEL), plain_ids(texts)
+    for some in (slice(None), slice(5), slice(0), slice(2990, None)):  # the second time most pieces are known
+        ids, sizes = encoder.encode(pa.array(texts[some], pa.string()), 0)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))][:-1] == [ids + [0] for ids in want[some]]
+    ids, sizes = encoder.encode(pa.array(texts, pa.string()), None)
+    assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
 
 
 def brute_files(rows, order) -> list:
@@ -188,21 +193,23 @@ def test_token_files(spark, docs, odd, odd_rows, none, tmp_path, monkeypatch):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     monkeypatch.setattr(tokenfiles, "AT_ONCE", simple8b.BLOCK)  # the driver's part; workers keep theirs
     folder = f"file://{tmp_path}/docs"
-    tokenfiles.write_ids(tokenfiles.tokenize(docs.repartition(3), queries.BYTE_MODEL), folder)
+    tokenfiles.write_texts(docs.repartition(3), folder, queries.BYTE_MODEL)
     held = tokenfiles.read_ids(spark, folder)
     want = brute_files(rows, None)
     assert sorted(map(tuple, tokenfiles.digests(held).collect())) == want
     all_ids = [i for ids in plain_ids(t for _, t in rows) for i in [*ids, 0]]
     assert [r.ids for r in held.orderBy("doc_id").collect()][3] == all_ids[want[3][1] : want[3][1] + want[3][2]]
+    again = tokenfiles.tokenize(tokenfiles.ordered(docs), queries.BYTE_MODEL, None)
+    assert [(r.doc_id, [*r.ids, 0]) for r in again.orderBy("doc_id").collect()] == [(r.doc_id, r.ids) for r in held.orderBy("doc_id").collect()]
     for a, b in ((0, 1), (8190, 8200), (20_000, 60_000), (len(all_ids) - 5, len(all_ids)), (7, 7)):
         assert tokenfiles.ids_between(folder, a, b).tolist() == all_ids[a:b]
-    tokenfiles.write_ids(tokenfiles.tokenize(odd, queries.BYTE_MODEL), folder)  # another table in its place
+    tokenfiles.write_texts(odd, folder, queries.BYTE_MODEL)  # another table in its place
     got = tokenfiles.digests(tokenfiles.read_ids(spark, folder)).collect()
     assert Counter((r[0], r[2], r[3]) for r in got) == Counter((r[0], r[2], r[3]) for r in brute_files(odd_rows, None))
     ordered = sorted(got, key=lambda r: r.start)
     assert [r.doc_id for r in ordered] == sorted((r.doc_id for r in got), key=lambda i: (i is not None, i))
     assert [r.start for r in ordered] == [sum(r.n_tokens for r in ordered[:i]) for i in range(len(ordered))]
-    tokenfiles.write_ids(tokenfiles.tokenize(none, queries.BYTE_MODEL), folder)
+    tokenfiles.write_ids(tokenfiles.tokenize(tokenfiles.ordered(none), queries.BYTE_MODEL), folder)
     assert tokenfiles.read_ids(spark, folder).count() == 0 and not list(tmp_path.glob("docs/*.s8b"))
 
 
