@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curaspark.operators.splits import uniform
+
 # Devices (rate, bits, channels, band, noise floor, sensitivity, converter bits) and their surroundings
 # (distances, SNR range, reverb level, numbers of noise and interference types).
 DEVICES = [
@@ -66,6 +68,62 @@ PHONES = [
 ]
 
 
+# The devices of each category; the share of the strength by which each parameter varies, and how far.
+CATEGORIES = {
+    "microcontroller": ["esp32_pdm", "esp32_i2s", "esp32_s3"],
+    "sbc": ["rpi_usb", "rpi_i2s", "rpi_hat"],
+    "smart_speaker": ["smart_speaker_budget", "smart_speaker_mid", "smart_speaker_premium"],
+    "mobile": ["mobile_ios", "mobile_android"],
+    "embedded": ["jetson_nano", "coral_dev"],
+    "generic": ["low_power", "far_field", "near_field"],
+}
+VARIATIONS = {"pitch_steps": (0.7, -1.0, 1.0), "rt60": (0.5, 0.8, 1.2), "distortion": (0.6, 0.7, 1.3)}
+
+
+def category_of(device: Column) -> Column:
+    """The category that lists a device; null for others."""
+    held = None
+    for name, members in CATEGORIES.items():
+        held = F.when(device.isin(members), name) if held is None else held.when(device.isin(members), name)
+    return held
+
+
+def in_category(device_rows: DataFrame, category: str) -> DataFrame:
+    """The rows whose device is of a category; none for an unknown category."""
+    return device_rows.where(category_of(F.col("device")) == category)
+
+
+def varied(profiles: DataFrame, key: Column | str, strength: float = 0.3, seed: int = 42) -> DataFrame:
+    """Profiles with some parameters moved at random: pitch_steps by up to the strength either way, rt60 and distortion by a
+    factor, never below 0.1 and 0.01. Each moves with a chance of its share of the strength, by seed and key alone; a null
+    pitch counts as none, other nulls stay. Strengths from 0, which moves nothing, to 1."""
+    if not 0 <= strength <= 1:
+        raise ValueError(f"strength {strength} is not between 0 and 1")
+    k = F.col(key) if isinstance(key, str) else key
+    moves = lambda what: uniform(k, f"{what} moves", seed) < strength * VARIATIONS[what][0]
+    drawn = lambda what: uniform(k, what, seed, *VARIATIONS[what][1:])
+    scaled = lambda what, least: F.when(moves(what) & F.col(what).isNotNull(), F.greatest(F.lit(least), F.col(what) * drawn(what))).otherwise(F.col(what))
+    return profiles.withColumns({
+        "pitch_steps": F.when(moves("pitch_steps"), drawn("pitch_steps") * strength).otherwise(F.coalesce("pitch_steps", F.lit(0.0))),
+        "rt60": scaled("rt60", 0.1),
+        "distortion": scaled("distortion", 0.01),
+    })
+
+
+def with_profiles(known: DataFrame, own: DataFrame, rooms_: DataFrame, mics: DataFrame) -> DataFrame:
+    """The environments with more rows of the same columns; ValueError where names repeat, ratios or densities make no sense,
+    or a room or microphone is unknown. Names are put as ``custom_<name>`` in lower case with low lines for blanks."""
+    named = own.withColumn("profile", F.concat(F.lit("custom_"), F.lower(F.translate("profile", " ", "_"))))
+    held = named.join(rooms_.select("room", F.lit(True).alias("_room")), "room", "left").join(mics.select("mic", F.lit(True).alias("_mic")), "mic", "left")
+    rules = {"snr": (F.col("snr_low") <= F.col("snr_high")) & F.col("snr_low").between(-10, 50), "events": F.col("events_per_minute") >= 0, "noise": F.col("noise").isin("white", "pink", "brown", "blue"), "room": F.col("_room"), "mic": F.col("_mic")}
+    broken = rule_violations(held, "profile", rules).limit(5).collect()
+    twice = known.select("profile").unionByName(named.select("profile")).groupBy("profile").count().where("count > 1").limit(5).collect()
+    if broken or twice:
+        told = [f"{r.profile}: {', '.join(r.violations)}" for r in broken] + [f"{r.profile}: name is taken" for r in twice]
+        raise ValueError("; ".join(sorted(told)))
+    return known.unionByName(named.select(known.columns))
+
+
 def devices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEVICES, DEVICE_SCHEMA)
 

@@ -139,3 +139,14 @@ def component_means(scored: DataFrame, parts: tuple[str, ...] = ("clarity", "snr
     """(component, mean) of the scores of valid rows."""
     means = scored.where("is_valid").agg(*[F.avg(f"{p}_score").alias(p) for p in parts])
     return means.unpivot([], list(parts), "component", "mean")
+
+
+def accepted(wer: Column, confidence: Column, most: float = 0.3, least: float = 0.7) -> Column:
+    """A transcript is right: few errors and much confidence; unknown figures are not."""
+    return F.coalesce((wer <= most) & (confidence >= least), F.lit(False))
+
+
+def acceptance_error(wer: Column, confidence: Column, most: float = 0.3, least: float = 0.7) -> Column:
+    """Why it is not; of two reasons the confidence. Null for accepted ones and where the figures are unknown."""
+    low = F.when(confidence < least, F.format_string(f"low confidence: %.3f < {least:g}", confidence))
+    return F.coalesce(low, F.when(wer > most, F.format_string(f"high WER: %.3f > {most:g}", wer)))

@@ -33,6 +33,7 @@ STEPS: dict[str, Callable[..., Column]] = {
 }
 #: Rate that clips are brought to before the first step.
 RATE = 24_000
+TRACE = "array<struct<step:string,samples:array<double>>>"
 
 
 Part = Callable[[Column], Column]
@@ -128,19 +129,24 @@ def _checked(profiles: list[list[tuple[str, dict]]], key: str | None) -> None:
         raise ValueError(f"these steps draw by a key column: {', '.join(keyed)}")
 
 
-def augment(df: DataFrame, steps: list[tuple[str, dict]], *, signal="samples", rate="sample_rate", to_rate: int = RATE, key: str | None = None, seed: int = 42) -> DataFrame:
+def augment(df: DataFrame, steps: list[tuple[str, dict]], *, signal="samples", rate="sample_rate", to_rate: int = RATE, key: str | None = None, seed: int = 42, trace: bool = False) -> DataFrame:
     """Adds augmented and augment_error. Clips are resampled to ``to_rate``, then the steps apply in their order.
 
     Defined results: null or empty signals, samples that are null, infinite or no numbers, and rates that are null or not
     positive give a null result and an error; so does a step that leaves nothing or samples that are not finite (a silent
     clip under noise), which the error names. Other rows are not touched by them; no steps give the resampled clip.
     Unknown steps and presets are errors of the profile and raise ValueError before anything runs. What steps draw
-    depends on the seed and the ``key`` column, which they need; a null key gives an error.
+    depends on the seed and the ``key`` column, which they need; a null key gives an error. With ``trace`` a column
+    augment_steps has what each step made, array<struct<step, samples>>, up to the one that failed.
     """
     _checked([steps], key)
     held = _prepared(df, signal, rate, to_rate)
+    held = held.withColumn("augment_steps", F.array().cast(TRACE)) if trace else held
     for name, part in _parts(steps, None if key is None else F.col(key), to_rate, seed):  # a projection each, so that none is computed twice
         held = _applied(held, F.when(F.col("augmented").isNotNull(), part(F.col("augmented"))), F.lit(f"nothing usable after {name}"))
+        if trace:
+            made = F.when(F.col("augmented").isNotNull(), F.array(F.struct(F.lit(name).alias("step"), F.col("augmented").alias("samples")))).otherwise(F.array().cast(TRACE))
+            held = held.withColumn("augment_steps", F.concat("augment_steps", made))
     return held
 
 

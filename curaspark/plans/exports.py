@@ -41,6 +41,19 @@ def metadata(samples: DataFrame) -> DataFrame:
     return split_counts(samples, "split", "label")
 
 
+def summary_row(samples: DataFrame, name: str, word: str, durations_ms: str | None = None) -> DataFrame:
+    """One row about the dataset, as ``sources.files.dataset_metadata`` reads it: counts by label and split, and where a column
+    of durations is given their mean and spread (of the population)."""
+    n = lambda c: F.count_if(c)
+    figures = [
+        F.count(F.lit(1)).alias("total_samples"), n(F.col("label") == 1).alias("positive_samples"), n(F.col("label") == 0).alias("negative_samples"),
+        *[n(F.col("split") == split).alias(f"{split}_samples") for split in ("train", "val", "test")],
+    ]
+    if durations_ms:
+        figures += [F.coalesce(F.avg(durations_ms), F.lit(0.0)).alias("average_duration_ms"), F.coalesce(F.stddev_pop(durations_ms), F.lit(0.0)).alias("duration_std_ms")]
+    return samples.agg(*figures).select(F.lit(name).alias("name"), F.lit(word).alias("wake_word"), "*")
+
+
 def _write(df: DataFrame, folder: str, kind: str, *by: str) -> None:
     writer = df.write.mode("overwrite")
     writer = writer.partitionBy(*by) if by else writer

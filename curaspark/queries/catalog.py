@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from curaspark.operators import presets, splits
 from curaspark.queries.dataset import table
+from curaspark.sources import registry
 from curaspark.sources.registry import filter_voices
 
 
@@ -68,7 +69,27 @@ def language_filter(spark, sf_dir):
 def voice_preference(spark, sf_dir):
     """Of each language the voice that is preferred: the largest document, then the smallest id."""
     docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"), F.max("n_chars").alias("n_chars"))
+    return registry.preferred(docs, "lang", F.lit(True), [-F.col("n_chars"), F.col("doc_id")], ["doc_id", "n_chars"])
+
+
+def preferred_voices(spark, sf_dir):
+    """Of each language the first document from the web, or where there is none the first of all."""
+    docs = table(spark, sf_dir, "documents")
+    return registry.preferred(docs, "lang", F.col("source").startswith("web"), [F.col("doc_id")], ["doc_id", "source"])
+
+
+def device_categories(spark, sf_dir):
+    """Suppliers as devices: how many of each category, and of those in one of them the rates they sample at."""
+    held = _devices(spark, sf_dir).join(F.broadcast(presets.devices(spark)), "device")  # sixteen kinds
+    each = held.withColumn("category", presets.category_of(F.col("device"))).groupBy("category").agg(F.count(F.lit(1)).alias("devices"))
+    speakers = presets.in_category(held, "smart_speaker").groupBy(F.lit("smart_speaker").alias("category")).agg(F.sum("channels").cast("long").alias("channels"))
+    return each.join(speakers, "category", "left").select("category", "devices", F.coalesce("channels", F.lit(0)).alias("channels"))
+
+
+def profile_variations(spark, sf_dir):
+    """Every customer's environment, varied."""
+    held = preset_star(spark, sf_dir).withColumn("pitch_steps", F.lit(0.0))
+    return presets.varied(held, "c_custkey", 0.8).select("c_custkey", "profile", *[F.round(c, 6).alias(c) for c in presets.VARIATIONS])
 
 
 def catalog_top50(spark, sf_dir):
@@ -123,10 +144,12 @@ JOIN {_rows(presets.ROOMS, ['room', 'l', 'w', 'h', 'rt60', 'absorption', 'reflec
     "equal_allocation": "SELECT n_nationkey, round(1.0::DOUBLE / count(*) OVER (), 6) AS weight, floor(1000::DOUBLE / count(*) OVER ())::BIGINT AS allocated FROM nation",
     "language_filter": "SELECT doc_id::VARCHAR AS id, source AS name, lang AS language FROM documents WHERE contains(lower(lang), 'en') OR contains(lower(lang), 'r')",
     "voice_preference": "SELECT lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1",
+    "preferred_voices": "SELECT lang, doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN starts_with(source, 'web') THEN 0 ELSE 1 END, doc_id) AS r FROM documents) WHERE r = 1",
+    "device_categories": f"""SELECT category, count(*) AS devices, coalesce(sum(channels) FILTER (category = 'smart_speaker'), 0)::BIGINT AS channels FROM (SELECT d.*, CASE {" ".join(f"WHEN device IN ({', '.join(map(repr, m))}) THEN '{c}'" for c, m in presets.CATEGORIES.items())} END AS category FROM {_DEVICES} d) GROUP BY category""",
     "catalog_top50": "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50",
     "config_violations": """SELECT id, array_to_string(v, ',') AS violations FROM (SELECT l_orderkey || '-' || l_linenumber AS id, list_filter([CASE WHEN l_quantity < 1 OR l_quantity > 45 THEN 'count' END, CASE WHEN l_discount > 0.08 THEN 'rate' END,
   CASE WHEN l_tax <= 0 THEN 'tax' END], lambda x: x IS NOT NULL) AS v FROM lineitem) WHERE len(v) > 0""",
     "invalid_names": "SELECT DISTINCT upper(string_split(p_name, ' ')[1]) AS name FROM part WHERE upper(string_split(p_name, ' ')[1]) NOT IN (SELECT upper(n_name) FROM nation)",
     "catalog_rollup": "SELECT r_name, c_mktsegment, count(*)::BIGINT AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, c_mktsegment)",
 }
-QUERIES = {k: globals()[k] for k in SQL}
+QUERIES = {k: globals()[k] for k in SQL} | {"profile_variations": profile_variations}

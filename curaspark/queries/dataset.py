@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curaspark.functions import text as T
 from curaspark.functions.signal import hash_similarity
-from curaspark.operators import cache, duplicates, splits, summary
+from curaspark.operators import cache, duplicates, splits, summary, validation
 from curaspark.plans import exports
 
 
@@ -74,9 +74,8 @@ def word_error_rate(spark, sf_dir):
 
 def asr_acceptance(spark, sf_dir):
     held = word_error_rate(spark, sf_dir).withColumn("confidence", T.confidence(F.array(-F.col("n_heard") / 100.0, F.col("n_heard") / 50.0)))
-    high, low = F.col("wer") > 0.9, F.col("confidence") < 0.55
-    error = F.when(low, F.format_string("low confidence: %.3f < 0.55", "confidence")).when(high, F.format_string("high WER: %.3f > 0.9", "wer"))
-    return held.select("conv_id", "turn", (~high & ~low).alias("accepted"), error.alias("error"))
+    wer, confidence = F.col("wer"), F.col("confidence")
+    return held.select("conv_id", "turn", validation.accepted(wer, confidence, 0.9, 0.55).alias("accepted"), validation.acceptance_error(wer, confidence, 0.9, 0.55).alias("error"))
 
 
 def shuffle_split(spark, sf_dir):

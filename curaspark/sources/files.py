@@ -30,6 +30,49 @@ def audio_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return audio.select("path", F.substring_index("path", "/", -1).alias("name"), relative.alias("relative_path"), F.col("length").alias("size"))
 
 
+def audio_scan(spark: SparkSession, *folders: str) -> DataFrame:
+    """(path, length, modificationTime) of the audio files in the folders and at any depth below them, each once, by path.
+
+    Folders may lie within each other or be named twice. Case of the suffix is no matter. A folder that is not there fails."""
+    held = None
+    for folder in folders:
+        for deep in (False, True):
+            found = audio_files(spark, folder, "*", deep).select("path", "length", "modificationTime").where(F.lower("path").rlike(r"\.(wav|mp3|ogg|flac)$"))
+            held = found if held is None else held.unionByName(found)
+    if held is None:
+        raise ValueError("no folder to scan")
+    return held.groupBy("path").agg(F.max("length").alias("length"), F.max("modificationTime").alias("modificationTime")).orderBy("path")
+
+
+#: What a dataset says of itself.
+METADATA = (
+    "name string, wake_word string, version string, created_at string, total_samples long, positive_samples long, negative_samples long, train_samples long, "
+    "val_samples long, test_samples long, sample_rate int, channels int, bit_depth int, format string, providers_used array<string>, voices_used array<string>, "
+    "augmentations_applied array<string>, average_duration_ms double, duration_std_ms double, average_snr_db double, description string, license string, "
+    "author string, tags array<string>"
+)
+
+
+def dataset_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of metadata files (JSON objects, one a file or one a line), with what they leave out filled in: version 1.0.0,
+    16 kHz, one channel, 16 bits, wav, licence MIT, zeros for counts and durations, empty lists and texts, no noise ratio.
+    A row without name or wake word, or one that is no object of such fields, has the error as its error column."""
+    held = spark.read.schema(METADATA + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    known = {"version": "1.0.0", "sample_rate": 16_000, "channels": 1, "bit_depth": 16, "format": "wav", "license": "MIT", "description": "", "author": "", "created_at": None, "average_snr_db": None}
+    columns = []
+    for field in held.schema.fields[:-1]:
+        kind, name = field.dataType.simpleString(), field.name
+        if kind.startswith("array"):
+            filled = F.coalesce(name, F.array().cast(kind))
+        elif name in ("name", "wake_word"):
+            filled = F.col(name)
+        else:
+            filled = F.coalesce(name, F.lit(known.get(name, 0)).cast(kind))
+        columns.append(filled.alias(name))
+    missing = F.when(F.col("_corrupt").isNotNull(), "no metadata").when(F.col("name").isNull() | F.col("wake_word").isNull(), "no name or wake word")
+    return held.select(*columns, missing.alias("error"))
+
+
 def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,12 @@ def filter_voices(voices: DataFrame, language: str | list[str] | None = None, ge
     if gender:
         held = held.where(F.lower("gender") == gender.lower())
     return held.where(F.col("id").isin(names) | F.col("name").isin(names)) if names else held
+
+
+def preferred(rows: DataFrame, by: str, prefers: Column, order: list[Column], pick: list[str]) -> DataFrame:
+    """Of each group one row: the first in order among those that are preferred, or the first of all where none is.
+
+    Sums alone find it, so no group is sorted; nulls in the order come first, a null preference is none."""
+    rank = F.struct((~F.coalesce(prefers, F.lit(False))).alias("_later"), *[c.alias(f"_{i}") for i, c in enumerate(order)])
+    held = rows.groupBy(by).agg(F.min_by(F.struct(*pick), rank).alias("_best"))
+    return held.select(by, *[F.col(f"_best.{c}").alias(c) for c in pick])
