@@ -44,16 +44,35 @@ def histogram(df: DataFrame, value: Column | str, edges: Sequence[float]) -> Dat
     return counts.where("n > 0").select(F.inline(rows))
 
 
-def equal_width_histogram(df: DataFrame, value: Column | str, bins: int) -> DataFrame:
-    """(bucket, low, high, count) of at most so many equal buckets between the least and greatest value."""
-    held = df.select(_column(value).cast("double").alias("x")).where("x is not null")
+def equal_width_histogram(df: DataFrame, value: Column | str, bins: int, empty: bool = False) -> DataFrame:
+    """(bucket, low, high, count) of at most so many equal buckets between the least and greatest value; with ``empty`` also
+    those that hold nothing. Nulls and values that are no finite numbers have no part; without others there is no bucket, and
+    where all are equal there is one."""
+    held = df.select(_column(value).cast("double").alias("x")).where("x is not null and not isnan(x) and abs(x) < double('infinity')")
     bounds = held.agg(F.min("x").alias("least"), F.max("x").alias("greatest"))
     width = (F.col("greatest") - F.col("least")) / bins
     bucket = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("least")) / width), F.lit(bins - 1))).otherwise(0)
     counted = held.join(F.broadcast(bounds)).groupBy(bucket.cast("int").alias("bucket"), "least", width.alias("width")).count()  # bounds is one row
+    if empty:
+        last = F.when(width > 0, bins - 1).otherwise(0)
+        all_ = bounds.where("least is not null").select(F.explode(F.sequence(F.lit(0), last)).alias("bucket"), "least", width.alias("width"))
+        counted = all_.join(counted.select("bucket", "count"), "bucket", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return counted.select("bucket", (F.col("least") + F.col("bucket") * F.col("width")).alias("low"), (F.col("least") + (F.col("bucket") + 1) * F.col("width")).alias("high"), "count")
 
 
+def points(df: DataFrame, id: str, x: str, y: str) -> DataFrame:
+    """(id, x, y) of the rows that have both figures, as finite numbers: the dots of a chart. None where a column is missing."""
+    if not {id, x, y} <= set(df.columns):
+        return df.sparkSession.createDataFrame([], "id string, x double, y double")
+    both = df.select(F.col(id).cast("string").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return both.where(finite(F.col("x")).isNotNull() & finite(F.col("y")).isNotNull())
+
+
+def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first rows in an order, which should end in what makes it total."""
+    return df.orderBy(*order).limit(n)
+
+
 def distribution(df: DataFrame, *keys: str) -> DataFrame:
     """Counts by key, and the share of all in percent to one decimal. Only the counts meet in one place."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))

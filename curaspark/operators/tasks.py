@@ -88,3 +88,8 @@ def estimated(log: DataFrame, key: str, state: Column, time: str) -> DataFrame:
         (seconds(F.max(time)) - seconds(F.min(time))).alias("elapsed"),
     )
     return held.withColumn("eta", F.when(F.col("done") > 0, F.col("elapsed") / F.col("done") * F.col("remaining")))
+
+
+def failed(log: DataFrame, state: Column | str, name: str = "failed") -> DataFrame:
+    """The rows of a log that failed; unknown states did not."""
+    return log.where(F.coalesce((F.col(state) if isinstance(state, str) else state) == name, F.lit(False)))

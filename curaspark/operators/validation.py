@@ -150,3 +150,9 @@ def acceptance_error(wer: Column, confidence: Column, most: float = 0.3, least:
     """Why it is not; of two reasons the confidence. Null for accepted ones and where the figures are unknown."""
     low = F.when(confidence < least, F.format_string(f"low confidence: %.3f < {least:g}", confidence))
     return F.coalesce(low, F.when(wer > most, F.format_string(f"high WER: %.3f > {most:g}", wer)))
+
+
+def unknown_names(rows: DataFrame, name: Column, known: DataFrame, known_name: Column) -> DataFrame:
+    """(name) of names that are not among the known ones, each once, whatever the case; no name is not unknown."""
+    asked = rows.select(F.upper(name).alias("name")).where("name is not null").distinct()
+    return asked.join(known.select(F.upper(known_name).alias("name")), "name", "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curaspark.operators import presets, splits
+from curaspark.operators import presets, splits, summary, validation
 from curaspark.queries.dataset import table
 from curaspark.sources import registry
 from curaspark.sources.registry import filter_voices
@@ -93,7 +93,7 @@ def profile_variations(spark, sf_dir):
 
 
 def catalog_top50(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").transform(summary.top, 50, F.desc("n_chars"), "doc_id")
 
 
 def config_violations(spark, sf_dir):
@@ -105,8 +105,7 @@ def config_violations(spark, sf_dir):
 
 def invalid_names(spark, sf_dir):
     """Brands of parts whose first word is no nation's name: names outside the list of valid ones."""
-    names = table(spark, sf_dir, "part").select(F.upper(F.split("p_name", " ")[0]).alias("name")).distinct()
-    return names.join(table(spark, sf_dir, "nation").select(F.upper("n_name").alias("name")), "name", "left_anti")
+    return validation.unknown_names(table(spark, sf_dir, "part"), F.split("p_name", " ")[0], table(spark, sf_dir, "nation"), F.col("n_name"))
 
 
 def catalog_rollup(spark, sf_dir):

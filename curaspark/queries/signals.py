@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curaspark.functions import signal as S
 from curaspark.functions import damage, degrade, microphone, noise, resampling, spectrum, vocoder
-from curaspark.operators import duplicates, errors, neighbours, overlay, summary, validation
+from curaspark.operators import duplicates, errors, neighbours, overlay, presets, summary, validation
 from curaspark.plans import assessment, augmentation
 from curaspark.sources import records, shared
 
@@ -266,6 +266,25 @@ def microphone_chain(spark, sf_dir):
     return held.select("vec_id", "profile", _r(S.rms(F.col("augmented")), 5).alias("rms"), _r(F.col("augmented")[63], 5).alias("last"))
 
 
+def phone_profiles(spark, sf_dir):
+    """Every clip over each of the known kinds of telephone, as if sampled at 24 kHz."""
+    profiles = {p[0]: [("telephone", {"name": p[0]})] for p in presets.PHONES}
+    held = augmentation.augment_profiles(load(spark, sf_dir).withColumn("sample_rate", F.lit(24_000)), profiles, key="vec_id")
+    return held.select("vec_id", "profile", _r(S.rms(F.col("augmented")), 5).alias("rms"), _r(F.col("augmented")[63], 5).alias("last"))
+
+
+def score_chart(spark, sf_dir):
+    """The 20 bars of the overall scores, empty ones too."""
+    held = assessment.assess(load(spark, sf_dir), CHECKS, window=WINDOW).withColumn("score", F.round("overall_score", 5))
+    return summary.equal_width_histogram(held, "score", 20, empty=True).select("bucket", _r("low", 6), _r("high", 6), "count")
+
+
+def score_points(spark, sf_dir):
+    """Noise ratio and overall score of every clip that has both."""
+    held = assessment.assess(load(spark, sf_dir), CHECKS, window=WINDOW).withColumn("score", F.round("overall_score", 5))
+    return summary.points(held, "vec_id", "snr_db", "score").select("id", _r("x"), "y")
+
+
 def augment_scenes(spark, sf_dir):
     """Noise with events, rooms, microphones, tempo, pitch, dynamics and losses in profiles of up to four steps."""
     clips = load(spark, sf_dir).withColumns({"sample_rate": F.lit(8_000), "samples": F.when(F.col("vec_id") % 10 == 3, F.array_repeat(F.lit(0.0), 64)).otherwise(F.col("samples"))})
@@ -279,6 +298,10 @@ def augment_scenes(spark, sf_dir):
 
 
 SQL = {
+    "score_chart": f"""WITH {SCORED}, xs AS (SELECT round(overall, 5) AS x FROM z), lim AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 20 AS w FROM xs),
+bars AS (SELECT least(floor((x - lo) / w), 19)::INT AS bar, count(*) AS held FROM xs, lim GROUP BY 1)
+SELECT r.b::INT AS bucket, round(lo + r.b * w, 6) AS low, round(lo + (r.b + 1) * w, 6) AS high, coalesce(held, 0) AS count FROM lim, range(20) r(b) LEFT JOIN bars ON bar = r.b""",
+    "score_points": f"WITH {SCORED} SELECT vec_id::VARCHAR AS id, round(snr_db, 6) AS x, round(overall, 5) AS y FROM z WHERE isfinite(snr_db)",
     "record_files": """SELECT vec_id, label::BIGINT AS label, 'clip_' || vec_id AS filename, CASE WHEN vec_id % 10 < 8 THEN 'train' WHEN vec_id % 10 = 8 THEN 'val' ELSE 'test' END AS split,
   len(embedding)::BIGINT AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS sum FROM embeddings""",
     "error_counts": f"""WITH {ARRAYS}, {FEATURES}, {CHECKED},
@@ -384,4 +407,7 @@ QUERIES = {
     "dropouts": _effect(lambda a, k: damage.dropouts(a, k, 1_000, 0.05)),
     "random_losses": _effect(lambda a, k: damage.random_losses(a, k, 24_000, 0.7)),
     "augment_scenes": augment_scenes,
+    "phone_profiles": phone_profiles,
+    "score_chart": score_chart,
+    "score_points": score_points,
 }

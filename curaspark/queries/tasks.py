@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curaspark.operators import cache, tasks
+from curaspark.operators import cache, summary, tasks
 from curaspark.queries.dataset import table
 from curaspark.sources import shared
 from curaspark.streaming import state
@@ -74,11 +74,11 @@ def cache_upsert(spark, sf_dir):
 
 
 def last_states(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", "user_id", "state").orderBy(F.desc("event_id")).limit(10)
+    return events(spark, sf_dir).select("event_id", "user_id", "state").transform(summary.top, 10, F.desc("event_id"))
 
 
 def failed_tasks(spark, sf_dir):
-    return events(spark, sf_dir).where(F.col("state") == "failed").select("event_id", "user_id")
+    return tasks.failed(events(spark, sf_dir), "state").select("event_id", "user_id")
 
 
 def task_durations(spark, sf_dir):
