@@ -51,7 +51,7 @@ def exact_duplicates(spark, sf_dir):
 def prompt_jaccard(spark, sf_dir):
     """Similar turns of conversations, by the sets of their words."""
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.tokens(F.col("text")).alias("words"))
-    return duplicates.jaccard_pairs(turns, "id", "words", 0.15).select("a", "b", F.round("similarity", 4).alias("similarity"))
+    return duplicates.all_jaccard_pairs(turns, "id", "words", 0.15).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
 def hash_bit_similarity(spark, sf_dir):

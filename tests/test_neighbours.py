@@ -103,3 +103,14 @@ def test_queries_against_all_pairs(spark):
     want = {(clips[a][0], clips[b][0]) for a, b in all_pairs([c[1] for c in clips], 0.9)}
     assert len(want) > 100 and len(want & found.keys()) >= 0.95 * len(want)
     assert {p for p, m in found.items() if m == "embedding"} <= want and {"fingerprint", "embedding"} <= set(found.values())
+
+
+def test_all_pairs_of_sets_with_frequent_elements(spark):
+    rng = np.random.default_rng(5)
+    sets = [sorted({f"w{x}" for x in rng.zipf(1.3, 40) % 200}) for _ in range(700)] + [[], ["a"], ["a"], None, ["a", "a", "b", None]]
+    df = spark.createDataFrame([*enumerate(sets), (None, ["a"])], "id long, s array<string>")
+    got = {(r.a, r.b): r.similarity for r in duplicates.all_jaccard_pairs(df, "id", "s", 0.15).collect()}
+    plain = {i: set(s) - {None} for i, s in enumerate(sets) if s}
+    want = {(a, b): len(plain[a] & plain[b]) / len(plain[a] | plain[b]) for a in plain for b in plain if a < b}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.15}) and len(got) > 10_000 and got[701, 704] == 0.5
+    assert duplicates.all_jaccard_pairs(df.where("false"), "id", "s", 0.15).count() == 0
