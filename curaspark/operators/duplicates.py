@@ -120,6 +120,24 @@ def all_jaccard_pairs(df: DataFrame, id: str, elements: str, threshold: float) -
     return _all_pairs(sets, find)
 
 
+def close_rows(x: np.ndarray, y: np.ndarray, threshold: float) -> Found:
+    """(i, j, cosine) of rows of x and y that reach the threshold; rounded products find them, exact ones count."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30) for m in (x, y))
+    low = threshold - 1e-6 * max(x.shape[1], 8)
+    coarse, others = x.astype(np.float32), y.astype(np.float32)
+    for a in range(0, len(x), LEFT):
+        for b in range(0, len(y), RIGHT):
+            near = (coarse[a : a + LEFT] @ others[b : b + RIGHT].T).ravel()
+            hits = np.flatnonzero(near >= low)
+            width = min(RIGHT, len(y) - b)
+            for k in range(0, len(hits), PAIRS):
+                i, j = a + hits[k : k + PAIRS] // width, b + hits[k : k + PAIRS] % width
+                similarity = np.einsum("ij,ij->i", x[i], y[j])
+                enough = similarity >= threshold
+                yield i[enough], j[enough], similarity[enough]
+
+
 def cosine_pairs(df: DataFrame, id: str, vector: str, threshold: float, block: int = 512) -> DataFrame:
     """(a, b, similarity) with a < b of all vectors against all, in blocks: a block of normed vectors times a block.
 

@@ -4,20 +4,23 @@ shared fingerprints, and the order in which their verdicts count."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curaspark.functions import spectrum
-from curaspark.operators.duplicates import jaccard_pairs
+from curaspark.operators.duplicates import close_rows, jaccard_pairs
 
-#: Bits of a key, share of the pairs at the threshold that are to be found, members of a bucket that are compared at a time.
-BITS, RECALL, BLOCK = 12, 0.97, 512
-#: Groups of buckets for each shuffle partition.
-SHARDS = 4
+#: Bits of a key, share of the pairs at the threshold that are to be found, members of a bucket that stay together.
+BITS, RECALL, BLOCK = 12, 0.97, 1 << 14
+#: Groups of buckets for each shuffle partition at least, and rows of a group in the mean at most.
+SHARDS, SHARD_ROWS = 4, 1 << 15
+#: Blocks of crowded buckets that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def bands_for(threshold: float, bits: int = BITS, recall: float = RECALL) -> int:
@@ -34,22 +37,46 @@ def classes(df: DataFrame, id: str, vector: str) -> tuple[DataFrame, DataFrame]:
     return rows.select("id", "x", "y").join(kinds.select("x", "y", "rep"), ["x", "y"]).select("id", "rep"), kinds.select("rep", "v", "copies")
 
 
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as their bytes."""
+    width = rows.shape[1] * rows.itemsize
+    offsets = pa.array(np.arange(len(rows) + 1) * width, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _unpacked(packed: pa.Array, size: int) -> np.ndarray:
+    """Vectors of so many numbers, of four or eight bytes each."""
+    out, narrow = np.empty((len(packed), size)), pc.equal(pc.binary_length(packed), 4 * size).to_numpy(zero_copy_only=False)
+    for kind, own in ((np.float32, np.flatnonzero(narrow)), (np.float64, np.flatnonzero(~narrow))):
+        if len(own):
+            out[own] = np.frombuffer(b"".join(packed.take(pa.array(own)).to_pylist()), kind).reshape(-1, size)
+    return out
+
+
+def _code(bits: int) -> type:
+    return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32
+
+
 def _keys(bands: int, bits: int, seed: int):
+    """v as bytes, of single precision where that holds it exactly; codes, the bits of all bands as bytes; and keys."""
+
     def keys(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             data = batch.column("v").flatten().to_numpy(zero_copy_only=False)
             first = np.cumsum(sizes) - sizes
-            out = np.empty((len(sizes), bands), np.int64)
             for size in np.unique(sizes):
                 if size not in planes:
                     planes[size] = np.random.default_rng([seed, size]).normal(size=(size, bands * bits))
                 own = np.flatnonzero(sizes == size)
-                side = data[first[own][:, None] + np.arange(size)] @ planes[size] > 0
-                out[own] = side.reshape(len(own), bands, bits) @ (1 << np.arange(bits)) + (int(size) << bits)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bands, pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("v"), lists], ["rep", "v", "keys"])
+                rows = data[first[own][:, None] + np.arange(size)]
+                code = (rows @ planes[size] > 0).reshape(len(own), bands, bits) @ (1 << np.arange(bits))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    single = rows.astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * bands, pa.int32()), pa.array((code + (int(size) << bits)).ravel()))
+                v = _packed(single if (single == rows).all() else rows)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(own)), v, _packed(code.astype(_code(bits))), lists], ["rep", "v", "codes", "keys"])
 
     return keys
 
@@ -59,43 +86,55 @@ def hyperplane_pairs(vectors: DataFrame, threshold: float, *, bits: int = BITS,
 
     Each vector has ``bands_for(...)`` keys of ``bits`` sides of random hyperplanes; only vectors that share a key are
     compared, so a pair at the threshold is missed with a probability of 1 - recall at most, a closer one less often.
-    A bucket with more than ``block`` members is dealt into blocks, and each pair of its blocks is worked on by itself, so
-    no task holds a bucket; many small buckets are handed to Python together. A pair is reported from the first key it shares alone. Vectors of other sizes never meet;
+    A vector is shuffled once a key, as bytes. A bucket with more than ``block`` members is dealt into blocks, and each pair
+    of its blocks is worked on by itself, so no task holds a bucket; many small buckets are handed to Python together. A pair
+    is reported from the first key it shares alone. Vectors of other sizes never meet;
     vectors of zeros have no direction and pair with nothing; reps are distinct.
     """
     bands = bands_for(threshold, bits, recall)
     live = vectors.select("rep", "v").where(F.exists("v", lambda x: x != 0))
     kind = live.schema["rep"].dataType.simpleString()
-    keyed = live.mapInArrow(_keys(bands, bits, seed), f"rep {kind}, v array<double>, keys array<long>")
-    each = keyed.select("*", F.posexplode("keys").alias("band", "key"))
-    sizes = each.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    met = each.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    keyed = live.mapInArrow(_keys(bands, bits, seed), f"rep {kind}, v binary, codes binary, keys array<long>")
+    counts = keyed.select(F.posexplode("keys").alias("band", "key")).groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    n_rows, n_crowded = counts.agg(F.sum(F.col("n") * F.col("blocks")), F.count_if(F.col("blocks") > 1)).first()
+    each = keyed.select("rep", "v", "codes", F.posexplode("keys").alias("band", "key"))
+    if n_crowded:
+        crowded = counts.where("blocks > 1").drop("n")
+        each = each.join(F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded, ["band", "key"], "left")
+        met = each.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    else:
+        met = each.withColumns({"blocks": F.lit(1), "own": F.lit(0)})
     dealt = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other", "blocks")
 
-    shards = SHARDS * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(SHARDS * parts, -(-(n_rows or 0) // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("band", "key", "p", "q"), F.lit(shards)).alias("shard")
 
-    def bucket(band: int, p: int, q: int, own: np.ndarray, reps: np.ndarray, m: np.ndarray, keys: np.ndarray) -> tuple:
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        s = m[left] @ m[right].T
-        i, j = np.nonzero(s >= threshold)
-        similarity, i, j = s[i, j], left[i], right[j]
-        new = (reps[i] < reps[j] if p == q else reps[i] != reps[j]) & (np.argmax(keys[i] == keys[j], axis=1) == band)
-        a, b = reps[i[new]], reps[j[new]]
-        return np.where(a < b, a, b), np.where(a < b, b, a), similarity[new]
-
-    def compare(f: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for (band, _, p, q), part in f.groupby(["band", "key", "p", "q"], sort=False):
-            if len(part) > 1:
-                m = np.stack(part["v"].to_numpy())
-                m = m / np.linalg.norm(m, axis=1, keepdims=True)
-                found.append(bucket(band, p, q, part["own"].to_numpy(), part["rep"].to_numpy(), m, np.stack(part["keys"].to_numpy())))
-        columns = [np.concatenate(x) for x in zip(*found)] if found else [f["rep"].to_numpy()[:0], f["rep"].to_numpy()[:0], np.zeros(0)]
-        return pd.DataFrame(dict(zip(["a", "b", "similarity"], columns)))
-
-    return dealt.select("*", shard).groupBy("shard").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        of = [rows[c].to_numpy() for c in ("band", "key", "p", "q")]
+        order = np.lexsort(of)
+        new = np.any([x[order][1:] != x[order][:-1] for x in of], axis=0)
+        reps, own = rows["rep"].to_numpy(), rows["own"].to_numpy()
+        v, codes = (rows[c].combine_chunks() for c in ("v", "codes"))
+        v, codes = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (v, codes))
+        for bucket in np.split(order, np.flatnonzero(new) + 1):
+            if len(bucket) < 2:
+                continue
+            band, key, p, q = (int(x[bucket[0]]) for x in of)
+            left, right = bucket[own[bucket] == p], bucket[own[bucket] == q]
+            x, y = (_unpacked(v.take(pa.array(side)), key >> bits) for side in (left, right))
+            mine, theirs = (np.frombuffer(b"".join(codes.take(pa.array(side)).to_pylist()), _code(bits)).reshape(-1, bands) for side in (left, right))
+            for i, j, similarity in close_rows(x, y, threshold):
+                a, b = reps[left[i]], reps[right[j]]
+                first = (a < b if p == q else a != b) & (np.argmax(mine[i] == theirs[j], axis=1) == band)
+                a, b = a[first], b[first]
+                low, high = (pa.array(ends, rows["rep"].type) for ends in (np.where(a < b, a, b), np.where(a < b, b, a)))
+                yield pa.RecordBatch.from_arrays([low, high, pa.array(similarity[first])], ["a", "b", "similarity"])
+
+    # So many partitions even of few bytes: they are much work.
+    return dealt.select("*", shard).repartition(parts, "shard").groupBy("shard").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def spectrum_pairs(hashes: DataFrame) -> DataFrame:

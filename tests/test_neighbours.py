@@ -114,3 +114,19 @@ def test_all_pairs_of_sets_with_frequent_elements(spark):
     want = {(a, b): len(plain[a] & plain[b]) / len(plain[a] | plain[b]) for a in plain for b in plain if a < b}
     assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.15}) and len(got) > 10_000 and got[701, 704] == 0.5
     assert duplicates.all_jaccard_pairs(df.where("false"), "id", "s", 0.15).count() == 0
+
+
+def test_vectors_go_as_bytes_once_a_key(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=16)
+    vectors = [centre + rng.normal(size=16) * 0.05 for _ in range(700)]
+    found = {}
+    for name, rows in (("double", vectors), ("single", [v.astype(np.float32) for v in vectors])):
+        _, kinds = neighbours.classes(frame(spark, rows), "id", "v")
+        pairs = neighbours.hyperplane_pairs(kinds, 0.9)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert " codes#" in plan and "Join" not in plan.split("MapInArrow")[0]  # 700 in one bucket are one block
+        found[name] = {(r.a, r.b): r.similarity for r in pairs.collect()}
+        want = all_pairs(rows, 0.9)
+        assert found[name].keys() <= want.keys() and len(found[name]) >= 0.99 * len(want) > 200_000
+    assert all(s == pytest.approx(want[p]) for p, s in found["single"].items())
