@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curaspark.functions import damage, degrade, microphone, noise, resampling, scene, spectrum, vocoder
+from curaspark.functions import damage, degrade, microphone, noise, resampling, scene, spectrum, stacked, vocoder
 from curaspark.functions import signal as S
 from curaspark.operators import overlay
 from curaspark.plans import augmentation
@@ -175,6 +175,17 @@ def test_event_query_against_one_event_at_a_time(spark):
         assert (held.n, held.type) == (len(y), r.type) and held.peak == pytest.approx(np.abs(y).max(), abs=1e-6) and held.rms == pytest.approx(np.sqrt(np.mean(y**2)), abs=2e-5)
 
 
+def test_sounds_are_handed_back_in_runs(spark):
+    sizes = np.array([0, 90, 20, 5, 200, 0, 1, 60, 40])
+    cut = [(r.start, r.stop) for r in stacked.runs(sizes, 100)]
+    assert cut == [(0, 2), (2, 4), (4, 5), (5, 8), (8, 9)] and list(stacked.runs(sizes[:0], 100)) == []
+    assert [(r.start, r.stop) for r in stacked.runs(np.array([0, 0]), 100)] == [(0, 2)]
+    rows = spark.range(3000).select("id", F.lit("footstep").alias("kind"), (F.col("id") % 7 / 10).alias("seconds"), F.col("id").alias("key")).coalesce(1)
+    made = rows.withColumn("y", noise.event_sounds(F.col("kind"), F.col("seconds"), F.col("key"), 8000)).select("id", F.size("y").alias("n"))
+    got = made.collect()
+    assert len(got) == 3000 and all(r.n == int(r.id % 7 / 10 * 8000) for r in got)
+
+
 # Overlay.
 
 
