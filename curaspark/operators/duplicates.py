@@ -138,36 +138,23 @@ def close_rows(x: np.ndarray, y: np.ndarray, threshold: float) -> Found:
                 yield i[enough], j[enough], similarity[enough]
 
 
-def cosine_pairs(df: DataFrame, id: str, vector: str, threshold: float, block: int = 512) -> DataFrame:
-    """(a, b, similarity) with a < b of all vectors against all, in blocks: a block of normed vectors times a block.
-
-    Blocks are groups of rows by a hash of the id; each pair of blocks is one small matrix product in one task, so
-    neither a block's size nor a task's memory grows with the table; the work is quadratic, as every pair is looked at."""
-    import numpy as np
-    import pandas as pd
-
-    n_blocks = max(1, -(-df.count() // block))
-    rows = df.select(F.col(id).alias("id"), F.col(vector).cast("array<float>").alias("v"), F.pmod(F.xxhash64(id), F.lit(n_blocks)).cast("int").alias("block"))
-    # Every row goes to the pairs of blocks its own block takes part in.
-    others = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    dealt = rows.select("*", F.explode(others).alias("other"))
-    dealt = dealt.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("other")
-
-    def multiply(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        def normed(part: pd.DataFrame) -> np.ndarray:
-            m = np.array(part["v"].tolist(), np.float64).reshape(len(part), -1)
-            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-
-        left, right = f[f["block"] == key[0]], f[f["block"] == key[1]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "similarity": np.array([], float)})
-        s = normed(left) @ normed(right).T
-        i, j = np.nonzero(s >= threshold)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s[i, j]})
-        return out[a < b] if key[0] == key[1] else out[a != b]
-
-    return dealt.groupBy("p", "q").applyInPandas(multiply, "a long, b long, similarity double")
+def cosine_pairs(df: DataFrame, id: str, vector: str, threshold: float, block: int = GROUP_ROWS) -> DataFrame:
+    """(a, b, similarity) with a < b of all vectors against all, by matrix products of groups of rows.
+
+    Groups of up to ``block`` rows are made by a hash of the id; each pair of them is one task's work. The work is quadratic, as every pair is looked at. Null ids and vectors pair with nothing; other lengths are an error."""
+    rows = df.select(F.col(id).alias("id"), F.col(vector).cast("array<float>").alias("v")).where("id is not null and v is not null")
+
+    def find(both: pa.Table, left: np.ndarray, right: np.ndarray) -> Found:
+        v = both["v"].combine_chunks()
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        sizes = np.unique(v.value_lengths().to_numpy())
+        if len(sizes) > 1:
+            raise ValueError(f"vectors of {sizes[0]} and of {sizes[-1]} numbers")
+        m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+        for i, j, similarity in close_rows(m[left], m[right], threshold):
+            yield left[i], right[j], similarity
+
+    return _all_pairs(rows, find, block)
 
 
 def cascade(pairs: DataFrame, fingerprint: str, spectrum: str, embedding: str, threshold: float) -> DataFrame:

@@ -116,6 +116,15 @@ def test_all_pairs_of_sets_with_frequent_elements(spark):
     assert duplicates.all_jaccard_pairs(df.where("false"), "id", "s", 0.15).count() == 0
 
 
+def test_all_pairs_shuffle_in_proportion_to_the_rows(spark):
+    rows = spark.range(500).withColumn("v", F.array(F.lit(1.0)))
+    for n in (20_000, 200_000, 1_000_000):
+        assert duplicates.dealt(rows, "id", n).count() == 16 * 500
+    assert duplicates.dealt(rows, "id", 4_000_000).count() == 62 * 500  # then no group outgrows a task
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (None, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [2.0, 0.0]), (5, [None, 1.0])], "id long, v array<float>")
+    assert [tuple(r) for r in duplicates.cosine_pairs(odd, "id", "v", 0.9).collect()] == [(0, 4, 1.0)]
+
+
 def test_vectors_go_as_bytes_once_a_key(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=16)
