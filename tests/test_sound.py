@@ -186,6 +186,18 @@ def test_sounds_are_handed_back_in_runs(spark):
     assert len(got) == 3000 and all(r.n == int(r.id % 7 / 10 * 8000) for r in got)
 
 
+def test_rooms_transform_few_short_clips_at_a_time(monkeypatch):
+    kernel, sizes, plain = scene.response("medium_room", 8000), [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda x, *a, **k: (sizes.append(np.size(x, 0) if np.ndim(x) > 1 else 1), plain(x, *a, **k))[1])
+    x = np.random.default_rng(1).normal(size=(3000, 64))
+    got = scene.echoed(x, kernel, 0.6)
+    n = 1 << (64 + len(kernel)).bit_length()
+    assert max(sizes) * n <= 1 << 17
+    room = np.array([np.convolve(row, kernel)[:64] for row in x[::500]])
+    want = np.sqrt(0.4) * x[::500] + np.sqrt(0.6) * room
+    assert np.allclose(got[::500], want * 0.95 / np.abs(want).max(axis=1, keepdims=True))
+
+
 # Overlay.
 
 
