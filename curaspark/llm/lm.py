@@ -30,8 +30,8 @@ from curaspark.llm.near import _pieces
 from curaspark.llm.shingles import U, Words, mix
 
 BACKOFF, SLICES = 0.4, 4
-#: Bytes of texts worked on at once.
-BYTES_AT_ONCE = 2 << 20
+#: Bytes of texts worked on at once, for words and for pairs.
+BYTES_AT_ONCE, PAIR_BYTES = 2 << 20, 1 << 20
 START = U(0x5354415254)
 WORD_SCHEMA = "word long, uses long"
 PAIR_SCHEMA = "doc_id long, context long, word long, uses int"
@@ -45,16 +45,24 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(uses)], ["word", "uses"])
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different key, in their order, and how often it occurs; which place does not matter, so no stable sort."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    return order[new], np.diff(new, append=len(keys))
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], part: int, slices: int) -> Iterator[pa.RecordBatch]:
     """The different pairs of each text in one slice of the hash range."""
-    for piece in _pieces(batches, BYTES_AT_ONCE):
+    for piece in _pieces(batches, PAIR_BYTES):
         w = Words(piece.column(1))
         before = np.full(len(w.hash), START)
         inner = np.flatnonzero(w.text[1:] == w.text[:-1]) + 1
         before[inner] = w.hash[inner - 1]
         pair = mix(before ^ mix(w.hash))
         mine = np.flatnonzero(pair % U(slices) == U(part))
-        _, at, uses = np.unique(mix(pair[mine] ^ mix(w.text[mine].astype(U))), return_index=True, return_counts=True)
+        at, uses = _distinct(mix(pair[mine] ^ mix(w.text[mine].astype(U))))
         at = mine[at]
         ids = piece.column(0).to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays(

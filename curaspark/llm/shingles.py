@@ -62,13 +62,12 @@ class Words:
         edge[n] = True
         self.start = np.flatnonzero(solid[1:] & (~solid[:-1] | edge))
         self.end = np.flatnonzero(solid[:-1] & (~solid[1:] | edge))
-        self.text = np.searchsorted(first, self.start, "right") - 1
-        # Empty texts share a first byte with the next one; the last of equal firsts is the one with bytes.
+        self.count = np.searchsorted(self.start, first + self.sizes) - np.searchsorted(self.start, first)
+        self.text = np.repeat(np.arange(len(first)), self.count)
         up, down = powers(n + 1)
         prefix = np.zeros(n + 1, U)
         np.cumsum(_BYTE[self.data] * up[:n], out=prefix[1:])
         self.hash = mix((prefix[self.end] - prefix[self.start]) * down[self.start] + (self.end - self.start).astype(U))
-        self.count = np.bincount(self.text, minlength=len(self.sizes)) if n else np.zeros(len(self.sizes), np.int64)
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(text number, hash) of all shingles; a text of fewer words is one shingle, one without words none."""

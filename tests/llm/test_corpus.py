@@ -8,6 +8,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -308,3 +310,12 @@ def test_pipeline(spark):
             assert {(r.doc_id, r.text) for r in docs.collect()} == {(k[0], v) for k, v in want.items() if v == k[1] or v.strip()}
             assert all(r.n_chars == len(r.text) for r in docs.collect())
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_pairs_of_a_text_are_told_apart_and_counted():
+    keys = np.random.default_rng(1).integers(0, 50, 999).astype(np.uint64)
+    at, uses = lm._distinct(keys)
+    value, n = np.unique(keys, return_counts=True)
+    assert (keys[at] == value).all() and (uses == n).all() and all(len(x) == 0 for x in lm._distinct(keys[:0]))
+    words = lm.Words(pa.array(["", "a b", "", "", " ", "x\n y", "z", ""]))
+    assert words.count.tolist() == [0, 2, 0, 0, 0, 2, 1, 0] and words.text.tolist() == [1, 1, 5, 5, 6]
