@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 from pathlib import Path
 
 import numpy as np
@@ -81,19 +83,41 @@ class Model:
         for i, s in scores.items():
             self.rank[i] = ranks[s]
         pairs = {(symbols[p[:k]] << 20) | symbols[p[k:]]: i for p, i in normal.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols}
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        # A hash table with free slots; a pair lies in the first that was free from its own on.
+        self.bits = max(16, (4 * len(pairs)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        key, piece = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+        at = self.slot(key)
+        while len(key):
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.made[at[free]] = key[free], piece[free]  # of several for one slot the last stays
+            left = self.keys[at] != key
+            key, piece, at = key[left], piece[left], (at[left] + 1) & (len(self.keys) - 1)
         self.point = np.full(0x110000, self.other, np.int32)
         self.point[[ord(c) for c in self.first]] = list(self.first.values())
         # What each id stands for, for decoding.
         raw = [bytes([self.byte_ids.index(i)]) if sp.is_byte(i) else b"" if odd[i] else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
         self.raw = np.array(raw, object)
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(U) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+
     def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece two neighbours make, -1 where none."""
         key = (left << 20) | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], -1)
+        at = self.slot(key)
+        held, made = self.keys[at], self.made[at]
+        wrong = np.flatnonzero((held != key) & (held >= 0))
+        made[held != key] = -1
+        at = at[wrong]
+        while len(wrong):  # other pairs' slots
+            at = (at + 1) & (len(self.keys) - 1)
+            held = self.keys[at]
+            hit = held == key[wrong]
+            made[wrong[hit]] = self.made[at[hit]]
+            still = ~hit & (held >= 0)
+            wrong, at = wrong[still], at[still]
+        return made
 
     def agenda(self, symbol: list[int], variant: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """One word's symbols, merged best first: (place of each symbol that is left, symbol)."""
@@ -225,7 +249,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.held: dict[str, int] = {}
+        self.held: defaultdict[str, int] = defaultdict(count().__next__)  # a new word has the next number
         self.flat, self.places = np.zeros(0, np.int32), np.zeros(0, U)
         self.start = self.size = self.place_start = self.place_size = np.zeros(0, np.int64)  # by word
         self.long = np.zeros(0, bool)
@@ -259,7 +283,7 @@ class Encoder:
         parts = [WORDS.findall(BLANK + t.replace(BLANK, OWN_SIGN).replace(" ", BLANK)) if t else [] for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         n, held = int(sizes.sum()), self.held
-        number = np.fromiter((held.setdefault(w, len(held)) for p in parts for w in p), np.int64, n)
+        number = np.fromiter(map(held.__getitem__, chain.from_iterable(parts)), np.int64, n)
         words = list(held)
         if len(words) > known:
             self.meet(words[known:])

@@ -312,3 +312,15 @@ def test_hash_of_query_columns(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     for d, r in got.items():
         assert r.base_sha256 == hashlib.sha256(",".join(brute_secrets(texts[d])).encode()).hexdigest()
+
+
+def test_merges_lie_in_a_hash_table():
+    """Every merge of the model is found in its table, other pairs are not; most slots are free, so that few are looked at."""
+    model = pieces.model_of(pieces.read_model(queries.PIECE_MODEL))
+    assert (model.keys < 0).mean() > 0.5
+    held = model.keys[model.keys >= 0]
+    assert (model.merge_of(held >> 20, held & 0xFFFFF) == model.made[model.keys >= 0]).all()
+    for pair, piece in list(zip(held.tolist(), model.made[model.keys >= 0].tolist()))[::50]:
+        joined = "".join(model.pieces[i] if i < model.n else model.chars[i - model.n] for i in (pair >> 20, pair & 0xFFFFF))
+        assert joined == model.pieces[piece]
+    assert (model.merge_of(held & 0xFFFFF, np.full(len(held), model.other)) == -1).all()
