@@ -190,6 +190,26 @@ def test_lines_by_all_shingles(spark, docs):
     assert got == want
 
 
+def test_pairs_of_lines_are_verified_in_their_rows(spark):
+    """Against brute force, with repeated shingles and characters of several bytes, and without a row for each shingle."""
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdé日 ") for _ in range(150))
+    held = [base, base + "x" * 30, base[:70] + "z" + base[71:], base[40:], "ab" * 60, "ab" * 90, "short", "😀" + base]
+    pairs = [(a, b) for b in range(len(held)) for a in range(b)]
+    got = lines.verify(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(enumerate(held)), "k1 long, line string"), 8, 80)
+    sets = [line_set(x) for x in held]
+    want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in got.collect()} == want and 2 < len(want) < len(pairs)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_components_grow_by_links_between_them(spark):
+    part = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, component long")
+    links = spark.createDataFrame([(2, 6), (10, 11), (12, 9)], "a long, b long")
+    got = {r.node: r.component for r in lines._merged(part, links, Scratch(spark, "test"), "p").collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 12: 8, 10: 10, 11: 10}
+
+
 def brute_repeats(rows) -> dict:
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
     first: dict[bytes, int] = {}
