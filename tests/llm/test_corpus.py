@@ -339,3 +339,21 @@ def test_pairs_of_a_text_are_told_apart_and_counted():
     assert (keys[at] == value).all() and (uses == n).all() and all(len(x) == 0 for x in lm._distinct(keys[:0]))
     words = lm.Words(pa.array(["", "a b", "", "", " ", "x\n y", "z", ""]))
     assert words.count.tolist() == [0, 2, 0, 0, 0, 2, 1, 0] and words.text.tolist() == [1, 1, 5, 5, 6]
+
+
+def test_sketches_leave_every_linking_pair(spark):
+    rng, held = random.Random(5), []
+    for _ in range(60):
+        line = "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(40, 900)))
+        for edits in (0, len(line) // 90, len(line) // 40):
+            other = list(line)
+            for _ in range(edits):
+                other[rng.randrange(len(other))] = "x"
+            held.append("".join(other))
+    rows = spark.createDataFrame(list(enumerate(held)), "k1 long, line string")
+    pairs = [(a, b) for b in range(len(held)) for a in range(b)]
+    sketches, sets = lines.sketched(rows, 8), [line_set(x) for x in held]
+    got = {tuple(r) for r in lines.likely(spark.createDataFrame(pairs, "a long, b long"), sketches, 80).collect()}
+    link = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert link and link <= got and len(got) < 0.05 * len(pairs)
+    assert [c for c, t in sketches.dtypes if t == "array<bigint>"] == ["words"] and len(sketches.columns) == 4  # not a column a word
