@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, *, id="doc_id", text="text") -> DataFrame:
     ranked = members.select("*", F.row_number().over(own.orderBy("sets", "signature")).alias("place"), F.count(F.lit(1)).over(own).alias("met"))
     useful = ranked.where(F.col("place") <= F.col("met") - F.greatest("room", F.lit(0))).select("signature", "doc_id", "entry", "side", "sets", "least")
     useful = scratch.put(useful, "useful")
+    scratch.drop("members")
 
     # First each set against the set it meets most often as the least of a bucket.
     star = useful.where("least < doc_id").groupBy("doc_id", "least").agg(F.count(F.lit(1)).alias("times"))
@@ -274,6 +275,8 @@ def near_duplicates(docs: DataFrame, *, id="doc_id", text="text") -> DataFrame:
 
     # Back to documents: the copies of a set share its component.
     home_of = equal.join(linked, F.col("rep") == F.col("node"), "left").select("n_shingles", "key1", "key2", F.coalesce("component", "rep").alias("of_set"))
+    home_of = scratch.put(home_of, "home_of")
+    scratch.keep("sized", "home_of")  # the result reads no other
     keyed = sized.join(home_of, ["n_shingles", "key1", "key2"], "left")
     return keyed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id")).alias("component_id"))
 

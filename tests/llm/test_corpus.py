@@ -7,6 +7,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -341,6 +342,18 @@ def test_pairs_of_a_text_are_told_apart_and_counted():
     assert words.count.tolist() == [0, 2, 0, 0, 0, 2, 1, 0] and words.text.tolist() == [1, 1, 5, 5, 6]
 
 
+def test_lines_and_near_duplicates_leave_what_their_results_read(spark):
+    """Tables in the shared folder that no result reads any more are gone before the next stage begins."""
+    rows = [(i, "\n".join(f"the line number {k // 3} of a text with some more words {k % 7}" for k in range(i, i + 9))) for i in range(30)]
+    docs, root = spark.createDataFrame(rows, "doc_id long, text string"), Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "curaspark")
+    for name, make, left in (("lines", lines.dedup_lines, {"removed_by_row"}), ("near", near.near_duplicates, {"sized", "home_of"})):
+        before = set(root.glob(f"{name}-*"))
+        got = make(docs)
+        (new,) = set(root.glob(f"{name}-*")) - before
+        assert {p.name for p in new.iterdir() if p.is_dir()} == left
+        assert got.count() == 30
+
+
 def test_sketches_leave_every_linking_pair(spark):
     rng, held = random.Random(5), []
     for _ in range(60):
