@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curaspark.operators import shared
+
 #: Groups that rows are dealt into where all pairs are looked at, rows of a group below which there are fewer groups, and
 #: beyond which there are more.
 GROUPS, FEW_ROWS, GROUP_ROWS = 16, 256, 1 << 16
 #: Rows of a group that are looked at together, on either side; pairs that are worked on and handed back together.
 LEFT, RIGHT, PAIRS = 1024, 8192, 1 << 16
+#: About so many rows of equal sets are one row with their ids; more are several, so that no task holds them all.
+COPIES = 1024
 
 
 def exact_groups(df: DataFrame, content: Column, id: str) -> DataFrame:
@@ -41,83 +45,81 @@ def jaccard_pairs(df: DataFrame, id: str, elements: str, threshold: float) -> Da
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def n_groups(n_rows: int, group_rows: int = GROUP_ROWS) -> int:
+    return max(1, min(GROUPS, -(-n_rows // FEW_ROWS)), -(-n_rows // group_rows))
+
+
 def dealt(rows: DataFrame, id: str, n_rows: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """rows with own, their group, and p and q, one row for each pair of groups that their group takes part in.
 
     There are ``GROUPS`` groups at most while those hold ``group_rows`` rows, so what is shuffled grows with the table."""
-    n_groups = max(1, min(GROUPS, -(-n_rows // FEW_ROWS)), -(-n_rows // group_rows))
-    placed = rows.withColumn("own", F.pmod(F.xxhash64(id), F.lit(n_groups)).cast("int"))
-    each = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("other"))
+    n = n_groups(n_rows, group_rows)
+    placed = rows.withColumn("own", F.pmod(F.xxhash64(id), F.lit(n)).cast("int"))
+    each = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
     return each.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other")
 
 
 Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _all_pairs(rows: DataFrame, find: Callable[[pa.Table, np.ndarray, np.ndarray], Found], group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b, similarity), a < b, of all rows (id, ...) against all: each pair of groups in one task, by find(rows of both, left, right)."""
-    kind = rows.schema["id"].dataType.simpleString()
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _all_pairs(rows: DataFrame, id: str, n_rows: int, find: Callable[[pa.Table, np.ndarray, np.ndarray], Found], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(a, b, similarity), a < b, of all rows against all: each pair of groups in one task, by find(rows of both, left, right).
+
+    id is a column of ids or of lists of them; find names ids by their places among all ids of both groups."""
+    kind = rows.schema[id].dataType
+    kind = getattr(kind, "elementType", kind).simpleString()
 
     def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pa.Table.from_batches(list(batches)).combine_chunks()
-        own, ids = both["own"].to_numpy(), both["id"].to_numpy()
+        both = pa.Table.from_batches(list(batches))
+        own, held = both["own"].to_numpy(), both[id]
+        if pa.types.is_list(held.type):
+            held = pa.chunked_array([c.flatten() for c in held.chunks])
+        ids = held.to_numpy()
         p, q = (k.as_py() for k in key)
         for i, j, similarity in find(both, np.flatnonzero(own == p), np.flatnonzero(own == q)):
             a, b = ids[i], ids[j]
             new = a < b if p == q else a != b
             a, b = a[new], b[new]
-            low, high = (pa.array(x, both["id"].type) for x in (np.where(a < b, a, b), np.where(a < b, b, a)))
+            low, high = (pa.array(x, held.type) for x in (np.where(a < b, a, b), np.where(a < b, b, a)))
             yield pa.RecordBatch.from_arrays([low, high, pa.array(similarity[new])], ["a", "b", "similarity"])
 
-    # So many partitions even of few bytes: they are much work.
-    groups = dealt(rows, "id", rows.count(), group_rows).repartition(parts, "p", "q").groupBy("p", "q")
+    # Twice as many partitions as pairs of groups, even of few bytes: they are much work, and few of them are dealt several.
+    n = n_groups(n_rows, group_rows)
+    parts = max(n * (n + 1), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = dealt(rows, id, n_rows, group_rows).repartition(parts, "p", "q").groupBy("p", "q")
     return groups.applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
+def _of_copies(i: np.ndarray, j: np.ndarray, similarity: np.ndarray, n_ids: np.ndarray) -> Found:
+    """Pairs of rows as pairs of their ids' places; about PAIRS of these at once, or those of one pair of rows."""
+    first, n = np.cumsum(n_ids) - n_ids, n_ids[i] * n_ids[j]
+    for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+        pair = np.repeat(at, n[at])
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+        yield first[i[pair]] + k // n_ids[j[pair]], first[j[pair]] + k % n_ids[j[pair]], similarity[pair]
+
+
 def all_jaccard_pairs(df: DataFrame, id: str, elements: str, threshold: float) -> DataFrame:
     """As jaccard_pairs, by counting what each two sets share: for low thresholds, whose prefixes hold frequent elements.
 
-    The rows that hold an element are listed for some rows at a time; a row's shared counts are sums over its lists.
-    Pairs are never rows before they are similar enough. The work is quadratic; a task holds two groups of rows."""
-    sets = df.select(F.col(id).alias("id"), F.array_distinct(F.filter(elements, lambda x: x.isNotNull())).alias("s")).where("id is not null").where(F.size("s") > 0)
-    share = threshold / (1 + threshold)
+    Equal sets are compared once. Pairs are never rows before they are similar enough. The work is quadratic; a task holds
+    two groups of rows."""
+    distinct = F.sort_array(F.array_distinct(F.filter(elements, lambda x: x.isNotNull())))
+    known = df.where(F.col(id).isNotNull())
+    sets = known.select(F.col(id).alias("id"), distinct.alias("s")).withColumn("h", F.xxhash64("s"))  # empty ones too: a filter would make s twice
+    many = sets.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / COPIES).alias("n")).where("n > 1")
+    dealt_copies = sets.join(F.broadcast(many), "h", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1))))
+    rows = dealt_copies.groupBy("h", "s", "part").agg(F.collect_list("id").alias("ids")).select("ids", "s")
 
     def find(both: pa.Table, left: np.ndarray, right: np.ndarray) -> Found:
-        s = both["s"].combine_chunks()
-        s = s.combine_chunks() if isinstance(s, pa.ChunkedArray) else s
-        sizes = s.value_lengths().to_numpy().astype(np.int64)
-        words = s.flatten().dictionary_encode()
-        codes, n_words = words.indices.to_numpy(), len(words.dictionary)
-        first = np.cumsum(sizes) - sizes
-        for at in range(0, len(right), RIGHT):
-            rows = right[at : at + RIGHT]
-            place = np.repeat(np.arange(len(rows)), sizes[rows])
-            held = codes[np.repeat(first[rows] - (np.cumsum(sizes[rows]) - sizes[rows]), sizes[rows]) + np.arange(len(place))]
-            lists = place[np.argsort(held, kind="stable")]
-            begin = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=n_words))])
-            least = share * sizes[rows] - 1e-6  # of shared elements, less the other set's share
-            found, n_found = [], 0
-            for i in left:
-                own = codes[first[i] : first[i] + sizes[i]]
-                meet = [lists[x:y] for x, y in zip(begin[own].tolist(), begin[own + 1].tolist()) if x < y]
-                if not meet:
-                    continue
-                shared = np.bincount(np.concatenate(meet), minlength=len(rows))
-                j = np.flatnonzero((shared >= least + share * sizes[i]) & (shared > 0))
-                if not len(j):
-                    continue
-                similarity = shared[j] / (sizes[i] + sizes[rows[j]] - shared[j])
-                j, similarity = j[similarity >= threshold], similarity[similarity >= threshold]
-                found.append((np.full(len(j), i), rows[j], similarity))
-                n_found += len(j)
-                if n_found >= PAIRS:
-                    yield tuple(np.concatenate(x) for x in zip(*found))
-                    found, n_found = [], 0
-            if found:
-                yield tuple(np.concatenate(x) for x in zip(*found))
-
-    return _all_pairs(sets, find)
+        words = pa.chunked_array([c.flatten() for c in both["s"].chunks]).dictionary_encode()
+        codes = np.concatenate([c.indices.to_numpy() for c in words.chunks]).astype(np.int64)
+        sizes, n_ids = (np.concatenate([c.value_lengths().fill_null(0).to_numpy() for c in both[x].chunks]).astype(np.int64) for x in ("s", "ids"))
+        held = shared.Sets(np.arange(len(sizes)), sizes, codes, len(words.chunk(0).dictionary))
+        for i, j, similarity in shared.similar(held, left[sizes[left] > 0], right[sizes[right] > 0], threshold):
+            yield from _of_copies(i, j, similarity, n_ids)
+
+    return _all_pairs(rows, "ids", known.count(), find)
 
 
 def close_rows(x: np.ndarray, y: np.ndarray, threshold: float) -> Found:
@@ -154,7 +156,7 @@ def cosine_pairs(df: DataFrame, id: str, vector: str, threshold: float, block: i
         for i, j, similarity in close_rows(m[left], m[right], threshold):
             yield left[i], right[j], similarity
 
-    return _all_pairs(rows, find, block)
+    return _all_pairs(rows, "id", rows.count(), find, block)
 
 
 def cascade(pairs: DataFrame, fingerprint: str, spectrum: str, embedding: str, threshold: float) -> DataFrame:

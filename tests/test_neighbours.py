@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curaspark.functions import spectrum
-from curaspark.operators import duplicates, neighbours
+from curaspark.operators import duplicates, neighbours, shared
 from curaspark.queries import signals
 
 
@@ -116,6 +116,58 @@ def test_all_pairs_of_sets_with_frequent_elements(spark):
     assert duplicates.all_jaccard_pairs(df.where("false"), "id", "s", 0.15).count() == 0
 
 
+def packed(sets) -> shared.Sets:
+    codes = [sorted(s) for s in sets]
+    return shared.Sets(np.arange(len(sets)), np.array([len(s) for s in sets]), np.array(sum(codes, [])), 1 + max(max(s) for s in codes))
+
+
+@pytest.mark.parametrize("block, rows", [(shared.BLOCK, shared.ROWS), (50, 3)])
+def test_shared_elements_are_counted_whole(monkeypatch, block, rows):
+    monkeypatch.setattr(shared, "BLOCK", block)
+    monkeypatch.setattr(shared, "ROWS", rows)
+    monkeypatch.setattr(shared, "PAIRS", 100)
+    rng = np.random.default_rng(7)
+    sets = [set((rng.zipf(1.3, rng.integers(1, 500 if i % 3 else 30)) % (900 if i % 2 else 60)).tolist()) for i in range(240)]
+    sets += [set(range(40_000)), set(range(100, 39_000)), set(range(300)), set(range(260)), {1}, {1}, {5000}]
+    plain = {(i, j): len(x & y) / len(x | y) for i, x in enumerate(sets) for j, y in enumerate(sets) if x & y}
+    left, right = np.arange(0, len(sets), 2), np.arange(len(sets))
+    for threshold in (0.0, 0.15, 0.5, 1.0):
+        got = [pair for i, j, s in shared.similar(packed(sets), left, right, threshold) for pair in zip(i.tolist(), j.tolist(), s.tolist())]
+        want = {(i, j, s) for (i, j), s in plain.items() if i % 2 == 0 and s >= threshold}
+        assert len(got) == len(set(got)) and set(got) == want, threshold
+
+
+def test_long_lists_are_passed_over_only_where_they_cannot_decide(monkeypatch):
+    rng = np.random.default_rng(8)
+    frequent, middle = range(64), range(64, 264)
+    sets = [{*rng.choice(frequent, 8).tolist(), *rng.choice(middle, 30).tolist(), *(rng.integers(264, 2000, 60)).tolist()} for _ in range(400)]
+    sets = [{*middle}, *sets, {*middle, 1}]  # these two are alike by nothing but long lists
+    read, flat = [], shared.flat
+    monkeypatch.setattr(shared, "flat", lambda first, sizes: read.append(int(sizes.sum())) or flat(first, sizes))
+    monkeypatch.setattr(shared, "WORTH", 1e9)  # one word of bits
+    left, right = np.arange(200), np.arange(200, 402)
+    got = [(i.tolist(), j.tolist(), s.tolist()) for i, j, s in shared.similar(packed(sets), left, right, 0.5)]
+    assert got == [([0], [401], [200 / 201])]
+    assert sum(read) < sum(len(sets[i] & sets[j]) for i in left for j in right)
+
+
+def test_equal_sets_are_one_row_until_they_are_very_many(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "COPIES", 20)
+    looked = []
+    all_pairs_ = duplicates._all_pairs
+    monkeypatch.setattr(duplicates, "_all_pairs", lambda rows, *rest: looked.append(rows) or all_pairs_(rows, *rest))
+    sets = [["a", "b", "c"]] * 5 + [["c", "b", "a", "a"]] * 5 + [["a", "b"]] * 100 + [["x"], [], None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id int, s array<string>")
+    got = duplicates.all_jaccard_pairs(df, "id", "s", 0.6)
+    found = {(r.a, r.b): r.similarity for r in got.collect()}
+    assert got.schema["a"].dataType.simpleString() == "int"
+    assert found == {(a, b): 1.0 if (a < 10) == (b < 10) else 2 / 3 for a in range(110) for b in range(a + 1, 110)} and got.count() == len(found)
+    sizes = sorted(len(r.ids) for r in looked[0].where("size(s) > 0").collect())
+    assert len(sizes) <= 7 and sizes[0] == 1 and 10 in sizes and sizes[-1] < 50
+    many = spark.range(1000).select("id", F.array((F.col("id") % 7).cast("string")).alias("s"))
+    assert duplicates.all_jaccard_pairs(many, "id", "s", 0.5).rdd.getNumPartitions() == 4 * 5  # few pairs of groups in one
+
+
 def test_all_pairs_shuffle_in_proportion_to_the_rows(spark):
     rows = spark.range(500).withColumn("v", F.array(F.lit(1.0)))
     for n in (20_000, 200_000, 1_000_000):
