@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ GROUPS, FEW_ROWS, GROUP_ROWS = 16, 256, 1 << 16
 LEFT, RIGHT, PAIRS = 1024, 8192, 1 << 16
 #: About so many rows of equal sets are one row with their ids; more are several, so that no task holds them all.
 COPIES = 1024
+#: Bytes of rows that are packed together for the groups.
+PACK_BYTES = 1 << 26
 
 
 def exact_groups(df: DataFrame, content: Column, id: str) -> DataFrame:
@@ -49,45 +52,86 @@ def n_groups(n_rows: int, group_rows: int = GROUP_ROWS) -> int:
     return max(1, min(GROUPS, -(-n_rows // FEW_ROWS)), -(-n_rows // group_rows))
 
 
-def dealt(rows: DataFrame, id: str, n_rows: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """rows with own, their group, and p and q, one row for each pair of groups that their group takes part in.
+Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-    There are ``GROUPS`` groups at most while those hold ``group_rows`` rows, so what is shuffled grows with the table."""
-    n = n_groups(n_rows, group_rows)
-    placed = rows.withColumn("own", F.pmod(F.xxhash64(id), F.lit(n)).cast("int"))
+
+def _placed(rows: DataFrame, id: str, n: int) -> DataFrame:
+    return rows.withColumn("own", F.pmod(F.xxhash64(id), F.lit(n)).cast("int"))
+
+
+def _spread(placed: DataFrame, n: int) -> DataFrame:
     each = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
     return each.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other")
 
 
-Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
-
+def dealt(rows: DataFrame, id: str, n_rows: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """rows with own, their group, and p and q, one row for each pair of groups that their group takes part in.
 
-def _all_pairs(rows: DataFrame, id: str, n_rows: int, find: Callable[[pa.Table, np.ndarray, np.ndarray], Found], group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b, similarity), a < b, of all rows against all: each pair of groups in one task, by find(rows of both, left, right).
-
-    id is a column of ids or of lists of them; find names ids by their places among all ids of both groups."""
-    kind = rows.schema[id].dataType
-    kind = getattr(kind, "elementType", kind).simpleString()
-
-    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pa.Table.from_batches(list(batches))
-        own, held = both["own"].to_numpy(), both[id]
-        if pa.types.is_list(held.type):
-            held = pa.chunked_array([c.flatten() for c in held.chunks])
-        ids = held.to_numpy()
-        p, q = (k.as_py() for k in key)
-        for i, j, similarity in find(both, np.flatnonzero(own == p), np.flatnonzero(own == q)):
-            a, b = ids[i], ids[j]
-            new = a < b if p == q else a != b
-            a, b = a[new], b[new]
-            low, high = (pa.array(x, held.type) for x in (np.where(a < b, a, b), np.where(a < b, b, a)))
-            yield pa.RecordBatch.from_arrays([low, high, pa.array(similarity[new])], ["a", "b", "similarity"])
-
-    # Twice as many partitions as pairs of groups, even of few bytes: they are much work, and few of them are dealt several.
+    There are ``GROUPS`` groups at most while those hold ``group_rows`` rows, so what is shuffled grows with the table."""
     n = n_groups(n_rows, group_rows)
-    parts = max(n * (n + 1), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    groups = dealt(rows, id, n_rows, group_rows).repartition(parts, "p", "q").groupBy("p", "q")
-    return groups.applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    return _spread(_placed(rows, id, n), n)
+
+
+def _all_pairs(placed: DataFrame, kind: str, n: int, find: Callable[[pa.Table, int, int], Found]) -> DataFrame:
+    """(a, b, similarity), a < b, of all ids against all: each pair of n groups in one task, by find(rows of both groups, group, other group)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        both = pa.Table.from_batches(held) if held else pa.table({"p": [], "q": []})
+        for p, q in sorted(set(zip(both["p"].to_pylist(), both["q"].to_pylist()))):  # one
+            for a, b, similarity in find(both.filter((pc.field("p") == p) & (pc.field("q") == q)), p, q):
+                new = a < b if p == q else a != b
+                a, b = a[new], b[new]
+                low, high = (pa.array(x) for x in (np.where(a < b, a, b), np.where(a < b, b, a)))
+                yield pa.RecordBatch.from_arrays([low, high, pa.array(similarity[new])], ["a", "b", "similarity"])
+
+    pair = (F.col("q") * (F.col("q") + 1) / 2 + F.col("p")).cast("int")
+    return _spread(placed, n).repartitionById(n * (n + 1) // 2, pair).mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
+
+
+def _lists(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.ChunkedArray]:
+    """The lists' lengths, 0 for null, and their values."""
+    sizes = [c.value_lengths().fill_null(0).to_numpy() for c in lists.chunks]
+    return np.concatenate(sizes).astype(np.int64), pa.chunked_array([c.flatten() for c in lists.chunks], lists.type.value_type)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(own, rows) for rows (own, ids, s): rows of one group as bytes, where each element of their sets is written once."""
+
+    def pack(table: pa.Table) -> pa.RecordBatch:
+        own, packs = table["own"].to_numpy(), []
+        for group in np.unique(own):
+            sizes, elements = _lists(table["s"].take(pa.array(np.flatnonzero(own == group))))
+            elements = elements.dictionary_encode()
+            codes = pa.DictionaryArray.from_arrays(pa.concat_arrays([c.indices for c in elements.chunks]), elements.chunk(0).dictionary)
+            s = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), codes)
+            ids = table["ids"].take(pa.array(np.flatnonzero(own == group)))
+            new, sink = pa.table({"ids": ids, "s": s}).combine_chunks(), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, new.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(new)
+            packs.append((int(group), sink.getvalue().to_pybytes()))
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in packs], pa.int32()), pa.array([x for _, x in packs], pa.binary())], ["own", "rows"])
+
+    held, n_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        n_bytes += batch.nbytes
+        if n_bytes >= PACK_BYTES:
+            yield pack(pa.Table.from_batches(held))
+            held, n_bytes = [], 0
+    if sum(batch.num_rows for batch in held):
+        yield pack(pa.Table.from_batches(held))
+
+
+def _unpacked(packs: pa.Table) -> tuple[shared.Sets, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of packs, the group of each, how many ids it has, and the ids."""
+    tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in packs["rows"]]
+    own = np.repeat(packs["own"].to_numpy(), [t.num_rows for t in tables])
+    lists = [_lists(t["s"]) for t in tables]
+    words = pa.chunked_array([e.chunk(0).dictionary for _, e in lists]).dictionary_encode()
+    codes = np.concatenate([w.indices.to_numpy()[e.chunk(0).indices.to_numpy()] for w, (_, e) in zip(words.chunks, lists)]).astype(np.int64)
+    sizes, (n_ids, ids) = np.concatenate([n for n, _ in lists]), _lists(pa.concat_tables([t.select(["ids"]) for t in tables])["ids"])
+    return shared.Sets(np.arange(len(sizes)), sizes, codes, len(words.chunk(0).dictionary)), own, n_ids, ids.to_numpy()
 
 
 def _of_copies(i: np.ndarray, j: np.ndarray, similarity: np.ndarray, n_ids: np.ndarray) -> Found:
@@ -111,15 +155,16 @@ def all_jaccard_pairs(df: DataFrame, id: str, elements: str, threshold: float) -
     dealt_copies = sets.join(F.broadcast(many), "h", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1))))
     rows = dealt_copies.groupBy("h", "s", "part").agg(F.collect_list("id").alias("ids")).select("ids", "s")
 
-    def find(both: pa.Table, left: np.ndarray, right: np.ndarray) -> Found:
-        words = pa.chunked_array([c.flatten() for c in both["s"].chunks]).dictionary_encode()
-        codes = np.concatenate([c.indices.to_numpy() for c in words.chunks]).astype(np.int64)
-        sizes, n_ids = (np.concatenate([c.value_lengths().fill_null(0).to_numpy() for c in both[x].chunks]).astype(np.int64) for x in ("s", "ids"))
-        held = shared.Sets(np.arange(len(sizes)), sizes, codes, len(words.chunk(0).dictionary))
-        for i, j, similarity in shared.similar(held, left[sizes[left] > 0], right[sizes[right] > 0], threshold):
-            yield from _of_copies(i, j, similarity, n_ids)
+    def find(both: pa.Table, p: int, q: int) -> Found:
+        held, own, n_ids, ids = _unpacked(both)
+        left, right = (np.flatnonzero((own == group) & (held.sizes > 0)) for group in (p, q))
+        for i, j, similarity in shared.similar(held, left, right, threshold):
+            for x, y, near in _of_copies(i, j, similarity, n_ids):
+                yield ids[x], ids[y], near
 
-    return _all_pairs(rows, "ids", known.count(), find)
+    n, kind = n_groups(known.count()), df.schema[id].dataType.simpleString()
+    packs = _placed(rows, "ids", n).select("own", "ids", "s").mapInArrow(_packed, "own int, rows binary")
+    return _all_pairs(packs, kind, n, find)
 
 
 def close_rows(x: np.ndarray, y: np.ndarray, threshold: float) -> Found:
@@ -146,17 +191,18 @@ def cosine_pairs(df: DataFrame, id: str, vector: str, threshold: float, block: i
     Groups of up to ``block`` rows are made by a hash of the id; each pair of them is one task's work. The work is quadratic, as every pair is looked at. Null ids and vectors pair with nothing; other lengths are an error."""
     rows = df.select(F.col(id).alias("id"), F.col(vector).cast("array<float>").alias("v")).where("id is not null and v is not null")
 
-    def find(both: pa.Table, left: np.ndarray, right: np.ndarray) -> Found:
+    def find(both: pa.Table, p: int, q: int) -> Found:
         v = both["v"].combine_chunks()
         v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
         sizes = np.unique(v.value_lengths().to_numpy())
         if len(sizes) > 1:
             raise ValueError(f"vectors of {sizes[0]} and of {sizes[-1]} numbers")
-        m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
-        for i, j, similarity in close_rows(m[left], m[right], threshold):
-            yield left[i], right[j], similarity
+        m, ids, own = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1), both["id"].to_numpy(), both["own"].to_numpy()
+        for i, j, similarity in close_rows(m[own == p], m[own == q], threshold):
+            yield ids[own == p][i], ids[own == q][j], similarity
 
-    return _all_pairs(rows, "id", rows.count(), find, block)
+    n = n_groups(rows.count(), block)
+    return _all_pairs(_placed(rows, "id", n), rows.schema["id"].dataType.simpleString(), n, find)
 
 
 def cascade(pairs: DataFrame, fingerprint: str, spectrum: str, embedding: str, threshold: float) -> DataFrame:

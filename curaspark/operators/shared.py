@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Rows on the right that are counted together, and on the left; pairs that are handed back together.
-BLOCK, ROWS, PAIRS = 1 << 14, 64, 1 << 16
+BLOCK, ROWS, PAIRS = 1 << 14, 32, 1 << 16
 #: Frequent elements that may have bits, and the pairs' mean number of shared ones from which 64 elements are worth them.
-FREQUENT, WORTH = 192, 0.3
+FREQUENT, WORTH = 192, 0.2
 #: Shared elements that lists not passed over would have to show before the others are looked at.
 SPARE = 3
 #: Rows are kept together by the most frequent element that they hold, while that keeps so large a share of them together.
@@ -20,7 +20,11 @@ Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 def flat(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... sizes[0] of them, then those of the next."""
-    return np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    ends = np.cumsum(sizes)
+    kind = np.int32 if len(ends) and max(ends[-1], np.max(first + sizes)) < 1 << 31 else np.int64
+    at = np.repeat((first - ends + sizes).astype(kind), sizes)
+    at += np.arange(len(at), dtype=kind)
+    return at
 
 
 class Sets:
@@ -95,7 +99,7 @@ def similar_to_block(left: Sets, block: Sets, threshold: float) -> Found:
 
     listed = (rank == n_bits) & (held > 0)
     others = listed[block.codes]
-    lists = block.places()[others][np.argsort(block.codes[others], kind="stable")]
+    lists = block.places().astype(np.int32)[others][np.argsort(block.codes[others], kind="stable")]
     begin = np.cumsum(np.where(listed, held, 0)) - held
     n_lists = left.having(listed)
     wanted = left.codes[listed[left.codes]]
@@ -115,7 +119,8 @@ def similar_to_block(left: Sets, block: Sets, threshold: float) -> Found:
         """Adds the n lists from the first to the scores of rows."""
         each = flat(first, n)
         place = lists[flat(starts[each], lengths[each])]
-        np.add.at(scores.reshape(-1), place + np.repeat(np.repeat(rows, n) * width, lengths[each]), one)
+        place += np.repeat(np.repeat(rows.astype(np.int32) * width, n), lengths[each])
+        np.add.at(scores.reshape(-1), place.astype(np.intp), one)
 
     for same in np.split(np.arange(len(left.sizes)), np.flatnonzero(np.diff(left.sizes)) + 1):
         needed = np.maximum(np.ceil(share * (block.sizes + left.sizes[same[0]]) - 1e-6), 1).astype(kind)
