@@ -55,8 +55,8 @@ def n_groups(n_rows: int, group_rows: int = GROUP_ROWS) -> int:
 Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _placed(rows: DataFrame, id: str, n: int) -> DataFrame:
-    return rows.withColumn("own", F.pmod(F.xxhash64(id), F.lit(n)).cast("int"))
+def _placed(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    return rows.withColumn("own", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int"))
 
 
 def _spread(placed: DataFrame, n: int) -> DataFrame:
@@ -69,20 +69,21 @@ def dealt(rows: DataFrame, id: str, n_rows: int, group_rows: int = GROUP_ROWS) -
 
     There are ``GROUPS`` groups at most while those hold ``group_rows`` rows, so what is shuffled grows with the table."""
     n = n_groups(n_rows, group_rows)
-    return _spread(_placed(rows, id, n), n)
+    return _spread(_placed(rows, n, id), n)
 
 
-def _all_pairs(placed: DataFrame, kind: str, n: int, find: Callable[[pa.Table, int, int], Found]) -> DataFrame:
-    """(a, b, similarity), a < b, of all ids against all: each pair of n groups in one task, by find(rows of both groups, group, other group)."""
+def _all_pairs(placed: DataFrame, kind: str, n: int, find: Callable[[pa.Table, int, int], tuple[pa.DataType, Found]]) -> DataFrame:
+    """(a, b, similarity), a < b, of all ids against all: each pair of n groups in one task, by find(rows of both groups, group, other group): the ids' type and pairs of ids."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         both = pa.Table.from_batches(held) if held else pa.table({"p": [], "q": []})
         for p, q in sorted(set(zip(both["p"].to_pylist(), both["q"].to_pylist()))):  # one
-            for a, b, similarity in find(both.filter((pc.field("p") == p) & (pc.field("q") == q)), p, q):
+            id_type, found = find(both.filter((pc.field("p") == p) & (pc.field("q") == q)), p, q)
+            for a, b, similarity in found:
                 new = a < b if p == q else a != b
                 a, b = a[new], b[new]
-                low, high = (pa.array(x) for x in (np.where(a < b, a, b), np.where(a < b, b, a)))
+                low, high = (pa.array(x, id_type) for x in (np.where(a < b, a, b), np.where(a < b, b, a)))
                 yield pa.RecordBatch.from_arrays([low, high, pa.array(similarity[new])], ["a", "b", "similarity"])
 
     pair = (F.col("q") * (F.col("q") + 1) / 2 + F.col("p")).cast("int")
@@ -123,7 +124,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(pa.Table.from_batches(held))
 
 
-def _unpacked(packs: pa.Table) -> tuple[shared.Sets, np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(packs: pa.Table) -> tuple[shared.Sets, np.ndarray, np.ndarray, pa.ChunkedArray]:
     """The sets of packs, the group of each, how many ids it has, and the ids."""
     tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in packs["rows"]]
     own = np.repeat(packs["own"].to_numpy(), [t.num_rows for t in tables])
@@ -131,7 +132,7 @@ def _unpacked(packs: pa.Table) -> tuple[shared.Sets, np.ndarray, np.ndarray, np.
     words = pa.chunked_array([e.chunk(0).dictionary for _, e in lists]).dictionary_encode()
     codes = np.concatenate([w.indices.to_numpy()[e.chunk(0).indices.to_numpy()] for w, (_, e) in zip(words.chunks, lists)]).astype(np.int64)
     sizes, (n_ids, ids) = np.concatenate([n for n, _ in lists]), _lists(pa.concat_tables([t.select(["ids"]) for t in tables])["ids"])
-    return shared.Sets(np.arange(len(sizes)), sizes, codes, len(words.chunk(0).dictionary)), own, n_ids, ids.to_numpy()
+    return shared.Sets(np.arange(len(sizes)), sizes, codes, len(words.chunk(0).dictionary)), own, n_ids, ids
 
 
 def _of_copies(i: np.ndarray, j: np.ndarray, similarity: np.ndarray, n_ids: np.ndarray) -> Found:
@@ -153,17 +154,18 @@ def all_jaccard_pairs(df: DataFrame, id: str, elements: str, threshold: float) -
     sets = known.select(F.col(id).alias("id"), distinct.alias("s")).withColumn("h", F.xxhash64("s"))  # empty ones too: a filter would make s twice
     many = sets.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / COPIES).alias("n")).where("n > 1")
     dealt_copies = sets.join(F.broadcast(many), "h", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1))))
-    rows = dealt_copies.groupBy("h", "s", "part").agg(F.collect_list("id").alias("ids")).select("ids", "s")
+    rows = dealt_copies.groupBy("h", "s", "part").agg(F.collect_list("id").alias("ids"))
 
-    def find(both: pa.Table, p: int, q: int) -> Found:
+    def find(both: pa.Table, p: int, q: int) -> tuple[pa.DataType, Found]:
         held, own, n_ids, ids = _unpacked(both)
         left, right = (np.flatnonzero((own == group) & (held.sizes > 0)) for group in (p, q))
-        for i, j, similarity in shared.similar(held, left, right, threshold):
-            for x, y, near in _of_copies(i, j, similarity, n_ids):
-                yield ids[x], ids[y], near
+        pairs = (x for found in shared.similar(held, left, right, threshold) for x in _of_copies(*found, n_ids))
+        values = ids.to_numpy()
+        return ids.type, ((values[x], values[y], near) for x, y, near in pairs)
 
     n, kind = n_groups(known.count()), df.schema[id].dataType.simpleString()
-    packs = _placed(rows, "ids", n).select("own", "ids", "s").mapInArrow(_packed, "own int, rows binary")
+    packs = _placed(rows, n, "h", "part").select("own", "ids", "s")  # not by ids, which a repeated task may list in another order
+    packs = packs.mapInArrow(_packed, "own int, rows binary")
     return _all_pairs(packs, kind, n, find)
 
 
@@ -191,18 +193,18 @@ def cosine_pairs(df: DataFrame, id: str, vector: str, threshold: float, block: i
     Groups of up to ``block`` rows are made by a hash of the id; each pair of them is one task's work. The work is quadratic, as every pair is looked at. Null ids and vectors pair with nothing; other lengths are an error."""
     rows = df.select(F.col(id).alias("id"), F.col(vector).cast("array<float>").alias("v")).where("id is not null and v is not null")
 
-    def find(both: pa.Table, p: int, q: int) -> Found:
+    def find(both: pa.Table, p: int, q: int) -> tuple[pa.DataType, Found]:
         v = both["v"].combine_chunks()
         v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
         sizes = np.unique(v.value_lengths().to_numpy())
         if len(sizes) > 1:
             raise ValueError(f"vectors of {sizes[0]} and of {sizes[-1]} numbers")
         m, ids, own = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1), both["id"].to_numpy(), both["own"].to_numpy()
-        for i, j, similarity in close_rows(m[own == p], m[own == q], threshold):
-            yield ids[own == p][i], ids[own == q][j], similarity
+        a, b = ids[own == p], ids[own == q]
+        return both["id"].type, ((a[i], b[j], similarity) for i, j, similarity in close_rows(m[own == p], m[own == q], threshold))
 
     n = n_groups(rows.count(), block)
-    return _all_pairs(_placed(rows, "id", n), rows.schema["id"].dataType.simpleString(), n, find)
+    return _all_pairs(_placed(rows, n, "id"), rows.schema["id"].dataType.simpleString(), n, find)
 
 
 def cascade(pairs: DataFrame, fingerprint: str, spectrum: str, embedding: str, threshold: float) -> DataFrame:

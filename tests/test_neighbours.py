@@ -167,6 +167,16 @@ def test_equal_sets_are_one_row_until_they_are_very_many(spark, monkeypatch):
     assert duplicates.all_jaccard_pairs(many, "id", "s", 0.5).rdd.getNumPartitions() == 4 * 5 / 2  # one for each pair of groups
 
 
+def test_all_pairs_keep_the_type_of_ids(spark):
+    rows = [("x", ["a", "b"], [1.0, 0.0]), ("y", ["b", "a"], [1.0, 0.0]), ("z", ["c"], [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, s array<string>, v array<double>").withColumn("at", F.timestamp_seconds(F.ascii("id")))
+    for id, (a, b) in (("id", "xy"), ("at", [r["at"] for r in df.orderBy("id").limit(2).collect()])):
+        for pairs in (duplicates.all_jaccard_pairs(df, id, "s", 0.9), duplicates.cosine_pairs(df, id, "v", 0.9)):
+            assert [tuple(r) for r in pairs.collect()] == [(a, b, 1.0)] and pairs.schema["a"].dataType == df.schema[id].dataType
+        alone = df.where("id > 'x'")  # no pair
+        assert duplicates.all_jaccard_pairs(alone, id, "s", 0.9).collect() == duplicates.cosine_pairs(alone, id, "v", 0.9).collect() == []
+
+
 def test_all_pairs_shuffle_in_proportion_to_the_rows(spark):
     rows = spark.range(500).withColumn("v", F.array(F.lit(1.0)))
     for n in (20_000, 200_000, 1_000_000):
